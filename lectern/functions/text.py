@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lectern.functions import fixed
 
@@ -118,49 +119,41 @@ def python_round1(value: Column) -> Column:
 # --------------------------------------------------------------------------------------
 
 _INLINE_EXPANSIONS = {"ß": "ss", "…": "..."}
+_PLAIN_PUNCTUATION = "‐–—‘’“”•€●"
 
 
 def _fold(text: str) -> str:
-    composed = unicodedata.normalize("NFKC", text).replace(" ", " ")
+    composed = unicodedata.normalize("NFKC", text)
     return " ".join(composed.split()).casefold()
 
 
-def _as_ranges(points: list[int]) -> str:
-    spans: list[list[int]] = []
-    for point in points:
-        if spans and point == spans[-1][1] + 1:
-            spans[-1][1] = point
-        else:
-            spans.append([point, point])
-    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans)
-
-
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, str]:
-    """One-to-one foldings as a translate pair, and a class for everything else.
+    """A translate pair for characters that fold one to one, and a class for the rest.
 
-    Built by rule from the Unicode data: a character whose folded form is one character
-    and which neither combines nor composes can be mapped alone. Characters that expand,
-    combine or compose make their text take the Python path.
+    Built by rule from the Unicode data over the Latin blocks: such a character folds to
+    exactly one character and neither combines nor composes, so it can be mapped alone.
+    A text with any other character takes the Python path.
     """
-    source, target, hard = [], [], []
-    for point in range(0x80, 0x10000):
-        char = chr(point)
-        category = unicodedata.category(char)
-        if category in ("Cs", "Cn") or char in _INLINE_EXPANSIONS or char.isspace():
-            continue
+    easy = [chr(point) for point in range(0x180)] + list(_PLAIN_PUNCTUATION)
+    source, target, allowed = [], [], []
+    for char in easy:
         folded = unicodedata.normalize("NFKC", char).casefold()
-        if category[0] == "M" or 0x1100 <= point <= 0x11FF or len(folded) != 1:
-            hard.append(point)
-        elif unicodedata.normalize("NFKC", folded) != folded:
-            hard.append(point)
-        elif folded != char:
+        if char in _INLINE_EXPANSIONS or len(folded) != 1:
+            continue
+        allowed.append(ord(char))
+        if folded != char and not char.isspace():
             source.append(char)
             target.append(folded)
-    for upper in range(ord("A"), ord("Z") + 1):
-        source.append(chr(upper))
-        target.append(chr(upper).lower())
-    return "".join(source), "".join(target), f"[{_as_ranges(hard)}\\x{{10000}}-\\x{{10ffff}}]"
+    allowed += [ord(char) for char in _INLINE_EXPANSIONS]
+    spans: list[list[int]] = []
+    for point in sorted(allowed):
+        if spans and point == spans[-1][1] + 1:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    ranges = "".join(rf"\x{{{first:x}}}-\x{{{last:x}}}" for first, last in spans)
+    return "".join(source), "".join(target), f"[^{ranges}]"
 
 
 def needs_python_fold(text: Column) -> Column:
@@ -174,12 +167,12 @@ def _native_fold(text: Column) -> Column:
     return collapse(F.translate(text, source, target))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_series(texts: pd.Series) -> pd.Series:
     return texts.map(_fold, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _fold_lists(lists: pd.Series) -> pd.Series:
     return lists.map(lambda items: [_fold(item) for item in items], na_action="ignore")
 
