@@ -33,30 +33,30 @@ def normalise_gold(items: DataFrame) -> DataFrame:
     )
 
 
-def first_hits(ranked: DataFrame, gold: DataFrame, query_id: str, item_id: str) -> DataFrame:
-    """Lowest rank of a gold item per query that has one.
+def gold_matches(ranked: DataFrame, gold: DataFrame, query_id: str = "query_id", item_id: str = "item_id") -> DataFrame:
+    """Ranked rows whose item is gold for its query.
 
-    ``ranked`` is small (k rows per query); gold may be large, so it is reduced by a
-    semi join instead of being collected per query.
+    ``ranked`` is small (k rows per query); gold may be large, so it only takes part in a
+    semi join and is never gathered per query.
     """
-    matched = ranked.join(gold.select(query_id, item_id), [query_id, item_id], "left_semi")
-    return matched.groupBy(query_id).agg(F.min("rank").alias("hit_rank"))
+    return ranked.join(gold.select(query_id, item_id), [query_id, item_id], "left_semi")
 
 
 def retrieval_metrics(
     questions: DataFrame,
-    ranked: DataFrame,
-    gold: DataFrame,
+    matches: DataFrame,
     query_id: str = "query_id",
-    item_id: str = "item_id",
     k_values: tuple[int, ...] = fixed.K_VALUES,
 ) -> DataFrame:
     """``k, hit_rate, mrr`` over all questions, those without any gold item included.
 
-    No rows when there are no questions.
+    ``matches`` holds the ranked rows that are gold; the lowest rank counts. No rows when
+    there are no questions.
     """
-    hits = first_hits(
-        ranked.filter(F.col("rank") <= max(k_values)), gold, query_id, item_id
+    hits = (
+        matches.filter(F.col("rank") <= max(k_values))
+        .groupBy(query_id)
+        .agg(F.min("rank").alias("hit_rank"))
     )
     joined = questions.select(query_id).join(hits, query_id, "left")
     sums = [F.count("*").alias("n")]

@@ -6,25 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.arrays import last_of
+from lectern.functions.arrays import bind, last_of
 from lectern.functions.text import strip
 
 
 def clean_topic(title: Column) -> Column:
     """A section title as a noun phrase with its article."""
-    topic = F.regexp_replace(title, fixed.TOPIC_NUMBERING, "")
-    topic = strip(F.regexp_replace(topic, fixed.TOPIC_BULLET, ""))
-    capitals = (F.upper(topic) == topic) & (F.lower(topic) != topic)
-    first_lowered = F.concat(F.lower(F.substring(topic, 1, 1)), F.substring(topic, 2, 1 << 30))
-    topic = F.when(capitals, F.lower(topic)).otherwise(first_lowered)
+    bare = F.regexp_replace(title, fixed.TOPIC_NUMBERING, "")
+    bare = strip(F.regexp_replace(bare, fixed.TOPIC_BULLET, ""))
     articles = "|".join(fixed.TOPIC_ARTICLES)
     vowels = "".join(fixed.TOPIC_VOWELS)
-    return (
-        F.when(topic.rlike(f"^(?:{articles})"), topic)
-        .when(topic.rlike(f"^[{vowels}]"), F.concat(F.lit("l'"), topic))
-        .when(topic.endswith("s") & ~topic.endswith("ss"), F.concat(F.lit("les "), topic))
-        .otherwise(F.concat(F.lit("le "), topic))
-    )
+
+    def lowered(topic):
+        capitals = (F.upper(topic) == topic) & (F.lower(topic) != topic)
+        first = F.concat(F.lower(F.substring(topic, 1, 1)), F.substring(topic, 2, 1 << 30))
+        return F.when(capitals, F.lower(topic)).otherwise(first)
+
+    def with_article(topic):
+        return (
+            F.when(topic.rlike(f"^(?:{articles})"), topic)
+            .when(topic.rlike(f"^[{vowels}]"), F.concat(F.lit("l'"), topic))
+            .when(topic.endswith("s") & ~topic.endswith("ss"), F.concat(F.lit("les "), topic))
+            .otherwise(F.concat(F.lit("le "), topic))
+        )
+
+    return bind(bind(bare, lowered), with_article)
 
 
 def conversational_question(question_type: Column, title: Column) -> Column:
