@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,14 @@ def last_of(items: Column) -> Column:
     return F.try_element_at(items, F.lit(-1))
 
 
+
+
+def rows_of(df: DataFrame, keep: list[str], items: Column, position: str, item: str) -> DataFrame:
+    """One row per element of a computed array: ``keep``, ``position`` (from 0), ``item``.
+
+    A plain ``posexplode`` makes the optimizer filter on the array's size first, which
+    computes the array again for that filter. The outer form is left alone; the rows of
+    empty arrays are dropped afterwards.
+    """
+    expanded = df.select(*keep, F.posexplode_outer(items).alias(position, item))
+    return expanded.filter(F.col(position).isNotNull())

@@ -18,6 +18,7 @@ from lectern.functions.text import (
     strip,
 )
 from lectern.operators.scans import global_offsets
+from lectern.session import reliable_checkpoint
 
 
 def short_support(sentence: Column, answer: Column | None = None) -> Column:
@@ -166,55 +167,60 @@ def extract_candidates(chunks: DataFrame, text: str = "text", path: str = "secti
         last_of(F.col(path)), strip(F.coalesce(F.get(split_lines(F.col(text)), F.lit(0)), F.lit("")))
     )
     prepared = chunks.withColumn("__heading", heading)
-    hard = needs_python_fold(F.concat(text, "__heading"))
-    units = sentence_units(F.col(text))
-    prepared = (
-        prepared.withColumn("__hard", hard)
-        .withColumn("__folded", normalise(F.col(text)))
-        .withColumn(
-            "__head", normalise_all(F.array("__heading"), F.col("__hard"))[0]
+    prepared = prepared.withColumn("__hard", needs_python_fold(F.concat(text, "__heading")))
+    prepared = prepared.withColumn("__pieces", sentence_units(F.col(text)))
+    # One array holds everything that must be folded: text, heading, then the units.
+    everything = F.concat(F.array(text, "__heading"), F.col("__pieces"))
+    prepared = prepared.withColumn("__all", normalise_all(everything, F.col("__hard")))
+
+    def raw(folded):
+        units = F.zip_with(
+            F.col("__pieces"),
+            F.slice(folded, 3, F.size(folded)),
+            lambda unit, low: F.struct(unit.alias("text"), low.alias("folded")),
         )
-        .withColumn(
-            "__units",
-            F.arrays_zip(units.alias("text"), normalise_all(units, F.col("__hard")).alias("folded")),
-        )
-    )
-    named = F.transform(
-        "__units", lambda u: F.struct(u["text"].alias("text"), u["folded"].alias("folded"))
-    )
-    inside = (F.col("__heading") != "") & F.col("__folded").contains(F.col("__head"))
-    raw = bind(named, lambda u: _raw_candidates(u, F.col("__heading"), inside))
-    prepared = prepared.withColumn("__raw", raw).withColumn(
-        "__answers", normalise_all(F.transform("__raw", lambda c: c["answer"]), F.col("__hard"))
-    )
-
-    def key(c):
+        inside = (F.col("__heading") != "") & folded[0].contains(folded[1])
         return F.struct(
-            c["question_type"],
-            c["question"],
-            native_normalise(c["answer"]).alias("a"),
-            native_normalise(c["support"]).alias("s"),
+            folded[0].alias("text"),
+            native_normalise(F.col(text)).alias("plain"),
+            bind(units, lambda u: _raw_candidates(u, F.col("__heading"), inside)).alias("raw"),
         )
 
-    def finish(all_raw):
-        def keep(c, i):
-            earlier = F.exists(F.slice(all_raw, 1, i), lambda p: key(p) == key(c))
-            grounded = F.col("__folded").contains(F.get(F.col("__answers"), i))
-            return (c["answer"] != "") & grounded & ~earlier
-
-        return F.transform(
-            F.filter(all_raw, keep),
+    def finish(env):
+        entries = F.transform(
+            env["raw"],
             lambda c: F.struct(
-                c["question_type"].alias("question_type"),
-                c["question"].alias("question"),
-                c["answer"].alias("answer"),
-                short_support(c["support"], c["answer"]).alias("support"),
+                c.alias("c"),
+                F.struct(
+                    c["question_type"],
+                    c["question"],
+                    native_normalise(c["answer"]).alias("answer"),
+                    native_normalise(c["support"]).alias("support"),
+                ).alias("key"),
             ),
         )
 
-    return prepared.withColumn("candidates", bind(F.col("__raw"), finish)).drop(
-        "__heading", "__hard", "__folded", "__head", "__units", "__raw", "__answers"
-    )
+        def distinct(all_entries):
+            def keep(e, i):
+                low = e["key"]["answer"]
+                grounded = env["text"].contains(low) | env["plain"].contains(low)
+                earlier = F.exists(F.slice(all_entries, 1, i), lambda p: p["key"] == e["key"])
+                return (e["c"]["answer"] != "") & grounded & ~earlier
+
+            return F.transform(
+                F.filter(all_entries, keep),
+                lambda e: F.struct(
+                    e["c"]["question_type"].alias("question_type"),
+                    e["c"]["question"].alias("question"),
+                    e["c"]["answer"].alias("answer"),
+                    short_support(e["c"]["support"], e["c"]["answer"]).alias("support"),
+                ),
+            )
+
+        return bind(entries, distinct)
+
+    candidates = bind(bind(F.col("__all"), raw), finish)
+    return prepared.select(*chunks.columns, candidates.alias("candidates"))
 
 
 def select_candidates(candidates: Column, index: Column) -> Column:
@@ -242,9 +248,11 @@ def select_candidates(candidates: Column, index: Column) -> Column:
     return bind(candidates, rotate)
 
 
-def difficulty(question_type: Column, token_count: Column, text: Column) -> Column:
-    """easy, medium or hard, from the kind of question and the length of the chunk."""
-    size = F.coalesce(F.nullif(token_count, F.lit(0)), count_words(text))
+def difficulty(question_type: Column, size: Column) -> Column:
+    """easy, medium or hard, from the kind of question and the length of the chunk.
+
+    ``size`` is the chunk's token count, or its word count where that is missing or zero.
+    """
     hard = question_type.isin(fixed.TYPE_LEGAL, fixed.TYPE_DEADLINE, fixed.TYPE_PROCEDURE)
     medium = question_type.isin(fixed.TYPE_QUANTITY, fixed.TYPE_ROLE)
     return (
@@ -285,58 +293,69 @@ def adversarial_questions(spark, n_questions: int, n_chunks: int) -> DataFrame:
     )
 
 
-def build_questions(chunks: DataFrame) -> DataFrame:
-    """The whole question set of a chunk table.
+_CANDIDATE_COLUMNS = ("chunk_id", "document_id", "section_path", "page_start", "page_end")
 
-    ``chunks``: ``chunk_id, document_id, chunk_index, text, token_count, section_path,
-    page_start, page_end``. Items are numbered over documents in order of their id, then
-    chunks, then slots; adversarial items follow. Numbers come from sums over narrow rows
-    (chunk keys and counts), so no text goes through a global sort.
+
+def chunk_candidates(chunks: DataFrame) -> DataFrame:
+    """What the question set needs of each chunk, without its text.
+
+    ``chunks``: ``chunk_id, document_id, text, token_count, section_path, page_start,
+    page_end``. The texts are read here, where they are scanned, and go no further.
+    """
+    size = F.coalesce(F.nullif("token_count", F.lit(0)), count_words(F.col("text")))
+    return extract_candidates(chunks).select(*_CANDIDATE_COLUMNS, size.alias("size"), "candidates")
+
+
+def build_questions(candidates: DataFrame) -> DataFrame:
+    """The whole question set, from :func:`chunk_candidates` with their ``chunk_index``.
+
+    Items are numbered over documents in order of their id, then chunks, then slots;
+    adversarial items follow. The chosen items are checkpointed once and read for the
+    numbering and for the result; the numbering itself sorts chunk keys and counts only.
     """
-    chosen = extract_candidates(chunks).withColumn(
-        "__chosen", select_candidates(F.col("candidates"), F.col("chunk_index"))
+    chosen = reliable_checkpoint(
+        candidates.select(
+            *_CANDIDATE_COLUMNS,
+            "chunk_index",
+            "size",
+            select_candidates(F.col("candidates"), F.col("chunk_index")).alias("__chosen"),
+        )
     )
     counted = chosen.select(
         "chunk_id", "document_id", "chunk_index", F.size("__chosen").alias("__n")
     )
     numbered = global_offsets(
         counted, ["document_id", "chunk_index"], {"chunk_at": F.lit(1), "__serial": F.col("__n")}
-    ).select("chunk_id", "chunk_at", "__serial", "__n")
-    totals = numbered.agg(
+    ).select("chunk_id", "chunk_at", "__serial")
+    totals = counted.agg(
         F.count("*").alias("chunks"), F.coalesce(F.sum("__n"), F.lit(0)).alias("items")
     ).first()
     n_chunks, n_items = totals["chunks"], totals["items"]
     if n_chunks == 0:
         raise ValueError("no chunks to ask about")
-    answerable = (
-        chosen.join(numbered, "chunk_id")
-        .select("*", F.posexplode("__chosen").alias("__slot", "__item"))
-        .select(
-            (F.col("__serial") + F.col("__slot") + 1).alias("__number"),
-            "__item.question",
-            "__item.answer",
-            F.lit("extractive").alias("answer_type"),
-            "__item.question_type",
-            *_chunk_fields(F.col("__item.question_type")),
-            F.col("__item.support").alias("supporting_text"),
-            F.lit(True).alias("is_answerable"),
-        )
+    placed = chosen.join(numbered, "chunk_id")
+    answerable = placed.select(
+        "*", F.posexplode("__chosen").alias("__slot", "__item")
+    ).select(
+        (F.col("__serial") + F.col("__slot") + 1).alias("__number"),
+        "__item.question",
+        "__item.answer",
+        F.lit("extractive").alias("answer_type"),
+        "__item.question_type",
+        *_chunk_fields(F.col("__item.question_type")),
+        F.col("__item.support").alias("supporting_text"),
+        F.lit(True).alias("is_answerable"),
     )
-    drawn = adversarial_questions(
-        chunks.sparkSession, adversarial_count(n_items), n_chunks
-    )
-    adversarial = (
-        chunks.join(numbered.select("chunk_id", "chunk_at").join(drawn, "chunk_at"), "chunk_id")
-        .select(
-            (F.col("j") + 1 + n_items).alias("__number"),
-            "question",
-            F.lit(fixed.ADVERSARIAL_ANSWER).alias("answer"),
-            F.lit(fixed.TYPE_UNANSWERABLE).alias("answer_type"),
-            F.lit(fixed.TYPE_UNANSWERABLE).alias("question_type"),
-            *_chunk_fields(F.lit(fixed.TYPE_UNANSWERABLE)),
-            F.lit("").alias("supporting_text"),
-            F.lit(False).alias("is_answerable"),
-        )
+    drawn = adversarial_questions(candidates.sparkSession, adversarial_count(n_items), n_chunks)
+    adversarial = placed.join(drawn, "chunk_at").select(
+        (F.col("j") + 1 + n_items).alias("__number"),
+        "question",
+        F.lit(fixed.ADVERSARIAL_ANSWER).alias("answer"),
+        F.lit(fixed.TYPE_UNANSWERABLE).alias("answer_type"),
+        F.lit(fixed.TYPE_UNANSWERABLE).alias("question_type"),
+        *_chunk_fields(F.lit(fixed.TYPE_UNANSWERABLE)),
+        F.lit("").alias("supporting_text"),
+        F.lit(False).alias("is_answerable"),
     )
     return answerable.unionByName(adversarial).select(
         F.format_string("eval_%06d", "__number").alias("id"),
@@ -347,7 +366,7 @@ def build_questions(chunks: DataFrame) -> DataFrame:
 
 def _chunk_fields(question_type: Column) -> list[Column]:
     return [
-        difficulty(question_type, F.col("token_count"), F.col("text")).alias("difficulty"),
+        difficulty(question_type, F.col("size")).alias("difficulty"),
         F.col("document_id"),
         source_year(F.col("document_id")).alias("source_year"),
         F.col("chunk_id"),
@@ -366,12 +385,19 @@ def question_violations(questions: DataFrame, chunks: DataFrame, target: int | N
     joined = questions.filter("is_answerable").join(
         chunks.select("chunk_id", F.col("text").alias("__text")), "chunk_id"
     )
+    text, answer = F.col("__text"), F.col("answer")
     folded = joined.select(
-        normalise(F.col("__text")).alias("text"), normalise(F.col("answer")).alias("answer")
+        normalise(text).alias("text"),
+        native_normalise(text).alias("plain"),
+        normalise(answer).alias("answer"),
+        native_normalise(answer).alias("plain_answer"),
+    )
+    ungrounded = ~F.col("text").contains(F.col("answer")) & ~F.col("plain").contains(
+        F.col("plain_answer")
     )
     per_document = questions.filter("is_answerable").groupBy("document_id").agg(F.count("*").alias("n"))
     rules = [
-        total(folded.filter(~F.col("text").contains(F.col("answer"))), "answer in chunk"),
+        total(folded.filter(ungrounded), "answer in chunk"),
         total(questions.groupBy("id").count().filter("count > 1"), "unique id"),
         total(
             questions.filter((strip(F.col("question")) == "") | (strip(F.col("answer")) == "")),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lectern.functions import fixed
+from lectern.functions.arrays import rows_of
 from lectern.functions.vectors import SCORE_DIGITS
 from lectern.operators.topk import RunningBest, best_per_query, id_order, rank_results
 
@@ -26,7 +27,8 @@ def words(text: Column) -> Column:
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
-    return queries.select(query_id, F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
+    found = F.array_distinct(words(F.col(text)))
+    return rows_of(queries, [query_id], found, "__i", "term").drop("__i")
 
 
 def _idf(total: Column, df: Column) -> Column:
@@ -70,7 +72,8 @@ def _score_in_place(terms, texts, k, query_id, item_id, n_items, average, schema
     spark = texts.sparkSession
     vocabulary = F.broadcast(terms.select("term").distinct())
     found = (
-        texts.select(F.explode(F.array_distinct("words")).alias("term"))
+        rows_of(texts, [], F.array_distinct("words"), "__i", "term")
+        .select("term")
         .join(vocabulary, "term")
         .groupBy("term")
         .agg(F.count("*").alias("df"))
@@ -134,7 +137,13 @@ def _score_by_join(terms, texts, query_id, item_id, n_items, average) -> DataFra
     """Postings joined with query terms on the term; hot terms are split by adaptive skew
     handling, and partial sums meet on ``(query, item)``."""
     postings = (
-        texts.select(item_id, F.size("words").alias("length"), F.explode("words").alias("term"))
+        rows_of(
+            texts.withColumn("length", F.size("words")),
+            [item_id, "length"],
+            F.col("words"),
+            "__i",
+            "term",
+        )
         .groupBy(item_id, "length", "term")
         .agg(F.count("*").alias("tf"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.functions import fixed
 from lectern.functions import text as T
+from lectern.functions.arrays import rows_of
 from lectern.functions.vectors import hash_embedder
 from lectern.operators import layout, packing, profile, questions, rewrite, sections
 from lectern.operators.anchor import content_anchor
@@ -168,7 +169,7 @@ def page_tracking(spark, folder):
     lines = sections.parse_lines(F.col("text"), use_anchor=False)
     documents = layout.assemble_documents(_turn_items(spark, folder))
     return (
-        documents.select("doc_id", F.explode(sections.line_pages(lines)).alias("page"))
+        rows_of(documents, ["doc_id"], sections.line_pages(lines), "line_no", "page")
         .groupBy("doc_id", "page")
         .agg(F.count("*").alias("n_lines"))
     )
@@ -178,7 +179,7 @@ def page_tracking(spark, folder):
 def page_asof(spark, folder):
     events = table(spark, folder, "events", "event_id", "user_id", "ts", "event_type")
     marker = F.when(F.col("event_type") == "error", F.col("event_id"))
-    segment = F.floor(F.unix_seconds("ts") / SEGMENT_SECONDS)
+    segment = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / SEGMENT_SECONDS)
     return running_last(
         events, ["user_id"], ["ts", "event_id"], segment, {"last": marker}, first={"opening": marker}
     ).select(
@@ -203,7 +204,7 @@ def _turn_lines(spark, folder, headings: bool):
         marks = F.when(F.col("turn") % 2 == 0, "## ").otherwise("### ")
         head += [F.concat(marks, F.col("role")), F.lit("")]
     lines = F.concat(F.array(*head), T.split_lines(F.col("text")), F.array(F.lit("")))
-    return turns.select("conv_id", "turn", F.posexplode(lines).alias("line_pos", "line"))
+    return rows_of(turns, ["conv_id", "turn"], lines, "line_pos", "line")
 
 
 def _turn_segment():
@@ -294,9 +295,8 @@ def content_anchor_lines(spark, folder):
 @query
 def sentence_units(spark, folder):
     units = T.sentence_units(F.col("text"))
-    return table(spark, folder, "documents", "doc_id", "text").select(
-        "doc_id", F.posexplode(units).alias("unit_pos", "unit")
-    )
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    return rows_of(documents, ["doc_id"], units, "unit_pos", "unit")
 
 
 @query
@@ -320,7 +320,7 @@ def clean_text(spark, folder):
 def _document_chunks(spark, folder, *columns):
     documents = table(spark, folder, "documents", "doc_id", "text", *columns)
     chunks = packing.pack_text(F.col("text"))
-    return documents.select("doc_id", *columns, F.posexplode(chunks).alias("chunk_index", "c")).select(
+    return rows_of(documents, ["doc_id", *columns], chunks, "chunk_index", "c").select(
         "doc_id", *columns, "chunk_index", "c.*"
     )
 
@@ -630,35 +630,45 @@ def _question_chunks(spark, folder):
     closing = F.lit("")
     for lang, pattern in CLOSINGS.items():
         closing = F.when(F.col("lang") == lang, F.format_string(pattern, *numbers)).otherwise(closing)
-    chunks = table(spark, folder, "documents", "doc_id", "text", "lang", "source").select(
-        F.col("doc_id"),
-        F.concat("lang", F.lit("-"), F.regexp_extract("source", "([0-9]+)$", 1)).alias("document_id"),
-        F.concat("text", closing).alias("text"),
+    document = F.concat("lang", F.lit("-"), F.regexp_extract("source", "([0-9]+)$", 1))
+    return (
+        table(spark, folder, "documents", "doc_id", "text", "lang", "source")
+        .select("doc_id", document.alias("document_id"), F.concat("text", closing).alias("text"))
+        .select(
+            F.format_string("doc_%06d", "doc_id").alias("chunk_id"),
+            "document_id",
+            "doc_id",
+            "text",
+            T.count_tokens(F.col("text")).alias("token_count"),
+            F.lit(None).cast("array<string>").alias("section_path"),
+            F.lit(1).alias("page_start"),
+            F.lit(1).alias("page_end"),
+        )
     )
+
+
+def _placed_candidates(spark, folder):
+    """Candidates of every chunk with the chunk's position in its document."""
+    chunks = _question_chunks(spark, folder)
     placed = running_sum(
-        chunks.select("doc_id", "document_id"),
+        chunks.select("chunk_id", "document_id", "doc_id"),
         ["document_id"],
         ["doc_id"],
         F.floor(F.col("doc_id") / SEGMENT_IDS),
         {"chunk_index": F.lit(1)},
         exclusive=True,
     )
-    return chunks.join(placed.drop("document_id"), "doc_id").select(
-        F.format_string("doc_%06d", "doc_id").alias("chunk_id"),
-        "document_id",
-        "chunk_index",
-        "text",
-        T.count_tokens(F.col("text")).alias("token_count"),
-        F.lit(None).cast("array<string>").alias("section_path"),
-        F.lit(1).alias("page_start"),
-        F.lit(1).alias("page_end"),
-    )
+    return questions.chunk_candidates(chunks).join(placed.select("chunk_id", "chunk_index"), "chunk_id")
+
+
+def _questions(spark, folder):
+    return questions.build_questions(_placed_candidates(spark, folder))
 
 
 @query
 def eval_candidates(spark, folder):
-    found = questions.extract_candidates(_question_chunks(spark, folder))
-    return found.select("chunk_id", F.posexplode("candidates").alias("slot", "c")).select(
+    found = questions.chunk_candidates(_question_chunks(spark, folder))
+    return rows_of(found, ["chunk_id"], F.col("candidates"), "slot", "c").select(
         "chunk_id",
         "slot",
         "c.question_type",
@@ -670,18 +680,16 @@ def eval_candidates(spark, folder):
 
 @query
 def eval_rotation(spark, folder):
-    found = questions.extract_candidates(_question_chunks(spark, folder))
+    found = _placed_candidates(spark, folder)
     chosen = questions.select_candidates(F.col("candidates"), F.col("chunk_index"))
-    return found.select(
-        "document_id", "chunk_index", F.posexplode(chosen).alias("slot", "c")
-    ).select(
+    return rows_of(found, ["document_id", "chunk_index"], chosen, "slot", "c").select(
         "document_id", "chunk_index", "slot", "c.question_type", F.md5("c.answer").alias("answer_md5")
     )
 
 
 @query
 def eval_questions(spark, folder):
-    return questions.build_questions(_question_chunks(spark, folder)).select(
+    return _questions(spark, folder).select(
         "id",
         "question",
         F.md5("answer").alias("answer_md5"),
@@ -700,30 +708,33 @@ def eval_questions(spark, folder):
 
 @query
 def eval_adversarial(spark, folder):
-    made = questions.build_questions(_question_chunks(spark, folder))
-    return made.filter("not is_answerable").select("id", "question", "chunk_id", "difficulty")
+    return _questions(spark, folder).filter("not is_answerable").select(
+        "id", "question", "chunk_id", "difficulty"
+    )
 
 
 @query
 def eval_difficulty(spark, folder):
-    made = questions.build_questions(_question_chunks(spark, folder))
-    return made.groupBy("question_type", "difficulty").agg(F.count("*").alias("n_items"))
+    return _questions(spark, folder).groupBy("question_type", "difficulty").agg(
+        F.count("*").alias("n_items")
+    )
 
 
 @query
 def eval_grounding_violations(spark, folder):
-    chunks = _question_chunks(spark, folder)
-    return questions.question_violations(questions.build_questions(chunks), chunks, target=1)
+    return questions.question_violations(
+        _questions(spark, folder), _question_chunks(spark, folder), target=1
+    )
 
 
 @query
 def eval_metadata(spark, folder):
-    return questions.question_counts(questions.build_questions(_question_chunks(spark, folder)))
+    return questions.question_counts(_questions(spark, folder))
 
 
 @query
 def eval_document_report(spark, folder):
-    return questions.document_report(questions.build_questions(_question_chunks(spark, folder)))
+    return questions.document_report(_questions(spark, folder))
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
+from lectern.functions.arrays import rows_of
 from lectern.functions.text import TokenCounter, count_tokens, split_lines
 from lectern.operators.layout import SEGMENT_ITEMS, marked_blocks
 from lectern.operators.sections import chunk_ids, document_chunks, line_chunks
@@ -16,11 +17,8 @@ def chunk_items(
     items: DataFrame, counter: TokenCounter = count_tokens, limit: int = fixed.MAX_CHUNK_TOKENS
 ) -> DataFrame:
     """Chunks straight from layout items, without joining a document into one text."""
-    blocks = marked_blocks(items).select(
-        "doc_id",
-        "item_pos",
-        F.posexplode(split_lines(F.concat("block", F.lit("\n\n")))).alias("line_pos", "line"),
-    )
+    lines = split_lines(F.concat("block", F.lit("\n\n")))
+    blocks = rows_of(marked_blocks(items), ["doc_id", "item_pos"], lines, "line_pos", "line")
     return line_chunks(
         blocks,
         ["doc_id"],

@@ -236,8 +236,9 @@ def cleaned(text: str) -> str:
 
 
 _PAIRS = f"""
-SELECT conv_id, turn // 2 AS ch, 'CHAPITRE ' || (turn // 2 + 1) || chr(10) || chr(10) ||
-  {cleaned("string_agg(text, chr(10) || chr(10) ORDER BY turn)")} AS text FROM conversations GROUP BY ALL"""
+SELECT conv_id, ch, 'CHAPITRE ' || (ch + 1) || chr(10) || chr(10) || {cleaned("body")} AS text
+FROM (SELECT conv_id, turn // 2 AS ch, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body
+      FROM conversations GROUP BY ALL)"""
 
 # A chapter opens on its even turn's page; the next turn's page mark, which stands in
 # front of the next chapter line, still belongs to it.
@@ -605,9 +606,9 @@ _SELECTED = f"""
 WITH c AS MATERIALIZED ({_CANDIDATES}),
 pick AS (SELECT *, CASE WHEN n > 1 AND chunk_index % 3 <> 0 THEN 1 + chunk_index % (n - 1) ELSE 0 END AS main,
     CASE WHEN n > 2 AND chunk_index % 4 = 0 THEN 2 + chunk_index % (n - 2) END AS extra FROM c),
-both AS (SELECT *, 0 AS turn FROM pick WHERE slot = main UNION ALL
+chosen AS (SELECT *, 0 AS turn FROM pick WHERE slot = main UNION ALL
          SELECT *, 1 AS turn FROM pick WHERE slot = extra AND extra <> main)
-SELECT * FROM both"""
+SELECT * FROM chosen"""
 
 ORACLES["eval_rotation"] = f"""
 SELECT document_id, chunk_index, turn::INTEGER AS slot, question_type, md5(answer) AS answer_md5 FROM ({_SELECTED})"""
@@ -621,18 +622,18 @@ def _difficulty(kind: str, text: str) -> str:
 
 _QUESTIONS = f"""
 WITH sel AS MATERIALIZED ({_SELECTED}), ch AS MATERIALIZED ({_CHUNKS}),
-placed AS (SELECT *, row_number() OVER (ORDER BY document_id, chunk_index) - 1 AS at, count(*) OVER () AS total FROM ch),
+placed AS (SELECT *, row_number() OVER (ORDER BY document_id, chunk_index) - 1 AS spot FROM ch),
 cnt AS (SELECT count(*) AS items, greatest(1, round_even(count(*) * 0.05::DOUBLE, 0))::BIGINT AS adv FROM sel),
-drawn AS (SELECT j, (j * 37 + 11) % (SELECT count(*) FROM ch) AS at,
+drawn AS (SELECT j, (j * 37 + 11) % (SELECT count(*) FROM ch) AS spot,
   (list_value({", ".join(_quoted(q) for q in fixed.ADVERSARIAL_QUESTIONS)}))[j % 5 + 1] AS base
   FROM (SELECT unnest(range(adv)) AS j FROM cnt)),
-named AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY at, base ORDER BY j) = 1 THEN base
+named AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY spot, base ORDER BY j) = 1 THEN base
   ELSE left(base, length(base) - 1) || ' (référence ' || j || ') ?' END AS question FROM drawn)
 SELECT row_number() OVER (ORDER BY document_id, chunk_index, turn) AS number, question, answer, 'extractive' AS answer_type,
   question_type, document_id, chunk_id, text, support, true AS is_answerable FROM sel
 UNION ALL
 SELECT items + j + 1, question, 'Information non disponible dans le document', 'unanswerable', 'unanswerable', document_id,
-  chunk_id, text, '', false FROM named JOIN placed USING (at), cnt"""
+  chunk_id, text, '', false FROM named JOIN placed USING (spot), cnt"""
 
 ORACLES["eval_questions"] = f"""
 SELECT printf('eval_%06d', number) AS id, question, md5(answer) AS answer_md5, answer_type, question_type,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.arrays import bind
+from lectern.functions.arrays import bind, rows_of
 from lectern.functions.text import collapse
 
 # What is skipped, what opens an item, what ends it.
@@ -95,6 +95,6 @@ def html_items(pages: DataFrame, html: str = "html") -> DataFrame:
     ends where the next one opens. Items without text are dropped.
     """
     others = [name for name in pages.columns if name != html]
-    return pages.select(*others, F.posexplode(_items(F.col(html))).alias("item_pos", "item")).select(
+    return rows_of(pages, others, _items(F.col(html)), "item_pos", "item").select(
         *others, "item_pos", "item.*"
     )
