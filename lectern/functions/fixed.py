@@ -7,8 +7,13 @@ involved.
 
 # ---- character classes (fixed values) -------------------------------------------------
 W = r"[\p{L}\p{N}_]"
-S = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NOT_S = r"[^\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Blanks beyond Latin-1 sit behind one range test, so that ordinary letters fail at once.
+_FAR_BLANKS = (
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+)
+S = rf"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0{_FAR_BLANKS}]"
+NOT_S = rf"[^\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0{_FAR_BLANKS}]"
+S_BUT_NEWLINE = rf"[\t\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0{_FAR_BLANKS}]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 DIGIT = r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
 
@@ -59,6 +64,7 @@ BM25_B = 0.75
 RRF_K = 60
 
 # ---- question generation (fixed values) -----------------------------------------------
+# A leading (?=[...]) names the characters a match can start with; it only saves time.
 UNIT_SPLIT = rf"(?<=[.!?]){S}+|\n+"
 UNIT_MIN_CHARS = 12
 UNIT_JUNK = rf"^(?:[\p{{Nd}}./>-]|{S})+$"
@@ -68,10 +74,10 @@ TARGET_PER_DOCUMENT = 500
 ADVERSARIAL_SHARE = 0.05
 
 DEFINITION_VERBS = (
-    rf"(?<!{W})(?:est|sont|désigne|design[eé]|signifie|correspond à|constitue|se définit)(?!{W})"
+    rf"(?=[cdes])(?<!{W})(?:est|sont|désigne|design[eé]|signifie|correspond à|constitue|se définit)(?!{W})"
 )
 LEGAL_REFERENCE = (
-    rf"(?iu)(?:article{S}+(?:L\.?|R\.?|D\.?|2111-9|8\.1){S}*[\p{{L}}\p{{N}}_.-]+"
+    rf"(?=[AaDdLlRr])(?iu)(?:article{S}+(?:L\.?|R\.?|D\.?|2111-9|8\.1){S}*[\p{{L}}\p{{N}}_.-]+"
     rf"(?:{S}+du{S}+code{S}+des{S}+transports)?"
     rf"|décret{S}+n[°º]?{S}*[\p{{L}}\p{{N}}_.-]+(?:{S}+du{S}+[^,;.]+)?"
     rf"|loi{S}+n[°º]?{S}*[\p{{L}}\p{{N}}_.-]+(?:{S}+du{S}+[^,;.]+)?"
@@ -79,7 +85,7 @@ LEGAL_REFERENCE = (
     rf"|règlement{S}+(?:UE|européen)[\p{{L}}\p{{N}}_/() .-]*)"
 )
 QUANTITY = (
-    rf"(?iu)(?:(?<!{W})\p{{Nd}}+(?:[,.]\p{{Nd}}+)?{S}*(?:[€%](?={W})"
+    rf"(?=[\p{{Nd}}Jj])(?iu)(?:(?<!{W})\p{{Nd}}+(?:[,.]\p{{Nd}}+)?{S}*(?:[€%](?={W})"
     rf"|(?:euros?|ans?|mois|jours?|heures?|minutes?|km|m|trains?|fois|personnes?|pages?)(?!{W}))"
     rf"|(?<!{W})J[- ]\p{{Nd}}+(?!{W})"
     rf"|(?<!{W})\p{{Nd}}{{1,2}}[h:]\p{{Nd}}{{2}}(?!{W})"
@@ -88,20 +94,20 @@ QUANTITY = (
 )
 BARE_YEAR = r"^\p{Nd}{4}$"
 DEADLINE = (
-    r"(?iu)(?:avant le|au plus tard|à compter du|jusqu'au|date limite|délai|horaire"
+    r"(?=[AaÀàDdHhJj\p{Nd}])(?iu)(?:avant le|au plus tard|à compter du|jusqu'au|date limite|délai|horaire"
     r"|heures? de service|J[- ]\p{Nd}+|\p{Nd}{1,2}[h:]\p{Nd}{2}"
     r"|\p{Nd}{1,2}/\p{Nd}{1,2}/\p{Nd}{2,4})"
 )
 ENUMERATOR = rf"^(?:\p{{Nd}}+[°.)]|[a-e][).]|[-–•]){S}*"
 ACTION_VERBS = (
-    rf"(?<!{W})(?:doit|peut|adresse|transmet|dépose|procédure|étape|demande|organise|coordonne)(?!{W})"
+    rf"(?=[acdopté])(?<!{W})(?:doit|peut|adresse|transmet|dépose|procédure|étape|demande|organise|coordonne)(?!{W})"
 )
 ACTORS = (
-    rf"(?iu)(?<!{W})(?:SNCF Réseau|ART|candidat|entreprise ferroviaire"
+    rf"(?=[AaCcEeGgSsÉéſ])(?iu)(?<!{W})(?:SNCF Réseau|ART|candidat|entreprise ferroviaire"
     rf"|gestionnaire d.infrastructure|État|AOT|AOM)(?!{W})"
 )
 ROLE_VERBS = (
-    rf"(?<!{W})(?:doit|assure|est|organise|coordonne|responsable|incombe|peut|adresse|reçoit|gère)(?!{W})"
+    rf"(?=[acdegiopr])(?<!{W})(?:doit|assure|est|organise|coordonne|responsable|incombe|peut|adresse|reçoit|gère)(?!{W})"
 )
 
 TYPE_STRUCTURE = "locational/structural"

@@ -60,8 +60,7 @@ def split_lines(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Right-trim each line, squeeze runs of blank lines to one, trim the whole."""
-    inner = fixed.S.replace(r"[\t-\r", r"[\t\x0b-\r")
-    trimmed = F.regexp_replace(text, rf"(?m){inner}+$", "")
+    trimmed = F.regexp_replace(text, rf"(?m){fixed.S_BUT_NEWLINE}+$", "")
     return strip(F.regexp_replace(trimmed, r"\n{3,}", "\n\n"))
 
 
@@ -156,8 +155,12 @@ def _fold_tables() -> tuple[str, str, str]:
     return "".join(source), "".join(target), f"[^{ranges}]"
 
 
+# Latin-1 characters that do not fold alone, and all beyond: a quick first test.
+_BEYOND_LATIN = r"[\xa8\xaf\xb4\xb8\xbc\xbd\xbe\x{100}-\x{10ffff}]"
+
+
 def needs_python_fold(text: Column) -> Column:
-    return text.rlike(_fold_tables()[2])
+    return text.rlike(_BEYOND_LATIN) & text.rlike(_fold_tables()[2])
 
 
 def _native_fold(text: Column) -> Column:

@@ -182,7 +182,7 @@ def extract_candidates(chunks: DataFrame, text: str = "text", path: str = "secti
         inside = (F.col("__heading") != "") & folded[0].contains(folded[1])
         return F.struct(
             folded[0].alias("text"),
-            native_normalise(F.col(text)).alias("plain"),
+            F.when(F.col("__hard"), native_normalise(F.col(text))).alias("plain"),
             bind(units, lambda u: _raw_candidates(u, F.col("__heading"), inside)).alias("raw"),
         )
 
@@ -203,7 +203,9 @@ def extract_candidates(chunks: DataFrame, text: str = "text", path: str = "secti
         def distinct(all_entries):
             def keep(e, i):
                 low = e["key"]["answer"]
-                grounded = env["text"].contains(low) | env["plain"].contains(low)
+                grounded = env["text"].contains(low) | F.coalesce(
+                    env["plain"].contains(low), F.lit(False)
+                )
                 earlier = F.exists(F.slice(all_entries, 1, i), lambda p: p["key"] == e["key"])
                 return (e["c"]["answer"] != "") & grounded & ~earlier
 

@@ -13,6 +13,7 @@ from lectern.operators.fusion import reciprocal_rank_fusion
 from lectern.operators.metrics import gold_matches, retrieval_metrics
 from lectern.operators.rerank import rerank
 from lectern.operators.sparse import bm25_topk
+from lectern.session import reliable_checkpoint
 
 Embed = Callable[[Column], Column]
 Score = Callable[[Column, Column], Column]
@@ -22,14 +23,22 @@ def with_vectors(texts: DataFrame, key: str, embed: Embed, text: str = "text") -
     return texts.select(key, embed(F.col(text)).alias("vector"))
 
 
+# Ranked rows are sent to the scan of the items only up to this many; beyond it Spark joins
+# by shuffle.
+BROADCAST_RANKED = 1_000_000
+
+
 def with_texts(ranked: DataFrame, questions: DataFrame, items: DataFrame) -> DataFrame:
     """Put question and item texts back beside ranked ids.
 
-    Ranking moves ids and scores only; the texts join a result of k rows per question.
+    Ranking moves ids and scores only. Its result, k rows per question, is checkpointed and
+    counted: within the bound it goes to where the items are scanned, so that only the
+    texts that were found leave the scan.
     """
-    return ranked.join(questions.select("query_id", F.col("text").alias("query")), "query_id").join(
-        items.select("item_id", "text"), "item_id"
-    )
+    ranked = reliable_checkpoint(ranked)
+    found = F.broadcast(ranked) if ranked.count() <= BROADCAST_RANKED else ranked
+    asked = questions.select("query_id", F.col("text").alias("query"))
+    return items.select("item_id", "text").join(found, "item_id").join(asked, "query_id")
 
 
 def hybrid_retrieve(
