@@ -44,7 +44,10 @@ def document_id_of(path: Column) -> Column:
 
 
 def read_full_documents(spark: SparkSession, root: str) -> DataFrame:
-    """All full-document markdown files below a folder: ``doc_id, source_file, text``."""
+    """All full-document markdown files below a folder: ``doc_id, source_file, text``.
+
+    Spark skips files and folders whose name begins with an underscore or a dot.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
