@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,38 +55,47 @@ def bm25_topk(
     """
     terms = query_terms(queries, query_id, query_text)
     texts = items.select(item_id, words(F.col(item_text)).alias("words"))
-    size = terms.count()
-    lengths = texts.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("total")).first()
-    n_items, total = lengths["n"], lengths["total"] or 0
-    average = total / n_items if total else 1.0
     schema = StructType(
         [queries.schema[query_id], items.schema[item_id], StructField("score", DoubleType())]
     )
-    if size <= broadcast_terms:
-        hits = _score_in_place(terms, texts, k, query_id, item_id, n_items, average, schema)
+    if terms.count() <= broadcast_terms:
+        hits = _score_in_place(terms, texts, k, query_id, item_id, schema)
     else:
-        hits = _score_by_join(terms, texts, query_id, item_id, n_items, average)
+        hits = _score_by_join(terms, texts, query_id, item_id)
     return rank_results(hits, k, query_id, item_id, "score")
 
 
-def _score_in_place(terms, texts, k, query_id, item_id, n_items, average, schema) -> DataFrame:
+def _score_in_place(terms, texts, k, query_id, item_id, schema) -> DataFrame:
     spark = texts.sparkSession
-    vocabulary = F.broadcast(terms.select("term").distinct())
+    # The empty word stands for the item itself: its row counts the items and their words.
+    vocabulary = terms.select("term").distinct().unionByName(spark.sql("SELECT '' AS term"))
+    sized = texts.select(F.size("words").alias("length"), "words")
+    with_item = F.array_append(F.array_distinct("words"), F.lit(""))
     found = (
-        rows_of(texts, [], F.array_distinct("words"), "__i", "term")
-        .select("term")
-        .join(vocabulary, "term")
+        rows_of(sized, ["length"], with_item, "__i", "term")
+        .join(F.broadcast(vocabulary), "term")
         .groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .select("term", _idf(F.lit(float(n_items)), F.col("df")).alias("idf"))
+        .agg(F.count("*").alias("df"), F.sum("length").alias("total"))
+        .toArrow()
+        .to_pylist()
+    )
+    counts = {row["term"]: row for row in found}
+    whole = counts.pop("", {"df": 0, "total": 0})
+    average = whole["total"] / whole["df"] if whole["total"] else 1.0
+    frequency = {
+        term: math.log(1.0 + (whole["df"] - row["df"] + 0.5) / (row["df"] + 0.5))
+        for term, row in counts.items()
+    }
+    weighted = terms.toArrow()
+    weighted = weighted.filter(
+        pc.is_in(weighted["term"], value_set=pa.array(list(frequency), pa.string()))
     )
-    weighted = terms.join(F.broadcast(found), "term").toArrow()
     query_ids = pc.unique(weighted[query_id])
     query_ids = query_ids.take(pc.sort_indices(query_ids))
     all_terms = pc.unique(weighted["term"])
     term_of = pc.index_in(weighted["term"], all_terms).to_numpy().astype(np.int64)
     query_of = pc.index_in(weighted[query_id], query_ids).to_numpy().astype(np.int64)
-    idf = weighted["idf"].to_numpy()
+    idf = np.array([frequency[term] for term in weighted["term"].to_pylist()])
     shared = spark.sparkContext.broadcast((query_ids, all_terms, term_of, query_of, idf))
     names = schema.names
 
@@ -133,9 +143,12 @@ def _score_in_place(terms, texts, k, query_id, item_id, n_items, average, schema
     return texts.mapInArrow(scan, schema)
 
 
-def _score_by_join(terms, texts, query_id, item_id, n_items, average) -> DataFrame:
+def _score_by_join(terms, texts, query_id, item_id) -> DataFrame:
     """Postings joined with query terms on the term; hot terms are split by adaptive skew
     handling, and partial sums meet on ``(query, item)``."""
+    lengths = texts.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("total")).first()
+    n_items, total = lengths["n"], lengths["total"] or 0
+    average = total / n_items if total else 1.0
     postings = (
         rows_of(
             texts.withColumn("length", F.size("words")),

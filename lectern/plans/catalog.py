@@ -23,16 +23,17 @@ from lectern.operators.scans import running_last, running_sum
 from lectern.operators.sparse import bm25_topk, words
 from lectern.operators.topk import rank_results
 from lectern.plans.retrieval import with_texts, with_vectors
-from lectern.session import spread
+from lectern.session import scratch_path, spread
 from lectern.sources.collection import merged, vector_stats
+from lectern.sources.files import document_id_of, read_chunks, write_chunks
 from lectern.sources.html import html_items
+from lectern.streaming.indexing import index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 HASH_DIM = 64
 SEGMENT_TURNS = 256
-SEGMENT_SECONDS = 6 * 3600
 SEGMENT_IDS = 4096
 
 
@@ -105,6 +106,13 @@ def numeric_line_signal(spark, folder):
     )
 
 
+@query
+def text_sample(spark, folder):
+    return table(spark, folder, "documents", "doc_id", "text").select(
+        "doc_id", F.md5(profile.text_sample(F.col("text"))).alias("sample_md5")
+    )
+
+
 # ---- layout ---------------------------------------------------------------------------
 
 
@@ -179,7 +187,7 @@ def page_tracking(spark, folder):
 def page_asof(spark, folder):
     events = table(spark, folder, "events", "event_id", "user_id", "ts", "event_type")
     marker = F.when(F.col("event_type") == "error", F.col("event_id"))
-    segment = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / SEGMENT_SECONDS)
+    segment = F.unix_date(F.to_date("ts"))
     return running_last(
         events, ["user_id"], ["ts", "event_id"], segment, {"last": marker}, first={"opening": marker}
     ).select(
@@ -353,8 +361,6 @@ def chunk_token_recount(spark, folder):
 @query
 def chunk_ids(spark, folder):
     name = F.concat(F.lit("_DRR-"), F.col("doc_id").cast("string"), F.lit("_full_document"))
-    from lectern.sources.files import document_id_of
-
     path = F.concat(F.lit("/text/"), name, F.lit("/x_full_document.md"))
     return _document_chunks(spark, folder).select(
         sections.chunk_ids(document_id_of(path), F.col("chunk_index")).alias("chunk_id"),
@@ -362,6 +368,48 @@ def chunk_ids(spark, folder):
     )
 
 
+def _chunk_files(spark, folder):
+    """Chunks of all documents written as JSON lines; the folder they are in."""
+    name = F.format_string("d%d", "doc_id")
+    chunks = _document_chunks(spark, folder).select(
+        sections.chunk_ids(name, F.col("chunk_index")).alias("chunk_id"),
+        # One folder per document is the form of a small corpus; here a few folders do.
+        F.format_string("part-%d", F.pmod(F.xxhash64("doc_id"), F.lit(8))).alias("document_id"),
+        "text",
+        "token_count",
+        F.array(name).alias("section_path"),
+        F.lit(1).alias("page_start"),
+        F.lit(None).cast("int").alias("page_end"),
+    )
+    path = scratch_path(spark, "chunks")
+    write_chunks(chunks, path)
+    return path
+
+
+def _per_document(points, document, tokens):
+    return points.groupBy(document.alias("document")).agg(
+        F.count("*").alias("n_chunks"), F.sum(tokens).alias("n_tokens")
+    )
+
+
+@query
+def chunk_files(spark, folder):
+    """Chunk records written to JSON lines and read back with their keys checked."""
+    read = read_chunks(spark, _chunk_files(spark, folder), pattern="*.json")
+    return _per_document(read, F.col("section_path")[0], F.col("token_count"))
+
+
+@query
+def streamed_index(spark, folder):
+    """Chunk files taken up by the streaming index, points counted per document."""
+    store, mark = scratch_path(spark, "points"), scratch_path(spark, "stream")
+    stream = index_stream(spark, _chunk_files(spark, folder), store, mark, _hash_embed)
+    stream.awaitTermination()
+    points = spark.read.parquet(store)
+    payload = F.col("payload")
+    return _per_document(points, payload["section_path"][0], payload["token_count"])
+
+
 # ---- vectors --------------------------------------------------------------------------
 
 

@@ -82,6 +82,8 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docum
 SELECT doc_id, (count(*) FILTER (regexp_matches(line, '\p{Nd}') AND length(trim(line)) < 40))::INTEGER
        AS numeric_lines, count(*)::INTEGER AS total_lines FROM l GROUP BY doc_id"""
 
+ORACLES["text_sample"] = "SELECT doc_id, md5(left(text, 800)) AS sample_md5 FROM documents"
+
 # ---- layout ---------------------------------------------------------------------------
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
@@ -347,6 +349,13 @@ ORACLES["chunk_token_recount"] = f"""
 SELECT count(*) AS n_chunks, count(*) FILTER (token_count <> token_sum) AS n_recount_differs,
   count(*) FILTER (token_count > 256) AS n_above_limit, max(token_count) AS largest FROM ({_DOC_CHUNKS})"""
 
+_CHUNKS_PER_DOCUMENT = f"""
+SELECT 'd' || doc_id AS document, count(*) AS n_chunks, sum(token_count)::BIGINT AS n_tokens
+FROM ({_DOC_CHUNKS}) GROUP BY doc_id"""
+
+ORACLES["chunk_files"] = _CHUNKS_PER_DOCUMENT
+ORACLES["streamed_index"] = _CHUNKS_PER_DOCUMENT
+
 ORACLES["chunk_ids"] = f"""
 SELECT 'drr-' || doc_id || '_chunk_' || CASE WHEN chunk < 10000 THEN lpad(chunk::VARCHAR, 4, '0') ELSE chunk::VARCHAR END
   AS chunk_id, token_count FROM ({_DOC_CHUNKS})"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Text stages are bound by CPU, not bytes: let small shuffles keep one task per core.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -40,14 +42,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for checkpoints and intermediate tables that all machines can see.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local
-    master (tests, bench) may fall back to a temporary folder, because on a cluster
-    such a folder would not be visible to the other machines.
+    It is the one the session names in ``spark.checkpoint.dir``. Only a local master
+    (tests, bench) may fall back to a temporary folder, because on a cluster such a folder
+    would not be visible to the other machines.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,4 +57,15 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="lectern-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

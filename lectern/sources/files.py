@@ -97,14 +97,15 @@ def read_page_index(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """Chunk records from JSON lines, every required key checked.
 
     A record without one of the keys fails the job when it is read. The page and path
     keys must be present but may hold null.
     """
     required = ("chunk_id", "document_id", "text", "section_path", "page_start", "page_end")
-    lines = spark.read.text(path, pathGlobFilter="*.jsonl").filter(F.trim("value") != "")
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    lines = reader.text(path).filter(F.trim("value") != "")
     keys = F.json_object_keys("value")
     missing = F.array_except(F.array(*[F.lit(k) for k in required]), keys)
     ok = F.coalesce(F.size(missing) == 0, F.lit(False))
