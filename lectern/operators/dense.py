@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (makes pa.compute available)
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lectern.functions.vectors import SCORE_DIGITS, matrix, unit_rows
 from lectern.operators.topk import RunningBest, best_per_query, id_order, rank_results
+from lectern.session import reliable_checkpoint
 
 # A query set is sent to every task only below this size; beyond it the grid is used.
 BROADCAST_BYTES = 64 << 20
@@ -51,14 +52,16 @@ def dense_topk(
     Every query is compared with every item by block matrix products inside the tasks;
     only the k best per task and query leave it. A query set whose measured size is within
     ``broadcast_bytes`` goes to all tasks and the items stay where they are scanned, with
-    no shuffle of vectors. A larger one is cut with the items into a grid of bounded
-    blocks. ``within`` names a column whose value must be equal on both sides. Items with
+    no shuffle of vectors. A larger one is cut with the items, which are then checkpointed,
+    into a grid of bounded blocks. ``within`` names a column whose value must be equal on both sides. Items with
     a zero vector have no similarity and are not returned.
     """
     spark = items.sparkSession
     extra = [within] if within else []
-    queries = queries.select(query_id, vector, *extra).filter(F.col(vector).isNotNull())
-    items = items.select(item_id, vector, *extra).filter(F.col(vector).isNotNull())
+    # The query vectors may come from a model: they are computed once and kept.
+    queries = reliable_checkpoint(queries.select(query_id, vector, *extra))
+    queries = queries.filter(F.col(vector).isNotNull())
+    items = items.select(item_id, vector, *extra)
     schema = StructType(
         [queries.schema[query_id], items.schema[item_id], StructField("similarity", DoubleType())]
     )
@@ -80,6 +83,8 @@ def dense_topk(
             ids, vectors, groups = shared.value
             best = RunningBest(len(ids), k)
             for batch in batches:
+                # A filter before this stage would compute the vectors a second time.
+                batch = batch.filter(pc.is_valid(batch.column(vector)))
                 if batch.num_rows and len(ids):
                     same = None
                     if groups is not None:
@@ -100,6 +105,7 @@ def dense_topk(
 def _grid(queries, items, n_queries, k, query_id, item_id, vector, within, schema) -> DataFrame:
     """Block-by-block search: every query block meets every item block in its own task."""
     q_blocks = -(-n_queries // QUERY_BLOCK)
+    items = reliable_checkpoint(items).filter(F.col(vector).isNotNull())
     i_blocks = max(1, -(-items.count() // ITEM_BLOCK))
 
     def blocks(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:

@@ -379,7 +379,11 @@ def _chunk_fields(question_type: Column) -> list[Column]:
 
 
 def question_violations(questions: DataFrame, chunks: DataFrame, target: int | None = None) -> DataFrame:
-    """Number of violations of every rule a question set must keep, as one row each."""
+    """Number of violations of every rule a question set must keep, as one row each.
+
+    The questions are checkpointed, since every rule reads them.
+    """
+    questions = reliable_checkpoint(questions)
 
     def total(df: DataFrame, rule: str) -> DataFrame:
         return df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")

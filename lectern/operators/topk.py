@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ class RunningBest:
 
 def id_order(ids: pa.Array) -> np.ndarray:
     """Rank of every id in ascending order (equal ids in any order)."""
-    by = np.asarray(pa.compute.sort_indices(ids))
+    by = np.asarray(pc.sort_indices(ids))
     order = np.empty(len(by), np.int64)
     order[by] = np.arange(len(by))
     return order

@@ -373,11 +373,10 @@ def _chunk_files(spark, folder):
     name = F.format_string("d%d", "doc_id")
     chunks = _document_chunks(spark, folder).select(
         sections.chunk_ids(name, F.col("chunk_index")).alias("chunk_id"),
-        # One folder per document is the form of a small corpus; here a few folders do.
-        F.format_string("part-%d", F.pmod(F.xxhash64("doc_id"), F.lit(8))).alias("document_id"),
+        name.alias("document_id"),
         "text",
         "token_count",
-        F.array(name).alias("section_path"),
+        F.array(F.lit("all")).alias("section_path"),
         F.lit(1).alias("page_start"),
         F.lit(None).cast("int").alias("page_end"),
     )
@@ -396,7 +395,7 @@ def _per_document(points, document, tokens):
 def chunk_files(spark, folder):
     """Chunk records written to JSON lines and read back with their keys checked."""
     read = read_chunks(spark, _chunk_files(spark, folder), pattern="*.json")
-    return _per_document(read, F.col("section_path")[0], F.col("token_count"))
+    return _per_document(read, F.col("document_id"), F.col("token_count"))
 
 
 @query
@@ -407,7 +406,7 @@ def streamed_index(spark, folder):
     stream.awaitTermination()
     points = spark.read.parquet(store)
     payload = F.col("payload")
-    return _per_document(points, payload["section_path"][0], payload["token_count"])
+    return _per_document(points, payload["document_id"], payload["token_count"])
 
 
 # ---- vectors --------------------------------------------------------------------------

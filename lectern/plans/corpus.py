@@ -10,7 +10,7 @@ from lectern.functions.arrays import rows_of
 from lectern.functions.text import TokenCounter, count_tokens, split_lines
 from lectern.operators.layout import SEGMENT_ITEMS, marked_blocks
 from lectern.operators.sections import chunk_ids, document_chunks, line_chunks
-from lectern.sources.files import read_full_documents, write_chunks
+from lectern.sources.files import read_chunks, read_full_documents, write_chunks
 
 
 def chunk_items(
@@ -42,5 +42,6 @@ def chunk_table(
 
 def chunk_folder(spark, root: str, out: str, limit: int = fixed.MAX_CHUNK_TOKENS) -> DataFrame:
     """Chunk all full-document files below ``root`` into JSON lines; counts per document."""
-    write_chunks(chunk_table(read_full_documents(spark, root), limit=limit), out)
-    return spark.read.json(out).groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+    chunks = chunk_table(read_full_documents(spark, root), limit=limit)
+    write_chunks(chunks, out, by_document=True)
+    return read_chunks(spark, out, "*.json").groupBy("document_id").agg(F.count("*").alias("n_chunks"))

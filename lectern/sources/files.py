@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions import fixed
+from lectern.operators.layout import index_lines, page_item_markdown, usable_items
 
 CHUNK_SCHEMA = T.StructType(
     [
@@ -117,11 +118,16 @@ def read_chunks(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Dat
     )
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunk records as JSON lines, one folder per document, earlier output replaced."""
-    chunks.withColumn("folder", F.col("document_id")).select(
-        "folder", *CHUNK_SCHEMA.names
-    ).write.mode("overwrite").partitionBy("folder").option("ignoreNullFields", "false").json(path)
+def write_chunks(chunks: DataFrame, path: str, by_document: bool = False) -> None:
+    """Chunk records as JSON lines, earlier output replaced.
+
+    ``by_document`` makes one folder per document: for a corpus of few, large documents.
+    """
+    writer = chunks.select(*CHUNK_SCHEMA.names)
+    if by_document:
+        writer = writer.withColumn("folder", F.col("document_id")).repartition("folder")
+    writer = writer.write.mode("overwrite").option("ignoreNullFields", "false")
+    (writer.partitionBy("folder") if by_document else writer).json(path)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -174,23 +180,18 @@ def write_statistics(counts: DataFrame, path: str) -> None:
 
 
 def write_page_texts(items: DataFrame, path: str) -> None:
-    """Page texts as a table partitioned by document, in place of one file per page."""
-    from lectern.operators.layout import page_item_markdown, usable_items
-
+    """Blocks of the page texts as a table in page order, in place of one file per page."""
     block = page_item_markdown(F.col("label"), F.col("text"))
-    usable_items(items).select(
-        "doc_id", "page_no", "item_pos", block.alias("block")
-    ).repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", "item_pos").write.mode(
-        "overwrite"
-    ).partitionBy("doc_id").parquet(path)
+    order = ["doc_id", "page_no", "item_pos"]
+    usable_items(items).select(*order, block.alias("block")).repartitionByRange(
+        *order
+    ).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
 def write_index(stats: DataFrame, path: str) -> None:
     """Index lines as text, one folder per document, in page order."""
-    from lectern.operators.layout import index_lines
-
-    index_lines(stats).repartitionByRange("doc_id", "page_no").sortWithinPartitions(
-        "doc_id", "page_no"
-    ).select("doc_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(
-        path
-    )
+    order = ["doc_id", "page_no"]
+    lines = index_lines(stats).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("doc_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy(
+        "doc_id"
+    ).text(path)
