@@ -146,6 +146,16 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return reader.json(path)
 
 
+def read_curated_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Hand-curated items: files that each hold one JSON array.
+
+    ``Gold_chunk_id`` may be a string or an array and is kept as text;
+    ``operators.metrics.normalise_gold`` brings both to an array.
+    """
+    schema = "Question string, Gold_chunk_id string, golden_answer string"
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
 def read_question_lines(
     spark: SparkSession, path: str, schema: str, limit: int = fixed.REWRITE_LIMIT
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.vectors import hash_embedder
 from lectern.operators.layout import page_stats
+from lectern.operators.metrics import normalise_gold
 from lectern.plans.corpus import chunk_folder, chunk_table
 from lectern.sources import collection, files
 from lectern.streaming.indexing import index_stream
@@ -72,6 +73,19 @@ def test_questions_from_file_or_folder(spark, tmp_path):
         files.read_questions(spark, str(tmp_path / "missing"))
 
 
+def test_curated_questions(spark, tmp_path):
+    items = [
+        {"Question": "q1", "Gold_chunk_id": "a", "golden_answer": "x"},
+        {"Question": "q2", "Gold_chunk_id": ["a", "b"], "golden_answer": "y"},
+    ]
+    (tmp_path / "c.json").write_text(json.dumps(items, indent=2))
+    rows = normalise_gold(files.read_curated_questions(spark, str(tmp_path))).orderBy("question").collect()
+    assert [(r.question, r.gold_chunk_ids, r.golden_answer) for r in rows] == [
+        ("q1", ["a"], "x"),
+        ("q2", ["a", "b"], "y"),
+    ]
+
+
 def test_line_limit_counts_blank_and_bad_lines(spark, tmp_path):
     path = tmp_path / "q.jsonl"
     path.write_text('{"question": "a"}\n\nnot json\n{"question": "b"}\n{"question": "c"}\n')
