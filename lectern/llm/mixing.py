@@ -30,7 +30,7 @@ from lectern.operators.scans import running_sum
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
-SLICE_ROWS = 20_000
+SLICE_ROWS = 5_000
 _SPACE = r"[^\x20\x09-\x0D]+"
 
 

@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.decontaminate import contamination
 from lectern.llm.mixing import mix_sources
+from lectern.llm.pii import pii_digest
 from lectern.llm.quality import quality_rules
+from lectern.llm.tokencount import count_tokens
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(
+        _documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")
+    )
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_documents(spark, folder))
 
@@ -29,9 +40,22 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_digest(_documents(spark, folder))
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(_documents(spark, folder), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES = {
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mixing": op8_source_mixing,
+    "op9_pii": op9_pii,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
