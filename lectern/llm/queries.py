@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.decontaminate import contamination
+from lectern.llm.langid import language_table
 from lectern.llm.mixing import mix_sources
 from lectern.llm.pii import pii_digest
 from lectern.llm.quality import quality_rules
 from lectern.llm.tokencount import count_tokens
+from lectern.llm.toxicity import toxicity_table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -18,6 +20,16 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_table(_documents(spark, folder))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_table(
+        _documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    )
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(
         _documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -51,6 +63,8 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mixing": op8_source_mixing,
