@@ -11,8 +11,8 @@ A document's features are its largest gains and how many windows gain. A logisti
 them, fitted on gains from dictionaries that the documents did not train, is the score, and
 0.7 its threshold.
 
-A word, or a word's beginning, marks toxic text if it follows many different words (copies of
-one passage count once), and does so much more often than in ordinary text. All labelled documents that are not
+A word marks toxic text if it follows many different words (copies of one passage count
+once), and does so much more often than in ordinary text. All labelled documents that are not
 held out may be learned from; a bounded sample of them is (``DOCS_PER_LABEL`` documents of
 each label, ``CHARS_PER_DOC`` characters of each). Scoring reads whole texts of all documents.
 
@@ -46,9 +46,9 @@ TOXIC_BYTES = 8_192
 ORDINARY_BYTES = 32_768
 ORDINARY_SAMPLES = 60_000
 MIN_CONTEXTS = 4
-MIN_LOG_ODDS = 3.0
+MIN_CONTEXT_SHARE = 0.003  # of the toxic documents, if that is more
+MIN_LOG_ODDS = 3.8
 RECHECK_GAIN = 2
-STEM_BYTES = (4, 5, 6, 7)
 _PUNCTUATION = b".,!?;:\"'()|#*$%&<>"
 
 
@@ -65,24 +65,19 @@ def _contexts(texts: list[str]) -> Counter:
             word = word.strip(_PUNCTUATION)
             pairs.add((before, word))
             before = word
-    words = Counter(word for _, word in pairs)
-    stems: Counter = Counter()
-    for word, n in words.items():
-        for size in STEM_BYTES:
-            if len(word) > size:
-                stems[word[:size]] += n
-    return words + stems
+    return Counter(word for _, word in pairs)
 
 
 def marking_words(toxic: list[str], ordinary: list[str]) -> dict[bytes, int]:
-    """Words and beginnings of words that mark toxic text, with the words they follow there."""
+    """Words that mark toxic text, with the number of words they follow there."""
     t, o = _contexts(toxic), _contexts(ordinary)
+    least = max(MIN_CONTEXTS, MIN_CONTEXT_SHARE * len(toxic))
     shift = math.log((sum(o.values()) + 1) / (sum(t.values()) + 1))
     return {
         w: n
         for w, n in t.items()
         if len(w) >= 3
-        and n >= MIN_CONTEXTS
+        and n >= least
         and math.log((n + 0.5) / (o[w] + 0.5)) + shift > MIN_LOG_ODDS
     }
 
@@ -203,14 +198,15 @@ def _logistic(rows: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> np.nd
 
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     marks = sorted(marking_words(toxic, ordinary).items(), key=lambda x: (x[1], x[0]))
-    # A word is given as often as it follows other words, up to a limit, the strongest last.
-    snippets = [b" " + word + b" " for word, n in marks for _ in range(min(n, 40))]
+    # zstandard's trainer needs samples longer than a word. A content dictionary is laid out
+    # as the trainer would: every word once, the strongest last, next to the text.
+    words = b"".join(b" " + word for word, _ in marks) + b" "
     plain = [
         b" ".join(w[i : i + 8]) for w in map(_words, ordinary) for i in range(0, len(w), 8)
     ]
     return (
         _dictionary(plain[:ORDINARY_SAMPLES], ORDINARY_BYTES),
-        _dictionary(snippets, TOXIC_BYTES) if snippets else b" ",
+        words[-TOXIC_BYTES:],
     )
 
 
