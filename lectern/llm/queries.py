@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.decontaminate import contamination
 from lectern.llm.langid import language_table
+from lectern.llm.linededup import ORACLE as LINE_ORACLE
+from lectern.llm.linededup import line_table
 from lectern.llm.mixing import mix_sources
 from lectern.llm.pii import pii_digest
 from lectern.llm.quality import quality_rules
@@ -36,6 +38,10 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_table(_documents(spark, folder))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_documents(spark, folder))
 
@@ -66,10 +72,11 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mixing": op8_source_mixing,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_dedup": LINE_ORACLE}
