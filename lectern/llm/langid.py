@@ -201,10 +201,10 @@ def predict(model: LanguageModel, column: pa.Array) -> tuple[list[str], np.ndarr
 
 def fit(docs: DataFrame, folds: int = FOLDS) -> LanguageModel:
     """Model from the documents that are not held out and have a language."""
-    rows = docs.select("doc_id", "text", "lang").filter(
-        (remainder(F.col("doc_id"), folds) != 0) & F.col("lang").isNotNull()
+    rows = docs.select("doc_id", F.col("lang").alias("label")).filter(
+        (remainder(F.col("doc_id"), folds) != 0) & F.col("label").isNotNull()
     )
-    return train(labelled_sample(rows, "lang", DOCS_PER_LANG, CHARS_PER_DOC))
+    return train(labelled_sample(docs, rows, DOCS_PER_LANG, CHARS_PER_DOC))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

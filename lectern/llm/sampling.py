@@ -11,31 +11,30 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(
-    rows: DataFrame, label: str, per_label: int, chars: int, max_labels: int | None = None
-) -> dict:
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, chars: int) -> dict:
     """Label to texts: at most ``per_label`` documents of each, at most ``chars`` of each.
 
-    ``rows`` has ``doc_id``, ``text`` and the label. Documents are taken in order of a hash of
-    their id. Of a longer text the sample has ``chars`` characters from a place that the hash
-    gives. Ids are ranked without texts; a window limit keeps ``per_label`` rows of each task.
+    ``labels`` has ``doc_id`` and ``label``. Documents are taken in order of a hash of their
+    id. Of a longer text the sample has ``chars`` characters from a place that the hash gives,
+    of several texts with one id the smallest piece. Ids are ranked without texts (a window
+    limit keeps ``per_label`` rows of each task), and only theirs are fetched: the ids are
+    broadcast, at most ``per_label`` for each label.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    narrow = rows.select("doc_id", label, F.length("text").alias("__n"), order.alias("__h"))
-    narrow = narrow.filter(F.col(label).isNotNull() & (F.col("__n") > 0))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("__h", "doc_id"))
-    ids = narrow.withColumn("__rank", rank).filter(F.col("__rank") <= per_label)
-    chosen = [r[0] for r in ids.select("doc_id").distinct().collect()]  # per_label ids a label
-    if not chosen:
-        return {}
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
+    named = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).distinct()
+    ids = named.withColumn("__rank", rank).filter(F.col("__rank") <= per_label)
     span = F.greatest(F.length("text") - chars + 1, F.lit(1)).cast("bigint")
     start = (F.pmod(order, span) + 1).cast("int")
     texts = (
-        rows.join(F.broadcast(ids.select("doc_id", F.col(label).alias("__label"))), "doc_id")
-        .filter(F.col(label) == F.col("__label"))
-        .select(label, order.alias("__h"), F.substring("text", start, F.lit(chars)).alias("__t"))
+        docs.filter(F.length("text") > 0)
+        .select("doc_id", F.substring("text", start, F.lit(chars)).alias("text"))
+        .join(F.broadcast(ids.select("doc_id", "label")), "doc_id")
+        .groupBy("label", "doc_id")
+        .agg(F.min("text").alias("text"))
+        .select("label", order.alias("at"), "text")
     )
     out: dict = {}
-    for row in sorted(texts.collect(), key=lambda r: (r[1], r[2])):
+    for row in sorted(texts.collect(), key=lambda r: (str(r[0]), r[1], r[2])):
         out.setdefault(row[0], []).append(row[2])
-    return {k: v[:per_label] for k, v in sorted(out.items(), key=lambda kv: str(kv[0]))}
+    return out

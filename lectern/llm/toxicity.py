@@ -237,12 +237,11 @@ def train(samples: dict[int, list[str]], share: float) -> ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Model from the labelled documents that are not held out."""
-    own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(
-        F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
+    own = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(
+        F.col("label").isin(0, 1) & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
     )
-    rows = docs.select("doc_id", "text").join(own, "doc_id")
-    share = own.agg(F.avg("toxic")).first()[0]
-    return train(labelled_sample(rows, "toxic", DOCS_PER_LABEL, CHARS_PER_DOC), share or 0.0)
+    share = own.agg(F.avg("label")).first()[0]
+    return train(labelled_sample(docs, own, DOCS_PER_LABEL, CHARS_PER_DOC), share or 0.0)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
