@@ -10,6 +10,7 @@ from lectern.llm.langid import language_table
 from lectern.llm.linededup import ORACLE as LINE_ORACLE
 from lectern.llm.linededup import line_table
 from lectern.llm.mixing import mix_sources
+from lectern.llm.ngramjoin import similarity_components
 from lectern.llm.pii import pii_digest
 from lectern.llm.quality import quality_rules
 from lectern.llm.tokencount import count_tokens
@@ -22,6 +23,10 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity_components(_documents(spark, folder))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_table(_documents(spark, folder))
 
@@ -69,6 +74,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
