@@ -9,6 +9,7 @@ from lectern.llm.decontaminate import contamination
 from lectern.llm.langid import language_table
 from lectern.llm.linededup import ORACLE as LINE_ORACLE
 from lectern.llm.linededup import line_table
+from lectern.llm.lm import score_documents
 from lectern.llm.mixing import mix_sources
 from lectern.llm.ngramjoin import similarity_components
 from lectern.llm.pii import pii_digest
@@ -31,6 +32,10 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_table(_documents(spark, folder))
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(_documents(spark, folder))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_table(
         _documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
@@ -76,6 +81,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_line_dedup": op6_line_dedup,
