@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import components
 from lectern.llm.textkit import find_words, hash_words, mix, shingle_hashes, slices
-from lectern.session import reliable_checkpoint
+from lectern.session import reliable_checkpoint, scratch_path
 
 WIDTH = 4
 PERCENT = 85
@@ -80,13 +80,19 @@ def class_of(s: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, c1, c2`` and, once per class and task, the prefix in hash order."""
+_SCAN = "doc_id bigint, n bigint, c1 bigint, c2 bigint, range int, hashes binary"
 
+
+def _scan(docs: DataFrame, width: int, ranges: int) -> DataFrame:
+    """Two kinds of rows: ``doc_id, n, c1, c2`` of every text, and ``range, hashes``.
+
+    The latter are the shingles of the task's texts (each class once), dealt into ranges by
+    their lowest bits, with 32 other bits kept of each: four bytes a shingle and few rows.
+    """
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            rows_n, c1, c2, prefixes = [], [], [], []
+            rows_n, c1, c2, new = [], [], [], []
             for s in text_sets(batch.column("text"), width):
                 key = class_of(s)
                 rows_n.append(len(s))
@@ -94,31 +100,52 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 c2.append(key[1])
                 if len(s) and key not in seen:
                     seen.add(key)
-                    prefixes.append(s[: prefix_length(len(s), percent)].view(np.int64))
-                else:
-                    prefixes.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(rows_n, pa.int64()), pa.array(c1, pa.int64()),
-                 pa.array(c2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n", "c1", "c2", "prefix"],
+                    new.append(s)
+            yield _scan_batch(
+                len(rows_n), doc_id=batch.column("doc_id"), n=pa.array(rows_n, pa.int64()),
+                c1=pa.array(c1, pa.int64()), c2=pa.array(c2, pa.int64()),
             )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, c1 bigint, c2 bigint, prefix array<bigint>"
+            if new:
+                hashes = np.concatenate(new)
+                # Ranges come from the lowest bits, the 32 bits kept from above 24.
+                of_range = (hashes & np.uint64(0xFFFFFF)).astype(np.int64) % ranges
+                order = np.argsort(of_range, kind="stable")
+                kept = (hashes >> np.uint64(24)).astype(np.uint32)[order]
+                bounds = np.searchsorted(of_range[order], np.arange(ranges + 1))
+                yield _scan_batch(
+                    ranges, range=pa.array(np.arange(ranges, dtype=np.int32)),
+                    hashes=pa.array(
+                        [kept[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
+                        pa.binary(),
+                    ),
+                )
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.mapInArrow(run, _SCAN)
+
+
+def _scan_batch(rows: int, **columns) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "c1": pa.int64(), "c2": pa.int64(),
+             "range": pa.int32(), "hashes": pa.binary()}
+    return pa.RecordBatch.from_arrays(
+        [columns.get(name, pa.nulls(rows, kind)) for name, kind in kinds.items()], list(kinds)
     )
 
 
-def _levels(signatures: DataFrame) -> np.ndarray:
-    """Table of frequency levels by shingle, of fixed size."""
-    counts = (
-        signatures.select(F.explode("prefix").alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("count"))
-        .filter(F.col("count") >= HOT_COUNT)
-        .select("token", F.floor(F.log2("count")).cast("int").alias("level"))
-    )
-    counts = reliable_checkpoint(counts)
-    sizes = {r["level"]: r["count"] for r in counts.groupBy("level").count().collect()}
+def _levels(pieces: DataFrame) -> np.ndarray:
+    """Table of frequency levels by shingle, of fixed size, from all documents' shingles."""
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("hashes")]
+        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
+        hot = counts >= HOT_COUNT
+        levels = np.log2(counts[hot]).astype(np.int32)
+        cells = (tokens[hot] & np.uint32(LEVEL_CELLS - 1)).astype(np.int32)
+        return pa.table({"cell": pa.array(cells), "level": pa.array(levels)})
+
+    found = pieces.groupBy("range").applyInArrow(count, "cell int, level int")
+    found = reliable_checkpoint(found.groupBy("cell").agg(F.max("level").alias("level")))
+    sizes = {r["level"]: r["count"] for r in found.groupBy("level").count().collect()}
     least, total = 64, 0
     for level in sorted(sizes, reverse=True):  # the most frequent that fit the bound
         total += sizes[level]
@@ -126,15 +153,14 @@ def _levels(signatures: DataFrame) -> np.ndarray:
             break
         least = level
     table = np.zeros(LEVEL_CELLS, dtype=np.uint8)
-    for row in counts.filter(F.col("level") >= least).toLocalIterator():
-        cell = row["token"] & (LEVEL_CELLS - 1)
-        table[cell] = max(table[cell], row["level"])
+    for row in found.filter(F.col("level") >= least).toLocalIterator():
+        table[row["cell"]] = row["level"]
     return table
 
 
 def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """A set in the global order: by level, then by hash."""
-    level = levels[(s & np.uint64(LEVEL_CELLS - 1)).astype(np.int64)]
+    level = levels[((s >> np.uint64(24)) & np.uint64(LEVEL_CELLS - 1)).astype(np.int64)]
     return s[np.argsort(level, kind="stable")] if level.any() else s
 
 
@@ -379,7 +405,6 @@ def _round(
     pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int
 ) -> DataFrame:
     """Links among candidate pairs, as edges between class representatives."""
-    pairs = reliable_checkpoint(pairs)
     ends = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionByName(
         pairs.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))
     )
@@ -390,8 +415,14 @@ def _round(
 def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    signatures = reliable_checkpoint(_signatures(docs, width, percent))
-    levels = _levels(signatures)
+    spark = docs.sparkSession
+    path = scratch_path(spark, "shingles")
+    ranges = max(16, docs.rdd.getNumPartitions() // 4)
+    _scan(docs, width, ranges).write.parquet(path)
+    signatures = spark.read.parquet(path).filter(F.col("range").isNull()).select(
+        "doc_id", "n", "c1", "c2"
+    )
+    levels = _levels(spark.read.parquet(path).filter(F.col("range").isNotNull()).select("range", "hashes"))
     named = signatures.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = reliable_checkpoint(
         named.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
@@ -399,7 +430,8 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     lists = reliable_checkpoint(_shared_lists(
         _postings(docs.filter(F.col("doc_id").isNotNull()), levels, width, percent)
     ))
-    edges = _round(_first_round(lists, percent), docs, classes, width, percent)
+    first = reliable_checkpoint(_first_round(lists, percent))
+    edges = _round(first, docs, classes, width, percent)
     # Rows of one id with different sets are one node.
     repeated = named.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"]).select(
         F.col("doc_id").alias("u"), F.col("rep").alias("v")
@@ -417,7 +449,8 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
         .repartition("token")
         .sortWithinPartitions("token", "n", "c1", "c2")
     )
-    more = _round(_second_round(grouped, percent), docs, classes, width, percent)
+    second = _second_round(grouped, percent).join(first, ["a1", "a2", "b1", "b2"], "left_anti")
+    more = _round(reliable_checkpoint(second), docs, classes, width, percent)
     groups = components(edges.unionByName(more))
 
     final = classes.join(groups, F.col("rep") == F.col("node"), "left").select(
