@@ -229,11 +229,10 @@ def tag_items(
     """The rows of ``docs`` and ``n_words``, ``spans`` and ``items`` of each.
 
     Spans are ranges of word numbers, disjoint and ascending, each with its longest match.
+    Columns of ``docs`` with the new names are replaced.
     """
     spark = docs.sparkSession
-    clash = {"n_words", "spans", "items"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"rename these columns first: {sorted(clash)}")
+    docs = docs.drop("n_words", "spans", "items")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema = f"{fields}, {_FOUND}"
     parts = list(item_parts(items, window, max_words)) or [([], Automaton(window))]
@@ -309,9 +308,13 @@ def remove_items(
 
     A document of which more than ``max_coverage`` of the words are hit goes as a whole.
     """
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    tagged = tag_items(docs, items, window)
+    # Columns get names of their own meanwhile, so that any name may come in.
+    inside = docs.select(
+        *[F.col(f"`{c}`").alias("text" if c == "text" else f"__{i}") for i, c in enumerate(docs.columns)]
+    )
+    names = inside.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inside.schema)
+    tagged = tag_items(inside, items, window)
     covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["last"] - s["first"])
     kept = tagged.filter(covered <= F.lit(max_coverage) * F.col("n_words")).drop("n_words", "items")
 
@@ -329,4 +332,4 @@ def remove_items(
             columns = [texts if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return kept.mapInArrow(cut, fields)
+    return kept.mapInArrow(cut, fields).toDF(*docs.columns)

@@ -208,10 +208,8 @@ def fit(docs: DataFrame, folds: int = FOLDS) -> LanguageModel:
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred`` and ``score``."""
-    clash = {"lang_pred", "lang_score"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"rename these columns first: {sorted(clash)}")
+    """The rows of ``docs`` with ``lang_pred`` and ``lang_score``; such columns are replaced."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -80,7 +80,11 @@ def remove_boilerplate(
     min_sites: int = MIN_SITES,
     min_chars: int = MIN_CHARS,
 ) -> DataFrame:
-    """The rows of ``docs`` with boilerplate lines cut from ``text``, and ``n_removed``."""
+    """The rows of ``docs`` with boilerplate lines cut from ``text``, and ``n_removed``.
+
+    A column ``n_removed`` of ``docs`` is replaced.
+    """
+    docs = docs.drop("n_removed")
     occurrences = reliable_checkpoint(line_occurrences(docs, site, min_chars))
     known = boilerplate_lines(occurrences, min_sites)
     here = F.struct("__id", "__key", "pos")
