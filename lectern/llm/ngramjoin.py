@@ -11,7 +11,8 @@ A document's set is its distinct word shingles (64-bit hashes). Two documents li
    size, from which every task derives the same order; the order only affects speed.
 3. An index list is worked through in blocks, sorted by set size. A block is skipped whole
    when sizes or positions rule out every partner in it; inside, pairs are kept if the
-   positions of the shared shingle leave room for the overlap that their sizes need.
+   positions of the shared shingle leave room for the overlap that their sizes need. All
+   shared prefix shingles of a pair, counted, must leave that room too.
 4. Answers are derived, not looked up again, where sets are highly similar: a first round
    pairs every entry of a list only with one centre and its neighbour, verifies these pairs
    on the whole sets, and joins linked classes into components. The second round takes only
@@ -51,6 +52,7 @@ HOT_SHINGLES = 1 << 17
 HOT_COUNT = 8
 BLOOM_WORDS = 1 << 17
 BLOCK = 64
+EMIT_PAIRS = 200_000
 
 
 def needed(a, b, percent: int):
@@ -72,50 +74,47 @@ def text_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.unique(hashes[a:b])
 
 
-def class_of(s: np.ndarray) -> tuple[int, int]:
-    """128-bit fingerprint of a set."""
-    with np.errstate(over="ignore"):
-        one = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        two = mix(s * np.uint64(0x2545F4914F6CDD1D) + np.uint64(11)).sum(dtype=np.uint64)
-    return int(one.view(np.int64)), int(two.view(np.int64))
+def class_of(s: np.ndarray) -> int:
+    """64-bit fingerprint of a set."""
+    total = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    return int(mix(np.array([total + np.uint64(len(s))]))[0].view(np.int64))
 
 
-_SCAN = "doc_id bigint, n bigint, c1 bigint, c2 bigint, range int, hashes binary"
+_SCAN = "doc_id bigint, n bigint, cls bigint, range int, hashes binary"
 
 
 def _scan(docs: DataFrame, width: int, ranges: int) -> DataFrame:
-    """Two kinds of rows: ``doc_id, n, c1, c2`` of every text, and ``range, hashes``.
+    """Two kinds of rows: ``doc_id, n, cls`` of every text, and ``range, hashes``.
 
     The latter are the shingles of the task's texts (each class once), dealt into ranges by
-    their lowest bits, with 32 other bits kept of each: four bytes a shingle and few rows.
+    their lowest bits, with 32 other bits kept of each, sorted, as differences.
     """
+
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for batch in batches:
-            rows_n, c1, c2, new = [], [], [], []
+            sizes, classes, new = [], [], []
             for s in text_sets(batch.column("text"), width):
                 key = class_of(s)
-                rows_n.append(len(s))
-                c1.append(key[0])
-                c2.append(key[1])
+                sizes.append(len(s))
+                classes.append(key)
                 if len(s) and key not in seen:
                     seen.add(key)
                     new.append(s)
             yield _scan_batch(
-                len(rows_n), doc_id=batch.column("doc_id"), n=pa.array(rows_n, pa.int64()),
-                c1=pa.array(c1, pa.int64()), c2=pa.array(c2, pa.int64()),
+                len(sizes), doc_id=batch.column("doc_id"), n=pa.array(sizes, pa.int64()),
+                cls=pa.array(classes, pa.int64()),
             )
             if new:
                 hashes = np.concatenate(new)
-                # Ranges come from the lowest bits, the 32 bits kept from above 24.
                 of_range = (hashes & np.uint64(0xFFFFFF)).astype(np.int64) % ranges
-                order = np.argsort(of_range, kind="stable")
-                kept = (hashes >> np.uint64(24)).astype(np.uint32)[order]
-                bounds = np.searchsorted(of_range[order], np.arange(ranges + 1))
+                both = np.sort((of_range.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
+                bounds = np.searchsorted(both >> np.uint64(32), np.arange(ranges + 1))
+                kept = both.astype(np.uint32)
                 yield _scan_batch(
                     ranges, range=pa.array(np.arange(ranges, dtype=np.int32)),
                     hashes=pa.array(
-                        [kept[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
+                        [packed(kept[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
                         pa.binary(),
                     ),
                 )
@@ -124,9 +123,26 @@ def _scan(docs: DataFrame, width: int, ranges: int) -> DataFrame:
     return own.mapInArrow(run, _SCAN)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Ascending 32-bit values as 16-bit differences; a larger one is 0xFFFF and its value."""
+    gaps = np.diff(values.astype(np.int64), prepend=0)
+    large = gaps >= 0xFFFF
+    short = np.where(large, 0xFFFF, gaps).astype("<u2")
+    head = np.array([len(values)], dtype="<u4")
+    return head.tobytes() + short.tobytes() + gaps[large].astype("<u4").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    gaps = np.frombuffer(raw, "<u2", n, 4).astype(np.int64)
+    large = gaps == 0xFFFF
+    gaps[large] = np.frombuffer(raw, "<u4", int(large.sum()), 4 + 2 * n)
+    return np.cumsum(gaps).astype(np.uint32)
+
+
 def _scan_batch(rows: int, **columns) -> pa.RecordBatch:
-    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "c1": pa.int64(), "c2": pa.int64(),
-             "range": pa.int32(), "hashes": pa.binary()}
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "range": pa.int32(),
+             "hashes": pa.binary()}
     return pa.RecordBatch.from_arrays(
         [columns.get(name, pa.nulls(rows, kind)) for name, kind in kinds.items()], list(kinds)
     )
@@ -136,7 +152,7 @@ def _levels(pieces: DataFrame) -> np.ndarray:
     """Table of frequency levels by shingle, of fixed size, from all documents' shingles."""
 
     def count(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("hashes")]
+        parts = [unpacked(v.as_py()) for v in table.column("hashes")]
         tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
         hot = counts >= HOT_COUNT
         levels = np.log2(counts[hot]).astype(np.int32)
@@ -160,16 +176,16 @@ def _levels(pieces: DataFrame) -> np.ndarray:
 
 def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """A set in the global order: by level, then by hash."""
-    level = levels[((s >> np.uint64(24)) & np.uint64(LEVEL_CELLS - 1)).astype(np.int64)]
+    level = levels[((s >> np.uint64(32)) & np.uint64(LEVEL_CELLS - 1)).astype(np.int64)]
     return s[np.argsort(level, kind="stable")] if level.any() else s
 
 
 def _postings(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``token, n, pos, c1, c2``: the prefixes, each class once per task."""
+    """``token, n, pos, cls``: the prefixes, each class once per task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for batch in batches:
             tokens, sizes, keys = [], [], []
             for s in text_sets(batch.column("text"), width):
@@ -183,18 +199,19 @@ def _postings(docs: DataFrame, levels: np.ndarray, width: int, percent: int) ->
                 continue
             lengths = np.array([len(t) for t in tokens])
             pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            c1, c2 = (np.repeat(np.array(k, dtype=np.int64), lengths) for k in zip(*keys, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(tokens).view(np.int64)),
                  pa.array(np.repeat(np.array(sizes, dtype=np.int32), lengths)),
-                 pa.array(pos.astype(np.int32)), pa.array(c1), pa.array(c2)],
-                ["token", "n", "pos", "c1", "c2"],
+                 pa.array(pos.astype(np.int32)),
+                 pa.array(np.repeat(np.array(keys, dtype=np.int64), lengths))],
+                list(_LIST),
             )
 
-    return docs.select("text").mapInArrow(run, "token bigint, n int, pos int, c1 bigint, c2 bigint")
+    return docs.select("text").mapInArrow(run, _LIST_TYPE)
 
 
-_LIST = ("token", "n", "pos", "c1", "c2")
+_LIST = ("token", "n", "pos", "cls")
+_LIST_TYPE = "token bigint, n int, pos int, cls bigint"
 
 
 def _lists(batches, columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
@@ -219,22 +236,22 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
     """Postings of shingles that two classes or more have, each class once."""
 
     def run(batches):
-        for token, n, pos, c1, c2 in _lists(batches, _LIST):
+        for token, n, pos, cls in _lists(batches, _LIST):
             keep = np.ones(len(token), dtype=bool)  # a class that several tasks saw
-            keep[1:] = (token[1:] != token[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
-            token, n, pos, c1, c2 = (x[keep] for x in (token, n, pos, c1, c2))
+            keep[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+            token, n, pos, cls = (x[keep] for x in (token, n, pos, cls))
             same = token[1:] == token[:-1]
             keep = np.zeros(len(token), dtype=bool)
             keep[1:] |= same
             keep[:-1] |= same
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (token, n, pos, c1, c2)], list(_LIST)
+                [pa.array(x[keep]) for x in (token, n, pos, cls)], list(_LIST)
             )
 
     return (
         postings.repartition("token")
-        .sortWithinPartitions("token", "n", "c1", "c2")
-        .mapInArrow(run, "token bigint, n int, pos int, c1 bigint, c2 bigint")
+        .sortWithinPartitions("token", "n", "cls")
+        .mapInArrow(run, _LIST_TYPE)
     )
 
 
@@ -245,12 +262,12 @@ def _room(n, pos, i, j, percent: int) -> np.ndarray:
     return before + after >= needed(n[i].astype(np.int64), n[j].astype(np.int64), percent)
 
 
-def centre_pairs(token, n, pos, c1, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def centre_pairs(token, n, pos, cls, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Every entry with its list's centre and with the entry before it."""
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     lengths = np.diff(np.append(first, len(token)))
     # The centre is the entry with the smallest class: the same for lists of the same sets.
-    order = np.lexsort((c1, token))
+    order = np.lexsort((cls, token))
     centre = np.repeat(order[first], lengths)
     entry = np.arange(len(token))
     follows = np.ones(len(token), dtype=bool)
@@ -285,32 +302,59 @@ def list_pairs(n, pos, group, percent: int) -> Iterator[tuple[np.ndarray, np.nda
                 yield x[ok], y[ok]
 
 
-def _emit(c1, c2, i, j) -> pa.RecordBatch:
-    """Distinct ordered pairs of classes."""
-    a1, a2, b1, b2 = c1[i], c2[i], c1[j], c2[j]
-    swap = (a1 > b1) | ((a1 == b1) & (a2 > b2))
-    a1, b1 = np.where(swap, b1, a1), np.where(swap, a1, b1)
-    a2, b2 = np.where(swap, b2, a2), np.where(swap, a2, b2)
-    pairs = np.unique(np.stack([a1, a2, b1, b2]), axis=1) if len(a1) else np.empty((4, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], ["a1", "a2", "b1", "b2"])
+_PAIR = "a bigint, b bigint, na int, nb int, ia int, ib int, m int"
 
 
-_PAIR = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
+def _emit(n, pos, cls, i, j) -> pa.RecordBatch:
+    """Ordered pairs of classes: sizes, last shared positions, number of shared shingles."""
+    swap = cls[i] > cls[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    order = np.lexsort((cls[j], cls[i]))
+    i, j = i[order], j[order]
+    a, b = cls[i], cls[j]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+    count = np.diff(np.append(first, len(a)))
+    last = [np.maximum.reduceat(pos[x], first) if len(a) else pos[:0] for x in (i, j)]
+    columns = [a[first], b[first], n[i][first], n[j][first], *last, count.astype(np.int32)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in columns], ["a", "b", "na", "nb", "ia", "ib", "m"]
+    )
+
+
+def _candidates(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose shared prefix shingles leave room for the overlap they need.
+
+    ``m`` shared shingles are counted up to the last shared position of both. Of the rest,
+    what one prefix still covers is not shared, so all others lie behind that prefix.
+    """
+    pairs = found.groupBy("a", "b").agg(
+        F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("ia").alias("ia"),
+        F.max("ib").alias("ib"), F.sum("m").alias("m"),
+    )
+    behind = {x: F.expr(f"({percent}L * {x} + 99) div 100 - 1") for x in ("na", "nb")}
+    rest = F.greatest(
+        F.least(behind["na"], F.col("nb") - 1 - F.col("ib")),
+        F.least(behind["nb"], F.col("na") - 1 - F.col("ia")),
+    )
+    need = F.expr(f"({percent}L * (na + nb) + {99 + percent}) div {100 + percent}")
+    return pairs.filter(F.col("m") + rest >= need).select("a", "b")
 
 
 def _first_round(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs with the centre of a list; one that is missed here is left to the second round."""
+
     def run(batches):
-        for token, n, pos, c1, c2 in _lists(batches, _LIST):
-            yield _emit(c1, c2, *centre_pairs(token, n, pos, c1, percent))
+        for token, n, pos, cls in _lists(batches, _LIST):
+            yield _emit(n, pos, cls, *centre_pairs(token, n, pos, cls, percent))
 
-    return lists.mapInArrow(run, _PAIR).distinct()
+    return _candidates(lists.mapInArrow(run, _PAIR), percent)
 
 
 def _second_round(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components; ``lists`` has ``group``, the component of each class."""
 
     def run(batches):
-        for token, n, pos, c1, c2, group in _lists(batches, (*_LIST, "group")):
+        for token, n, pos, cls, group in _lists(batches, (*_LIST, "group")):
             edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             found: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
@@ -320,27 +364,27 @@ def _second_round(lists: DataFrame, percent: int) -> DataFrame:
                 for i, j in list_pairs(n[a:b], pos[a:b], group[a:b], percent):
                     found.append((i + a, j + a))
                     held += len(i)
-                    if held > 200_000:
-                        yield _emit(c1, c2, *(np.concatenate(x) for x in zip(*found, strict=True)))
+                    if held > EMIT_PAIRS:
+                        yield _emit(n, pos, cls, *(np.concatenate(x) for x in zip(*found, strict=True)))
                         found, held = [], 0
             if found:
-                yield _emit(c1, c2, *(np.concatenate(x) for x in zip(*found, strict=True)))
+                yield _emit(n, pos, cls, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    return lists.mapInArrow(run, _PAIR).distinct()
+    return _candidates(lists.mapInArrow(run, _PAIR), percent)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """``c1, c2, items`` of the given classes: their sets, made from the texts again.
+    """``cls, items`` of the given classes: their sets, made from the texts again.
 
     The scan knows each row's class by making its set; the Bloom filter keeps all but a few of
     the other classes back, and a join removes those.
     """
     # A class's own bits serve as its hash, so the scan asks the filter without Spark.
-    wanted = classes.select("c1", "c2").distinct()
+    wanted = classes.select("cls").distinct()
     slots = (
         wanted.select(
-            F.pmod("c1", F.lit(BLOOM_WORDS)).alias("word"),
-            F.expr("shiftleft(1L, cast(pmod(c2, 64) as int))").alias("bit"),
+            F.pmod("cls", F.lit(BLOOM_WORDS)).alias("word"),
+            F.expr("shiftleft(1L, cast(pmod(shiftright(cls, 40), 64) as int))").alias("bit"),
         )
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
@@ -351,65 +395,55 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for batch in batches:
-            c1, c2, items = [], [], []
+            classes, items = [], []
             for s in text_sets(batch.column("text"), width):
                 if not len(s):
                     continue
                 key = class_of(s)
-                word = int(shared.value[key[0] % BLOOM_WORDS])
-                if not word >> (key[1] % 64) & 1 or key in seen:
+                word = int(shared.value[key % BLOOM_WORDS])
+                if not word >> ((key >> 40) % 64) & 1 or key in seen:
                     continue
                 seen.add(key)
-                c1.append(key[0])
-                c2.append(key[1])
+                classes.append(key)
                 items.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(items, pa.binary())],
-                ["c1", "c2", "items"],
+                [pa.array(classes, pa.int64()), pa.array(items, pa.binary())], ["cls", "items"]
             )
 
-    made = docs.select("text").mapInArrow(run, "c1 bigint, c2 bigint, items binary")
-    return made.join(wanted, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(
-        F.first("items").alias("items")
-    )
+    made = docs.select("text").mapInArrow(run, "cls bigint, items binary")
+    return made.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, by exact intersection."""
-    left = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("items").alias("a"))
-    right = sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("items").alias("b"))
+    left = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 s = np.frombuffer(x.as_buffer(), dtype=np.uint64)
                 t = np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 both = len(s) + len(t) - len(np.union1d(s, t))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a1", "a2", "b1", "b2"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
-    return joined.select("a1", "a2", "b1", "b2", "a", "b").mapInArrow(run, _PAIR)
-
-
-def _edges(links: DataFrame, classes: DataFrame) -> DataFrame:
-    one = classes.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("rep").alias("u"))
-    two = classes.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("rep").alias("v"))
-    return links.join(one, ["a1", "a2"]).join(two, ["b1", "b2"]).select("u", "v")
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _round(
     pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int
 ) -> DataFrame:
     """Links among candidate pairs, as edges between class representatives."""
-    ends = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionByName(
-        pairs.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))
-    )
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     links = _verified(pairs, _sets(docs, ends, width), percent)
-    return reliable_checkpoint(_edges(links, classes))
+    one = classes.select(F.col("cls").alias("a"), F.col("rep").alias("u"))
+    two = classes.select(F.col("cls").alias("b"), F.col("rep").alias("v"))
+    return reliable_checkpoint(links.join(one, "a").join(two, "b").select("u", "v"))
 
 
 def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -420,20 +454,22 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     ranges = max(16, docs.rdd.getNumPartitions() // 4)
     _scan(docs, width, ranges).write.parquet(path)
     signatures = spark.read.parquet(path).filter(F.col("range").isNull()).select(
-        "doc_id", "n", "c1", "c2"
+        "doc_id", "n", "cls"
+    )
+    levels = _levels(
+        spark.read.parquet(path).filter(F.col("range").isNotNull()).select("range", "hashes")
     )
-    levels = _levels(spark.read.parquet(path).filter(F.col("range").isNotNull()).select("range", "hashes"))
     named = signatures.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = reliable_checkpoint(
-        named.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
+    classes = reliable_checkpoint(named.groupBy("cls").agg(F.min("doc_id").alias("rep")))
+    lists = reliable_checkpoint(
+        _shared_lists(
+            _postings(docs.filter(F.col("doc_id").isNotNull()), levels, width, percent)
+        )
     )
-    lists = reliable_checkpoint(_shared_lists(
-        _postings(docs.filter(F.col("doc_id").isNotNull()), levels, width, percent)
-    ))
     first = reliable_checkpoint(_first_round(lists, percent))
     edges = _round(first, docs, classes, width, percent)
     # Rows of one id with different sets are one node.
-    repeated = named.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"]).select(
+    repeated = named.select("doc_id", "cls").join(classes, "cls").select(
         F.col("doc_id").alias("u"), F.col("rep").alias("v")
     )
     repeats = repeated.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a < b")
@@ -442,21 +478,21 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     groups = components(edges)
 
     known = classes.join(groups, F.col("rep") == F.col("node"), "left").select(
-        "c1", "c2", F.coalesce("component", "rep").alias("group")
+        "cls", F.coalesce("component", "rep").alias("group")
     )
     grouped = (
-        lists.join(known, ["c1", "c2"])
+        lists.join(known, "cls")
         .repartition("token")
-        .sortWithinPartitions("token", "n", "c1", "c2")
+        .sortWithinPartitions("token", "n", "cls")
     )
-    second = _second_round(grouped, percent).join(first, ["a1", "a2", "b1", "b2"], "left_anti")
+    second = _second_round(grouped, percent).join(first, ["a", "b"], "left_anti")
     more = _round(reliable_checkpoint(second), docs, classes, width, percent)
     groups = components(edges.unionByName(more))
 
     final = classes.join(groups, F.col("rep") == F.col("node"), "left").select(
-        "c1", "c2", F.coalesce("component", "rep").alias("__component")
+        "cls", F.coalesce("component", "rep").alias("__component")
     )
-    linked = signatures.select("doc_id", "n", "c1", "c2").join(final, ["c1", "c2"], "left")
+    linked = signatures.join(final, "cls", "left")
     return linked.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
