@@ -113,9 +113,12 @@ def train(samples: dict[str, list[str]], symbols: int = SYMBOLS) -> LanguageMode
     tables, roots, base = [], [], 0
     for data in texts.values():
         step = suffix_automaton(symbol_of[data].tolist(), width)
-        known = step >= 0
-        restart = np.maximum(step[0], 0)  # where a failing symbol begins its phrase
-        step = np.where(known, (step + base) * width, ~((restart + base) * width)[None, :])
+        # One more state, after a symbol that the sample lacks: any symbol begins a phrase.
+        dead = len(step)
+        step = np.concatenate([step, np.full((1, width), -1, np.int32)])
+        restart = np.where(step[0] >= 0, step[0], dead)  # where a failing symbol's phrase goes on
+        step[0] = restart  # the root is left once, with the first phrase open
+        step = np.where(step >= 0, (step + base) * width, ~((restart + base) * width)[None, :])
         step[:, width - 1] = (np.arange(len(step)) + base) * width  # padding stays and costs nothing
         tables.append(step.astype(np.int32))
         roots.append(base * width)
