@@ -11,8 +11,9 @@ A document's set is its distinct word shingles (64-bit hashes). Two documents li
    size, from which every task derives the same order; the order only affects speed.
 3. An index list is worked through in blocks, sorted by set size. A block is skipped whole
    when sizes or positions rule out every partner in it; inside, pairs are kept if the
-   positions of the shared shingle leave room for the overlap that their sizes need. All
-   shared prefix shingles of a pair, counted, must leave that room too.
+   positions of the shared shingle leave room for the overlap that their sizes need, and
+   their parity maps (256 bits, one flipped by each shingle) do not differ in too many
+   places. All shared prefix shingles of a pair, counted, must leave that room too.
 4. Answers are derived, not looked up again, where sets are highly similar: a first round
    pairs every entry of a list only with one centre and its neighbour, verifies these pairs
    on the whole sets, and joins linked classes into components. The second round takes only
@@ -80,11 +81,22 @@ def class_of(s: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(s))]))[0].view(np.int64))
 
 
-_SCAN = "doc_id bigint, n bigint, cls bigint, range int, hashes binary"
+def parity_map(s: np.ndarray) -> list[int]:
+    """256 bits: every shingle flips one. Two sets differ at least where their maps do."""
+    bits = np.uint64(1) << ((s >> np.uint64(2)) & np.uint64(63))
+    word = s & np.uint64(3)
+    return [int(np.bitwise_xor.reduce(bits[word == w]).view(np.int64)) for w in range(4)]
+
+
+_MAP = ("p0", "p1", "p2", "p3")
+_SCAN = (
+    "doc_id bigint, n bigint, cls bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, "
+    "range int, hashes binary"
+)
 
 
 def _scan(docs: DataFrame, width: int, ranges: int) -> DataFrame:
-    """Two kinds of rows: ``doc_id, n, cls`` of every text, and ``range, hashes``.
+    """Two kinds of rows: ``doc_id, n, cls`` and parity map of every text, ``range, hashes``.
 
     The latter are the shingles of the task's texts (each class once), dealt into ranges by
     their lowest bits, with 32 other bits kept of each, sorted, as differences.
@@ -93,17 +105,19 @@ def _scan(docs: DataFrame, width: int, ranges: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            sizes, classes, new = [], [], []
+            sizes, classes, maps, new = [], [], [], []
             for s in text_sets(batch.column("text"), width):
                 key = class_of(s)
                 sizes.append(len(s))
                 classes.append(key)
+                maps.append(parity_map(s))
                 if len(s) and key not in seen:
                     seen.add(key)
                     new.append(s)
             yield _scan_batch(
                 len(sizes), doc_id=batch.column("doc_id"), n=pa.array(sizes, pa.int64()),
                 cls=pa.array(classes, pa.int64()),
+                **{c: pa.array([m[k] for m in maps], pa.int64()) for k, c in enumerate(_MAP)},
             )
             if new:
                 hashes = np.concatenate(new)
@@ -141,8 +155,8 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def _scan_batch(rows: int, **columns) -> pa.RecordBatch:
-    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "range": pa.int32(),
-             "hashes": pa.binary()}
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "cls": pa.int64(),
+             **dict.fromkeys(_MAP, pa.int64()), "range": pa.int32(), "hashes": pa.binary()}
     return pa.RecordBatch.from_arrays(
         [columns.get(name, pa.nulls(rows, kind)) for name, kind in kinds.items()], list(kinds)
     )
@@ -278,8 +292,13 @@ def centre_pairs(token, n, pos, cls, percent: int) -> tuple[np.ndarray, np.ndarr
     return i[ok], j[ok]
 
 
-def list_pairs(n, pos, group, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list, sorted by size, of different groups, block by block."""
+def list_pairs(
+    n, pos, group, maps, percent: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one list, sorted by size, of different groups, block by block.
+
+    ``maps`` has the words of the parity maps in its rows.
+    """
     size = len(n)
     blocks = range(0, size, BLOCK)
     room = n - pos
@@ -298,6 +317,10 @@ def list_pairs(n, pos, group, percent: int) -> Iterator[tuple[np.ndarray, np.nda
             ok = (x < y) & (group[x] != group[y])
             x, y = x[ok], y[ok]
             ok = _room(n, pos, x, y, percent)
+            x, y = x[ok], y[ok]
+            differ = np.bitwise_count(maps[:, x] ^ maps[:, y]).sum(axis=0, dtype=np.int64)
+            both = n[x].astype(np.int64) + n[y]
+            ok = both - differ >= 2 * needed(both, 0, percent)
             if ok.any():
                 yield x[ok], y[ok]
 
@@ -351,17 +374,20 @@ def _first_round(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _second_round(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components; ``lists`` has ``group``, the component of each class."""
+    """Pairs of different components; ``lists`` has each class's component and parity map."""
 
     def run(batches):
-        for token, n, pos, cls, group in _lists(batches, (*_LIST, "group")):
+        for token, n, pos, cls, group, *words in _lists(batches, (*_LIST, "group", *_MAP)):
+            maps = np.stack(words).view(np.uint64)
             edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             found: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a < 2 or (group[a:b] == group[a]).all():
                     continue
-                for i, j in list_pairs(n[a:b], pos[a:b], group[a:b], percent):
+                for i, j in list_pairs(
+                    n[a:b], pos[a:b], group[a:b], maps[:, a:b], percent
+                ):
                     found.append((i + a, j + a))
                     held += len(i)
                     if held > EMIT_PAIRS:
@@ -453,14 +479,18 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     path = scratch_path(spark, "shingles")
     ranges = max(16, docs.rdd.getNumPartitions() // 4)
     _scan(docs, width, ranges).write.parquet(path)
-    signatures = spark.read.parquet(path).filter(F.col("range").isNull()).select(
-        "doc_id", "n", "cls"
-    )
+    scanned = spark.read.parquet(path).filter(F.col("range").isNull())
+    signatures = scanned.select("doc_id", "n", "cls")
     levels = _levels(
         spark.read.parquet(path).filter(F.col("range").isNotNull()).select("range", "hashes")
     )
-    named = signatures.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = reliable_checkpoint(named.groupBy("cls").agg(F.min("doc_id").alias("rep")))
+    usable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    named = signatures.filter(usable)
+    classes = reliable_checkpoint(
+        scanned.filter(usable)
+        .groupBy("cls")
+        .agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in _MAP])
+    )
     lists = reliable_checkpoint(
         _shared_lists(
             _postings(docs.filter(F.col("doc_id").isNotNull()), levels, width, percent)
@@ -478,7 +508,7 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     groups = components(edges)
 
     known = classes.join(groups, F.col("rep") == F.col("node"), "left").select(
-        "cls", F.coalesce("component", "rep").alias("group")
+        "cls", F.coalesce("component", "rep").alias("group"), *_MAP
     )
     grouped = (
         lists.join(known, "cls")

@@ -94,7 +94,8 @@ def test_blocks_only_skip_what_cannot_link():
     pos = (rng.random(300) * n * 0.2).astype(np.int32)
     group = rng.integers(0, 250, 300)
     found = set()
-    for i, j in N.list_pairs(n, pos, group, 85):
+    maps = np.zeros((4, 300), dtype=np.uint64)
+    for i, j in N.list_pairs(n, pos, group, maps, 85):
         found |= set(zip(i.tolist(), j.tolist()))
     for i, j in itertools.combinations(range(300), 2):
         room = min(pos[i], pos[j]) + min(n[i] - pos[i], n[j] - pos[j])
@@ -102,6 +103,15 @@ def test_blocks_only_skip_what_cannot_link():
         assert ((i, j) in found) == ok
 
 
+def test_parity_maps_never_differ_more_than_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 1 << 62, 120).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([a[: rng.integers(120)], b[: rng.integers(1, 60)]]))
+        x, y = (np.array(N.parity_map(s)).view(np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(100, 160)] + [(7, 7), (3, 1)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
