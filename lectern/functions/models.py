@@ -24,15 +24,15 @@ def embedder(load: Callable[[], EmbedModel], mode: str, batch: int = 32) -> Call
     """Column function that embeds texts with a loaded model.
 
     ``mode`` is ``document`` or ``query`` and is passed on as the prompt name. A blank text
-    fails the job when documents are embedded.
+    fails the job, whichever it is.
     """
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
-            if mode == "document" and not texts.fillna("").str.strip().astype(bool).all():
-                raise ValueError("text must be a non-empty string")
+            if not texts.fillna("").str.strip().astype(bool).all():
+                raise ValueError(f"{mode} text must be a non-empty string")
             vectors: list[list[float]] = []
             for start in range(0, len(texts), batch):
                 part = texts.iloc[start : start + batch].tolist()

@@ -33,10 +33,20 @@ def sigmoid(logit: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """List column without NULLs as a two-dimensional float64 array."""
+def matrix(column: pa.Array, ids: pa.Array | None = None, dim: int | None = None) -> np.ndarray:
+    """List column without NULLs as a two-dimensional float64 array.
+
+    Lists of unequal size, or of another size than ``dim``, are an error that names the id.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
+    if len(sizes) and dim is None:
+        dim = int(sizes[0])
+    wrong = np.flatnonzero(sizes != dim)
+    if len(wrong):
+        name = ids[int(wrong[0])].as_py() if ids is not None else int(wrong[0])
+        raise ValueError(f"vector of {name} has {sizes[wrong[0]]} dimensions, not {dim}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 

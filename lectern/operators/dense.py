@@ -15,26 +15,32 @@ from lectern.functions.vectors import SCORE_DIGITS, matrix, unit_rows
 from lectern.operators.topk import RunningBest, best_per_query, id_order, rank_results
 from lectern.session import reliable_checkpoint
 
-# A query set is sent to every task only below this size; beyond it the grid is used.
+# Queries go to the tasks in slices of about this size, one pass over the items each.
 BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK, ITEM_BLOCK = 4096, 32768
 _CELLS = 1 << 22
 
 
 def _search(
-    queries: np.ndarray, items: np.ndarray, ids: pa.Array, best: RunningBest, k: int, same=None
+    queries: np.ndarray, places: np.ndarray, items: np.ndarray, ids: pa.Array, best: RunningBest, k: int
 ) -> None:
-    """Fold a block of items into the running best of every query."""
+    """Fold a block of items into the running best of the queries at ``places``."""
     step = max(1, _CELLS // max(1, len(queries)))
     for start in range(0, len(items), step):
         block = slice(start, start + step)
         scores = np.round(queries @ unit_rows(items[block]).T, SCORE_DIGITS)
         scores = np.where(np.isnan(scores), -np.inf, scores)
-        if same is not None:
-            scores = np.where(same[0][:, None] == same[1][block][None, :], scores, -np.inf)
         part = ids.slice(start, step)
         rows, cols = best_per_query(scores, id_order(part), k)
-        best.add(rows, part.take(pa.array(cols)), scores[rows, cols])
+        best.add(places[rows], part.take(pa.array(cols)), scores[rows, cols])
+
+
+def _labels(column: pa.Array | pa.ChunkedArray) -> dict:
+    """Places of every label; rows without one are in no group."""
+    groups: dict = {}
+    for place, label in enumerate(column.to_pylist()):
+        if label is not None:
+            groups.setdefault(label, []).append(place)
+    return {label: np.array(places) for label, places in groups.items()}
 
 
 def dense_topk(
@@ -49,14 +55,14 @@ def dense_topk(
 ) -> DataFrame:
     """The k most similar items of every query: ``query_id, item_id, similarity, rank``.
 
-    Every query is compared with every item by block matrix products inside the tasks;
-    only the k best per task and query leave it. A query set whose measured size is within
-    ``broadcast_bytes`` goes to all tasks and the items stay where they are scanned, with
-    no shuffle of vectors. A larger one is cut with the items, which are then checkpointed,
-    into a grid of bounded blocks. ``within`` names a column whose value must be equal on both sides. Items with
-    a zero vector have no similarity and are not returned.
+    Every query is compared with every item by block matrix products inside the tasks; only
+    the k best per task and query leave it, and the items stay where they are scanned, with
+    no shuffle of vectors. Queries beyond ``broadcast_bytes`` (vectors, ids and labels,
+    measured) are cut into slices; each slice is searched, and its result stored, before the
+    next is sent. ``within`` names a column whose value must be equal on both sides: items of
+    a label only meet that label's queries. Items with a zero vector have no similarity and
+    are not returned. Vectors of unequal size are an error.
     """
-    spark = items.sparkSession
     extra = [within] if within else []
     # The query vectors may come from a model: they are computed once and kept.
     queries = reliable_checkpoint(queries.select(query_id, vector, *extra))
@@ -65,68 +71,56 @@ def dense_topk(
     schema = StructType(
         [queries.schema[query_id], items.schema[item_id], StructField("similarity", DoubleType())]
     )
-    size = queries.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("cells")
-    ).first()
-    if size["cells"] * 8 <= broadcast_bytes:
-        table = queries.toArrow()
-        shared = spark.sparkContext.broadcast(
-            (
-                table[query_id].combine_chunks(),
-                unit_rows(matrix(table[vector])),
-                table[within].to_numpy() if within else None,
+    own = F.coalesce(F.sum(F.size(vector)), F.lit(0)) * 8
+    for name in (query_id, *extra):
+        own = own + F.coalesce(F.sum(F.octet_length(F.col(name).cast("string"))), F.lit(0)) + 16 * F.count("*")
+    slices = max(1, -(-queries.agg(own.alias("bytes")).first()["bytes"] // broadcast_bytes))
+    hits = None
+    for number in range(slices):
+        inside = F.pmod(F.xxhash64(query_id), F.lit(slices)) == number
+        part = queries if slices == 1 else queries.filter(inside)
+        shared, found = _scan(part, items, k, query_id, item_id, vector, within, schema)
+        if slices > 1:
+            found = reliable_checkpoint(
+                rank_results(found, k, query_id, item_id, "similarity").drop("rank")
             )
-        )
-        names = schema.names
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vectors, groups = shared.value
-            best = RunningBest(len(ids), k)
-            for batch in batches:
-                # A filter before this stage would compute the vectors a second time.
-                batch = batch.filter(pc.is_valid(batch.column(vector)))
-                if batch.num_rows and len(ids):
-                    same = None
-                    if groups is not None:
-                        same = (groups, batch.column(within).to_numpy(zero_copy_only=False))
-                    _search(vectors, matrix(batch.column(vector)), batch.column(item_id), best, k, same)
-            if best.parts:
-                rows, found, scores = best.result()
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), found, pa.array(scores)], names=names
-                )
-
-        hits = items.mapInArrow(scan, schema)
-    else:
-        hits = _grid(queries, items, size["n"], k, query_id, item_id, vector, within, schema)
+            shared.unpersist()
+        hits = found if hits is None else hits.unionByName(found)
     return rank_results(hits, k, query_id, item_id, "similarity")
 
 
-def _grid(queries, items, n_queries, k, query_id, item_id, vector, within, schema) -> DataFrame:
-    """Block-by-block search: every query block meets every item block in its own task."""
-    q_blocks = -(-n_queries // QUERY_BLOCK)
-    items = reliable_checkpoint(items).filter(F.col(vector).isNotNull())
-    i_blocks = max(1, -(-items.count() // ITEM_BLOCK))
-
-    def blocks(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-
-    left = blocks(queries, query_id, "__q", q_blocks, "__i", i_blocks)
-    right = blocks(items, item_id, "__i", i_blocks, "__q", q_blocks)
+def _scan(queries, items, k, query_id, item_id, vector, within, schema):
+    """One slice of queries over all items."""
+    table = queries.toArrow()
+    ids = table[query_id].combine_chunks()
+    shared = items.sparkSession.sparkContext.broadcast(
+        (ids, unit_rows(matrix(table[vector], ids)), _labels(table[within]) if within else None)
+    )
+    names = schema.names
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, found_in = left[query_id].combine_chunks(), right[item_id].combine_chunks()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, groups = shared.value
+        if len(ids) == 0:
+            return
         best = RunningBest(len(ids), k)
-        if len(ids) and len(found_in):
-            same = (left[within].to_numpy(), right[within].to_numpy()) if within else None
-            _search(unit_rows(matrix(left[vector])), matrix(right[vector]), found_in, best, k, same)
+        for batch in batches:
+            # A filter before this stage would compute the vectors a second time.
+            batch = batch.filter(pc.is_valid(batch.column(vector)))
+            if not batch.num_rows:
+                continue
+            found_in = batch.column(item_id)
+            rows = matrix(batch.column(vector), found_in, vectors.shape[1])
+            if groups is None:
+                _search(vectors, np.arange(len(ids)), rows, found_in, best, k)
+                continue
+            for label, places in _labels(batch.column(within)).items():
+                asked = groups.get(label)
+                if asked is not None:
+                    _search(vectors[asked], asked, rows[places], found_in.take(pa.array(places)), best, k)
         if best.parts:
             rows, found, scores = best.result()
-        else:
-            rows, found, scores = np.zeros(0, np.int64), found_in.slice(0, 0), np.zeros(0)
-        return pa.table([ids.take(pa.array(rows)), found, pa.array(scores)], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(rows)), found, pa.array(scores)], names=names
+            )
 
-    keys = ["__q", "__i"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
+    return shared, items.mapInArrow(scan, schema)

@@ -15,9 +15,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from lectern.functions import fixed
 from lectern.functions.arrays import rows_of
 from lectern.functions.vectors import SCORE_DIGITS
-from lectern.operators.topk import RunningBest, best_per_query, id_order, rank_results
+from lectern.operators.topk import RunningBest, rank_results
+from lectern.session import reliable_checkpoint
 
-# Query terms are sent to every task only up to this many rows; beyond it, a join is used.
+# Query terms go to the tasks in slices of about this many, one pass over the texts each.
 BROADCAST_TERMS = 200_000
 _CELLS = 1 << 22
 
@@ -32,10 +33,6 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return rows_of(queries, [query_id], found, "__i", "term").drop("__i")
 
 
-def _idf(total: Column, df: Column) -> Column:
-    return F.log(F.lit(1.0) + (total - df + 0.5) / (df + 0.5))
-
-
 def bm25_topk(
     queries: DataFrame,
     items: DataFrame,
@@ -48,27 +45,38 @@ def bm25_topk(
 ) -> DataFrame:
     """The k best items of every query: ``query_id, item_id, score, rank``.
 
-    Only items sharing a word with the query are returned. When the query terms are few
-    (measured), the texts are scored where they are scanned: no posting leaves its task,
-    only its k best per query do, and a very common word costs no shuffle. Otherwise
-    postings and query terms are joined on the term.
+    Only items sharing a word with the query are returned; items and queries whose text is
+    NULL do not count at all, empty ones count as items without words. Texts are scored where
+    they are scanned: no posting leaves its task, only its k best per query do, and a very
+    common word costs no shuffle. Query terms beyond ``broadcast_terms`` are cut into slices
+    of whole queries; each slice is searched, and its result stored, before the next is sent.
     """
-    terms = query_terms(queries, query_id, query_text)
-    texts = items.select(item_id, words(F.col(item_text)).alias("words"))
+    terms = query_terms(queries.filter(F.col(query_text).isNotNull()), query_id, query_text)
+    texts = items.filter(F.col(item_text).isNotNull()).select(
+        item_id, words(F.col(item_text)).alias("words")
+    )
     schema = StructType(
         [queries.schema[query_id], items.schema[item_id], StructField("score", DoubleType())]
     )
-    if terms.count() <= broadcast_terms:
-        hits = _score_in_place(terms, texts, k, query_id, item_id, schema)
-    else:
-        hits = _score_by_join(terms, texts, query_id, item_id)
+    slices = max(1, -(-terms.count() // broadcast_terms))
+    hits = None
+    for number in range(slices):
+        inside = F.pmod(F.xxhash64(query_id), F.lit(slices)) == number
+        own = terms if slices == 1 else terms.filter(inside)
+        shared, found = _score_in_place(own, texts, k, query_id, item_id, schema)
+        if slices > 1:
+            found = reliable_checkpoint(rank_results(found, k, query_id, item_id, "score").drop("rank"))
+            shared.unpersist()
+        hits = found if hits is None else hits.unionByName(found)
     return rank_results(hits, k, query_id, item_id, "score")
 
 
-def _score_in_place(terms, texts, k, query_id, item_id, schema) -> DataFrame:
-    spark = texts.sparkSession
+def _statistics(terms: DataFrame, texts: DataFrame) -> tuple[dict[str, int], int, float]:
+    """Items with each query term, items in all, and their mean number of words."""
     # The empty word stands for the item itself: its row counts the items and their words.
-    vocabulary = terms.select("term").distinct().unionByName(spark.sql("SELECT '' AS term"))
+    vocabulary = terms.select("term").distinct().unionByName(
+        texts.sparkSession.sql("SELECT '' AS term")
+    )
     sized = texts.select(F.size("words").alias("length"), "words")
     with_item = F.array_append(F.array_distinct("words"), F.lit(""))
     found = (
@@ -82,96 +90,71 @@ def _score_in_place(terms, texts, k, query_id, item_id, schema) -> DataFrame:
     counts = {row["term"]: row for row in found}
     whole = counts.pop("", {"df": 0, "total": 0})
     average = whole["total"] / whole["df"] if whole["total"] else 1.0
-    frequency = {
-        term: math.log(1.0 + (whole["df"] - row["df"] + 0.5) / (row["df"] + 0.5))
-        for term, row in counts.items()
-    }
+    return {term: row["df"] for term, row in counts.items()}, whole["df"], average
+
+
+def _score_in_place(terms, texts, k, query_id, item_id, schema):
+    df, n_items, average = _statistics(terms, texts)
     weighted = terms.toArrow()
-    weighted = weighted.filter(
-        pc.is_in(weighted["term"], value_set=pa.array(list(frequency), pa.string()))
-    )
+    weighted = weighted.filter(pc.is_in(weighted["term"], value_set=pa.array(list(df), pa.string())))
     query_ids = pc.unique(weighted[query_id])
     query_ids = query_ids.take(pc.sort_indices(query_ids))
     all_terms = pc.unique(weighted["term"])
     term_of = pc.index_in(weighted["term"], all_terms).to_numpy().astype(np.int64)
     query_of = pc.index_in(weighted[query_id], query_ids).to_numpy().astype(np.int64)
-    idf = np.array([frequency[term] for term in weighted["term"].to_pylist()])
-    shared = spark.sparkContext.broadcast((query_ids, all_terms, term_of, query_of, idf))
+    idf = np.array(
+        [math.log(1.0 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) for t in all_terms.to_pylist()]
+    )
+    # Queries of every term, one after the other.
+    order = np.argsort(term_of, kind="stable")
+    starts = np.searchsorted(term_of[order], np.arange(len(all_terms) + 1))
+    shared = texts.sparkSession.sparkContext.broadcast(
+        (query_ids, all_terms, query_of[order], starts, idf)
+    )
     names = schema.names
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, all_terms, term_of, query_of, idf = shared.value
-        n_queries, n_terms = len(query_ids), len(all_terms)
-        if n_queries == 0:
+        query_ids, all_terms, queries, starts, idf = shared.value
+        if len(query_ids) == 0:
             return
-        step = max(1, _CELLS // n_terms)
-        blocks = []
-        for start in range(0, n_queries, step):
-            inside = (query_of >= start) & (query_of < start + step)
-            used, local = np.unique(term_of[inside], return_inverse=True)
-            weights = np.zeros((len(used), min(step, n_queries - start)))
-            weights[local, query_of[inside] - start] = idf[inside]
-            blocks.append((start, used, weights))
-        rows_at_once = max(1, _CELLS // n_terms)
-        best = RunningBest(n_queries, k)
+        best = RunningBest(len(query_ids), k)
         for batch in batches:
             ids, lists = batch.column(item_id), batch.column("words")
-            for start in range(0, len(ids), rows_at_once):
-                part_ids, part = ids.slice(start, rows_at_once), lists.slice(start, rows_at_once)
-                matched = np.zeros(len(part_ids) * n_terms)
-                sizes = pc.list_value_length(part).to_numpy(zero_copy_only=False).astype(np.int64)
-                index = pc.index_in(part.flatten(), all_terms)
-                present = np.asarray(pc.is_valid(index))
-                row = np.repeat(np.arange(len(part_ids)), sizes)[present]
-                col = index.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-                np.add.at(matched, row * n_terms + col, 1.0)
-                tf = matched.reshape(len(part_ids), n_terms)
-                length = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * sizes / average)
-                gain = tf * (fixed.BM25_K1 + 1) / (tf + length[:, None])
-                order = id_order(part_ids)
-                for first, used, weights in blocks:
-                    scores = np.round((gain[:, used] @ weights).T, SCORE_DIGITS)
-                    scores = np.where(scores > 0, scores, -np.inf)
-                    rows, cols = best_per_query(scores, order, k)
-                    best.add(rows + first, part_ids.take(pa.array(cols)), scores[rows, cols])
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            index = pc.index_in(lists.flatten(), all_terms)
+            present = np.asarray(pc.is_valid(index))
+            row = np.repeat(np.arange(len(ids)), sizes)[present]
+            term = index.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            # Matched terms of every item with their frequency, then the queries of each.
+            found, tf = np.unique(row * len(all_terms) + term, return_counts=True)
+            row, term = found // len(all_terms), found % len(all_terms)
+            length = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * sizes[row] / average)
+            gain = idf[term] * tf * (fixed.BM25_K1 + 1) / (tf + length)
+            fan = starts[term + 1] - starts[term]
+            done = np.cumsum(fan)
+            low = 0
+            while low < len(row):
+                # Whole items, about a bounded number of (query, item) additions at a time.
+                base = done[low - 1] if low else 0
+                high = int(np.searchsorted(done, base + _CELLS, "right"))
+                high = max(high, low + 1)
+                high = int(np.searchsorted(row, row[high - 1], "right")) if high < len(row) else high
+                part = slice(low, high)
+                total = int(fan[part].sum())
+                within = np.arange(total) - np.repeat(np.cumsum(fan[part]) - fan[part], fan[part])
+                asked = queries[np.repeat(starts[term[part]], fan[part]) + within]
+                pair = asked * len(ids) + np.repeat(row[part], fan[part])
+                pairs, place = np.unique(pair, return_inverse=True)
+                scores = np.round(np.bincount(place, weights=np.repeat(gain[part], fan[part])), SCORE_DIGITS)
+                keep = scores > 0
+                best.add(
+                    pairs[keep] // len(ids), ids.take(pa.array(pairs[keep] % len(ids))), scores[keep]
+                )
+                low = high
         if best.parts:
             rows, found, scores = best.result()
             yield pa.RecordBatch.from_arrays(
                 [query_ids.take(pa.array(rows)), found, pa.array(scores)], names=names
             )
 
-    return texts.mapInArrow(scan, schema)
-
-
-def _score_by_join(terms, texts, query_id, item_id) -> DataFrame:
-    """Postings joined with query terms on the term; hot terms are split by adaptive skew
-    handling, and partial sums meet on ``(query, item)``."""
-    lengths = texts.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("total")).first()
-    n_items, total = lengths["n"], lengths["total"] or 0
-    average = total / n_items if total else 1.0
-    postings = (
-        rows_of(
-            texts.withColumn("length", F.size("words")),
-            [item_id, "length"],
-            F.col("words"),
-            "__i",
-            "term",
-        )
-        .groupBy(item_id, "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    rare = (
-        postings.groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .select("term", _idf(F.lit(float(n_items)), F.col("df")).alias("idf"))
-    )
-    damped = F.col("tf") + fixed.BM25_K1 * (
-        1 - fixed.BM25_B + fixed.BM25_B * F.col("length") / F.lit(float(average))
-    )
-    gain = F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / damped
-    return (
-        postings.join(terms.join(rare, "term"), "term")
-        .groupBy(query_id, item_id)
-        .agg(F.round(F.sum(gain), SCORE_DIGITS).alias("score"))
-        .filter("score > 0")
-    )
+    return shared, texts.mapInArrow(scan, schema)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.functions import fixed
 from lectern.functions import text as T
@@ -548,48 +546,9 @@ def overlap(asked: Column, found: Column) -> Column:
     return F.size(shared) / F.nullif(F.size(wanted), F.lit(0))
 
 
-# Passages go to the tasks in slices of about this size, one pass over the texts each.
-PASSAGE_BYTES = 32 << 20
-
-
-def passage_gold(passages: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs of passages and the items that contain them word for word."""
-    size = passages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = size // PASSAGE_BYTES + 1
-    schema = StructType([StructField("query_id", LongType()), StructField("item_id", LongType())])
-    found = None
-    for number in range(slices):
-        inside = F.pmod(F.xxhash64("query_id"), F.lit(slices)) == number
-        wanted = passages.filter(inside & (F.col("text") != "")).select("query_id", "text").toArrow()
-        shared = items.sparkSession.sparkContext.broadcast(
-            list(zip(wanted["text"].to_pylist(), wanted["query_id"].to_pylist()))
-        )
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for passage, key in shared.value:
-                automaton.add_word(passage, (*automaton.get(passage, ()), key))
-            if not len(automaton):
-                return
-            automaton.make_automaton()
-            for batch in batches:
-                pairs = {
-                    (key, item)
-                    for item, text in zip(
-                        batch.column("item_id").to_pylist(), batch.column("text").to_pylist()
-                    )
-                    for _, keys in automaton.iter(text or "")
-                    for key in keys
-                }
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=schema.names
-                )
-
-        part = items.select("item_id", "text").mapInArrow(scan, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+def _containing(ranked: DataFrame) -> DataFrame:
+    """Ranked rows whose text holds the passage that was asked, word for word."""
+    return ranked.filter((F.col("query") != "") & F.col("text").contains(F.col("query")))
 
 
 @query
@@ -633,31 +592,28 @@ def hybrid_reranked(spark, folder):
     return _rounded(best.select("query_id", "item_id", "score", "rank"), "score")
 
 
+def _passage_metrics(spark, folder, ranked):
+    return _rounded_metrics(retrieval_metrics(_passages(spark, folder), _containing(ranked)))
+
+
 @query
 def passage_metrics_dense(spark, folder):
     ranked = _dense_texts(spark, folder, 10)
-    gold = passage_gold(_passages(spark, folder), _items(spark, folder))
-    return _rounded_metrics(
-        retrieval_metrics(_passages(spark, folder), gold_matches(ranked, gold))
-    )
+    found = with_texts(ranked, _passages(spark, folder), _items(spark, folder))
+    return _passage_metrics(spark, folder, found)
 
 
 @query
 def passage_metrics_bm25(spark, folder):
-    ranked = bm25_topk(_passages(spark, folder), _items(spark, folder), 10)
-    gold = passage_gold(_passages(spark, folder), _items(spark, folder))
-    return _rounded_metrics(
-        retrieval_metrics(_passages(spark, folder), gold_matches(ranked, gold))
-    )
+    asked, items = _passages(spark, folder), _items(spark, folder)
+    return _passage_metrics(spark, folder, with_texts(bm25_topk(asked, items, 10), asked, items))
 
 
 @query
 def passage_metrics_reranked(spark, folder):
     asked, items = _passages(spark, folder), _items(spark, folder)
     ranked = _dense_texts(spark, folder, fixed.RETRIEVE_K)
-    best = rerank(with_texts(ranked, asked, items), overlap)
-    gold = passage_gold(asked, items)
-    return _rounded_metrics(retrieval_metrics(asked, gold_matches(best, gold)))
+    return _passage_metrics(spark, folder, rerank(with_texts(ranked, asked, items), overlap))
 
 
 # ---- question sets --------------------------------------------------------------------

@@ -41,7 +41,7 @@ def brute_force(queries, items, k, within):
 
 
 @pytest.mark.parametrize("within", [None, "g"])
-@pytest.mark.parametrize("bound", [1 << 20, 0])
+@pytest.mark.parametrize("bound", [1 << 20, 200])
 def test_dense_equals_brute_force(spark, pairs, within, bound):
     queries, items = pairs
     found = dense_topk(
@@ -85,16 +85,51 @@ def bm25(queries, items, k):
     return out
 
 
-@pytest.mark.parametrize("bound", [1000, 0])
-def test_bm25_equals_the_formula(spark, bound):
-    queries = [("q1", "Train quai"), ("q2", "nuit le"), ("q3", "rien")]
+@pytest.mark.parametrize("bound", [1000, 1])
+@pytest.mark.parametrize("texts", [TEXTS, [*TEXTS, *[(f"h{i:03}", "le " * i) for i in range(60)]]])
+def test_bm25_equals_the_formula(spark, bound, texts):
+    queries = [("q1", "Train quai"), ("q2", "nuit le"), ("q3", "rien"), ("q4", ""), ("q5", "le")]
     found = bm25_topk(
-        spark.createDataFrame(queries, "query_id string, text string"),
-        spark.createDataFrame(TEXTS, "item_id string, text string"),
+        spark.createDataFrame([*queries, ("q6", None)], "query_id string, text string"),
+        spark.createDataFrame([*texts, ("n1", None), ("n2", None)], "item_id string, text string"),
         3,
         broadcast_terms=bound,
     ).collect()
-    assert {(r.query_id, r.item_id, r["rank"]) for r in found} == bm25(queries, TEXTS, 3)
+    assert {(r.query_id, r.item_id, r["rank"]) for r in found} == bm25(queries, texts, 3)
+
+
+def test_bm25_of_no_items_and_no_queries(spark):
+    texts = spark.createDataFrame(TEXTS, "item_id string, text string")
+    asked = spark.createDataFrame([("q", "train")], "query_id string, text string")
+    assert bm25_topk(asked, texts.limit(0), 3).collect() == []
+    assert bm25_topk(asked.limit(0), texts, 3).collect() == []
+
+
+def test_dense_search_of_unequal_sizes_is_an_error(spark):
+    good = spark.createDataFrame([("a", [1.0, 2.0])], "item_id string, vector array<float>")
+    bad = spark.createDataFrame([("b", [1.0]), ("c", [1.0, 2.0, 3.0])], "item_id string, vector array<float>")
+    asked = good.withColumnRenamed("item_id", "query_id")
+    with pytest.raises(Exception, match="dimensions"):
+        dense_topk(asked, good.union(bad).coalesce(1), 2).collect()
+    with pytest.raises(ValueError, match="dimensions"):
+        dense_topk(bad.withColumnRenamed("item_id", "query_id"), good, 2)
+
+
+def test_labels_only_meet_their_own(spark):
+    rows = [(i, [float(i + 1), 1.0], lab) for i, lab in enumerate(["x", "y", None, "x"])]
+    frame = spark.createDataFrame(rows, "item_id long, vector array<float>, g string")
+    asked = frame.withColumnRenamed("item_id", "query_id")
+    for bound in (1 << 20, 100):
+        found = dense_topk(asked, frame, 5, within="g", broadcast_bytes=bound).collect()
+        assert {(r.query_id, r.item_id) for r in found} == {(0, 0), (0, 3), (3, 0), (3, 3), (1, 1)}
+
+
+def test_a_blank_query_is_an_error(spark):
+    embed = models.embedder(lambda: lambda texts, mode: np.ones((len(texts), 2)), "query")
+    for text in ("", "  ", None):
+        frame = spark.createDataFrame([(text,)], "text string")
+        with pytest.raises(Exception, match="non-empty"):
+            frame.select(embed(F.col("text"))).collect()
 
 
 def test_fusion_and_hybrid(spark):
@@ -167,11 +202,7 @@ def test_gold_forms(spark):
     assert [(r.question, r.gold_chunk_ids) for r in rows] == [("q", ["a", "b"]), ("r", ["a"])]
 
 
-def test_passage_gold_in_slices(spark, monkeypatch):
-    passages = spark.createDataFrame([(1, "ab"), (2, "bc"), (3, "ab"), (4, "zz")], "query_id long, text string")
-    items = spark.createDataFrame([(7, "xabcx"), (8, "ab"), (9, None)], "item_id long, text string")
-    wanted = {(1, 7), (3, 7), (2, 7), (1, 8), (3, 8)}
-    for size in (1 << 20, 3):
-        monkeypatch.setattr(catalog, "PASSAGE_BYTES", size)
-        found = [tuple(r) for r in catalog.passage_gold(passages, items).collect()]
-        assert len(found) == len(wanted) and set(found) == wanted
+def test_passages_are_found_word_for_word(spark):
+    rows = [(1, 7, 1, "ab", "xabcx"), (2, 7, 1, "", "ab"), (3, 8, 2, "ab", None), (4, 8, 1, None, "ab"), (5, 9, 1, "zz", "z z")]
+    ranked = spark.createDataFrame(rows, "query_id long, item_id long, rank int, query string, text string")
+    assert [r.query_id for r in catalog._containing(ranked).collect()] == [1]
