@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
+from lectern.functions.arrays import rows_of
+from lectern.functions.text import split_lines
 from lectern.operators.scans import running_last, running_sum
 
-# Longest text put into one cell; a longer document is stored as several ordered parts.
-PART_CHARS = 1 << 20
 SEGMENT_ITEMS = 4096
 
 
@@ -107,6 +107,7 @@ def marked_blocks(items: DataFrame) -> DataFrame:
     """Blocks of the full document in item order, page markers put before page changes.
 
     The first block carries the marker of the document's lowest page, whatever its own.
+    ``is_last`` marks the document's last block.
     """
     usable = usable_items(items)
     segment = F.floor(F.col("item_pos") / SEGMENT_ITEMS)
@@ -117,35 +118,65 @@ def marked_blocks(items: DataFrame) -> DataFrame:
         segment,
         {"__before": F.col("page_no")},
         exclusive=True,
-        lowest={"__lowest": F.col("page_no")},
+        lowest={"__lowest": F.col("page_no"), "__end": -F.col("item_pos")},
     )
     body = item_markdown(F.col("label"), F.col("text"))
     page = F.when(F.col("__before").isNull(), F.col("__lowest")).when(
         F.col("__before") != F.col("page_no"), F.col("page_no")
     )
     block = F.when(page.isNotNull(), F.concat(page_marker(page), F.lit("\n\n"), body)).otherwise(body)
-    return scanned.select("doc_id", "item_pos", "page_no", block.alias("block"))
+    is_last = F.col("item_pos") == -F.col("__end")
+    return scanned.select(
+        "doc_id", "item_pos", "page_no", block.alias("block"), is_last.alias("is_last")
+    )
 
 
-def assemble_documents(items: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
-    """Full documents ``(doc_id, part_no, text)``, blocks joined by a blank line.
+def document_lines(items: DataFrame) -> DataFrame:
+    """Full documents as ordered rows ``doc_id, item_pos, line_no, line``.
 
-    Nearly every document is one part. A longer one is cut between blocks about every
-    ``part_chars`` characters, so no task ever joins more than one bounded part; its
-    parts joined by a blank line, in order, are the document.
+    They are the lines of all blocks joined by a blank line. A document is never brought
+    together in one cell, so its length does not matter.
     """
-    blocks = marked_blocks(items).withColumn("__chars", F.length("block") + 2)
-    segment = F.floor(F.col("item_pos") / SEGMENT_ITEMS)
-    placed = running_sum(
-        blocks, ["doc_id"], ["item_pos"], segment, {"__offset": F.col("__chars")}, exclusive=True
-    ).withColumn("part_no", F.floor(F.col("__offset") / part_chars))
-    joined = F.array_sort(F.collect_list(F.struct("item_pos", "block")))
-    return (
-        placed.groupBy("doc_id", "part_no")
-        .agg(joined.alias("__blocks"))
-        .select(
-            "doc_id",
-            "part_no",
-            F.array_join(F.transform("__blocks", lambda b: b["block"]), "\n\n").alias("text"),
-        )
+    joined = F.when(F.col("is_last"), F.col("block")).otherwise(F.concat("block", F.lit("\n\n")))
+    blocks = marked_blocks(items)
+    return rows_of(blocks, ["doc_id", "item_pos"], split_lines(joined), "line_no", "line")
+
+
+def line_page_numbers(lines: DataFrame) -> DataFrame:
+    """The rows of :func:`document_lines` with ``page``: the last page mark up to the line.
+
+    Before any mark the document's first mark holds; without marks it is page 1.
+    """
+    mark = F.nullif(F.regexp_extract("line", fixed.PAGE_MARKER, 1), F.lit("")).cast("int")
+    scanned = running_last(
+        lines,
+        ["doc_id"],
+        ["item_pos", "line_no"],
+        F.floor(F.col("item_pos") / SEGMENT_ITEMS),
+        {"__mark": mark},
+        first={"__opens": mark},
+    )
+    page = F.coalesce("__mark", "__opens", F.lit(1))
+    return scanned.select(*lines.columns, page.alias("page"))
+
+
+def document_digest(items: DataFrame) -> DataFrame:
+    """``doc_id, n_blocks, n_chars, digest`` of the full documents, from their blocks.
+
+    ``n_chars`` is the length of the blocks joined by a blank line; ``digest`` adds the first
+    32 bits of each block's MD5 times its number, so it depends on texts and order.
+    """
+    blocks = marked_blocks(items)
+    numbered = running_sum(
+        blocks,
+        ["doc_id"],
+        ["item_pos"],
+        F.floor(F.col("item_pos") / SEGMENT_ITEMS),
+        {"number": F.lit(1).cast("long")},
+    )
+    own = F.conv(F.substring(F.md5("block"), 1, 8), 16, 10).cast("decimal(38,0)")
+    return numbered.groupBy("doc_id").agg(
+        F.count("*").alias("n_blocks"),
+        (F.sum(F.length("block").cast("long")) + 2 * (F.count("*") - 1)).alias("n_chars"),
+        F.sum(own * F.col("number")).cast("long").alias("digest"),
     )

@@ -4,7 +4,7 @@ A plain window over ``(key, order)`` puts a whole key into one task. Here each k
 into segments by a deterministic expression of the order columns: the window runs inside
 ``(key, segment)``, each segment is reduced to one summary row (partial aggregation on
 the map side), the small summaries are scanned per key, and the carried value is joined
-back on ``(key, segment)``. Keys must not be NULL.
+back on ``(key, segment)``. NULL keys and segments are values like others.
 """
 
 from __future__ import annotations
@@ -24,6 +24,14 @@ def _frame(keys: Sequence[str], order: Sequence[str], exclusive: bool):
     return window.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
 
 
+def _with_carry(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on keys and segment, NULLs equal to each other."""
+    names = [*keys, _SEGMENT]
+    renamed = carried.withColumnsRenamed({name: f"__same_{name}" for name in names})
+    same = [F.col(name).eqNullSafe(F.col(f"__same_{name}")) for name in names]
+    return rows.join(renamed, same).drop(*[f"__same_{name}" for name in names])
+
+
 def running_last(
     df: DataFrame,
     keys: Sequence[str],
@@ -71,7 +79,7 @@ def running_last(
         "*",
         *[F.last(v, ignorenulls=True).over(frame).alias(f"__local_{n}") for n, v in values.items()],
     )
-    joined = local.join(carried, [*keys, _SEGMENT])
+    joined = _with_carry(local, carried, keys)
     return joined.select(
         *df.columns,
         *[F.coalesce(f"__local_{n}", f"__carry_{n}").alias(n) for n in values],
@@ -104,7 +112,7 @@ def running_sum(
         "*", *[F.sum(v).over(frame).alias(f"__local_{n}") for n, v in values.items()]
     )
     zero = F.lit(0).cast("long")
-    return local.join(carried, [*keys, _SEGMENT]).select(
+    return _with_carry(local, carried, keys).select(
         *df.columns,
         *[
             (F.coalesce(f"__local_{n}", zero) + F.coalesce(f"__carry_{n}", zero)).alias(n)

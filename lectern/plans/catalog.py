@@ -143,7 +143,7 @@ def page_index_lines(spark, folder):
 
 @query
 def page_preview(spark, folder):
-    return layout.preview_pages(layout.page_stats(_turn_items(spark, folder)), 2)
+    return layout.preview_pages(layout.page_stats(_turn_items(spark, folder)))
 
 
 @query
@@ -165,20 +165,13 @@ def _turn_items(spark, folder):
 
 @query
 def document_assembly(spark, folder):
-    return layout.assemble_documents(_turn_items(spark, folder)).select(
-        "doc_id", "part_no", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5")
-    )
+    return layout.document_digest(_turn_items(spark, folder))
 
 
 @query
 def page_tracking(spark, folder):
-    lines = sections.parse_lines(F.col("text"), use_anchor=False)
-    documents = layout.assemble_documents(_turn_items(spark, folder))
-    return (
-        rows_of(documents, ["doc_id"], sections.line_pages(lines), "line_no", "page")
-        .groupBy("doc_id", "page")
-        .agg(F.count("*").alias("n_lines"))
-    )
+    lines = layout.document_lines(_turn_items(spark, folder))
+    return layout.line_page_numbers(lines).groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"))
 
 
 @query

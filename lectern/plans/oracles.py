@@ -144,7 +144,7 @@ s AS (SELECT doc_id, page_no, length(string_agg(block, chr(10) || chr(10))) AS n
 SELECT doc_id, page_no::INTEGER AS page_no, '- **Page ' || lpad(page_no::VARCHAR, 4, '0') || '** | ' || n_chars
   || ' chars | ' || n_items || ' items | ' || n_headings || ' headings | 0 tables -> `page_'
   || lpad(page_no::VARCHAR, 4, '0') || '.md`' AS line FROM s
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_no) <= 2"""
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_no) <= 20"""
 
 TURN_BLOCKS = """
 SELECT conv_id AS doc_id, turn, turn // 2 + 1 AS page_no,
@@ -152,13 +152,19 @@ SELECT conv_id AS doc_id, turn, turn // 2 + 1 AS page_no,
   min(turn // 2 + 1) OVER (PARTITION BY conv_id) AS lowest,
   CASE WHEN role = 'system' THEN '## [page_title] ' || text ELSE text END AS body FROM conversations"""
 
+MARKED = f"""
+SELECT doc_id, turn, CASE WHEN before IS NULL THEN '<!-- page: ' || lowest || ' -->' || chr(10) || chr(10) || body
+    WHEN before <> page_no THEN '<!-- page: ' || page_no || ' -->' || chr(10) || chr(10) || body ELSE body END AS block
+FROM ({TURN_BLOCKS})"""
+
 ASSEMBLED = f"""
-SELECT doc_id, string_agg(CASE WHEN before IS NULL THEN '<!-- page: ' || lowest || ' -->' || chr(10) || chr(10) || body
-    WHEN before <> page_no THEN '<!-- page: ' || page_no || ' -->' || chr(10) || chr(10) || body ELSE body END,
-    chr(10) || chr(10) ORDER BY turn) AS text FROM ({TURN_BLOCKS}) GROUP BY doc_id"""
+SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY turn) AS text FROM ({MARKED}) GROUP BY doc_id"""
 
 ORACLES["document_assembly"] = f"""
-SELECT doc_id, 0::BIGINT AS part_no, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM ({ASSEMBLED})"""
+WITH a AS (SELECT doc_id, length(text)::BIGINT AS n_chars FROM ({ASSEMBLED})),
+b AS (SELECT doc_id, count(*) AS n_blocks, sum(('0x' || substr(md5(block), 1, 8))::BIGINT * number)::BIGINT AS digest
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS number FROM ({MARKED})) GROUP BY doc_id)
+SELECT doc_id, n_blocks, n_chars, digest FROM a JOIN b USING (doc_id)"""
 
 ORACLES["page_tracking"] = rf"""
 WITH l AS (SELECT doc_id, unnest({lines("text")}) AS line, generate_subscripts({lines("text")}, 1) AS i

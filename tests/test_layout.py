@@ -24,8 +24,8 @@ def test_page_regression_marks_every_change(spark):
         ],
         ITEMS,
     )
-    text = layout.assemble_documents(items).first().text
-    assert text.split("\n\n") == [
+    lines = [r.line for r in layout.document_lines(items).orderBy("item_pos", "line_no").collect()]
+    assert "\n".join(lines).split("\n\n") == [
         "<!-- page: 2 -->",
         "## [section_header] Titre",
         "<!-- page: 2 -->",
@@ -44,13 +44,35 @@ def test_page_regression_marks_every_change(spark):
     assert layout.corpus_totals(items).first().n_pages == 2
 
 
-def test_long_document_is_kept_whole_in_parts(spark):
-    rows = [("d", i, i // 3, "text", f"bloc {i}") for i in range(50)]
-    items = spark.createDataFrame(rows, ITEMS)
-    whole = layout.assemble_documents(items).collect()
-    parts = layout.assemble_documents(items, part_chars=60).orderBy("part_no").collect()
-    assert len(whole) == 1 and len(parts) > 5
-    assert "\n\n".join(p.text for p in parts) == whole[0].text
+def test_a_long_document_is_lines_of_the_whole(spark):
+    """A document of more than two million characters, a line with a third of all rows."""
+    body = "mot " * 700 + "\nfin\n"
+    items = [("d", i, i // 3, "text", body if i % 2 else f"bloc {i}") for i in range(1500)]
+    items += [("e", 0, 1, "text", "seul\n"), (None, 0, 4, "text", "sans nom")]
+    blocks = [f"{f'<!-- page: {p} -->' + chr(10) * 2 if k == 0 or items[k - 1][2] != p else ''}{t}"
+              for k, (_, _, p, _, t) in enumerate(items[:1500])]
+    whole = "\n\n".join(blocks)
+    assert len(whole) > 2_000_000
+    frame = layout.line_page_numbers(layout.document_lines(spark.createDataFrame(items, ITEMS)))
+    rows = frame.filter("doc_id = 'd'").orderBy("item_pos", "line_no").collect()
+    assert [r.line for r in rows] == whole.splitlines()
+    page, want = None, []
+    for line in whole.splitlines():
+        page = int(line.split()[2]) if line.startswith("<!-- page") else page
+        want.append(page)
+    assert [r.page for r in rows] == want
+    digest = {r.doc_id: r for r in layout.document_digest(spark.createDataFrame(items, ITEMS)).collect()}
+    assert (digest["d"].n_chars, digest["d"].n_blocks) == (len(whole), 1500)
+    assert set(digest) == {"d", "e", None}  # a missing name is a value of its own
+
+
+def test_scans_keep_rows_with_null_keys_and_segments(spark):
+    rows = [(None, 1, 5), (None, 2, None), (1, None, 7), (1, 3, None), (2, 1, None)]
+    frame = spark.createDataFrame(rows, "k int, i int, v int")
+    found = running_last(frame, ["k"], ["i"], F.col("i"), {"last": F.col("v")}).collect()
+    assert {(r.k, r.i): r.last for r in found} == {(None, 1): 5, (None, 2): 5, (1, None): 7, (1, 3): 7, (2, 1): None}
+    sums = running_sum(frame, ["k"], ["i"], F.col("i"), {"s": F.col("v")}).collect()
+    assert len(sums) == 5 and {(r.k, r.i): r.s for r in sums}[None, 2] == 5
 
 
 def test_chunks_straight_from_items(spark):
