@@ -280,8 +280,9 @@ def centre_pairs(token, n, pos, cls, percent: int) -> tuple[np.ndarray, np.ndarr
     """Every entry with its list's centre and with the entry before it."""
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     lengths = np.diff(np.append(first, len(token)))
-    # The centre is the entry with the smallest class: the same for lists of the same sets.
-    order = np.lexsort((cls, token))
+    # The centre is the entry with the fewest rarer shingles before this one, so the one with
+    # the fewest changes of its own in a group of changed copies.
+    order = np.lexsort((cls, pos, token))
     centre = np.repeat(order[first], lengths)
     entry = np.arange(len(token))
     follows = np.ones(len(token), dtype=bool)
