@@ -308,6 +308,40 @@ def chunk_candidates(chunks: DataFrame) -> DataFrame:
     return extract_candidates(chunks).select(*_CANDIDATE_COLUMNS, size.alias("size"), "candidates")
 
 
+def _first_of_each_question(chosen: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows that share a chunk id keep each question once, in the first row that asks it.
+
+    Only rows of ``repeated`` chunk ids are looked at; all others pass as they are.
+    """
+    by = Window.partitionBy("chunk_id", "__item.question").orderBy(
+        "document_id", "chunk_index", "__slot"
+    )
+    first = (
+        chosen.join(repeated, "chunk_id", "left_semi")
+        .select("chunk_id", "document_id", "chunk_index", F.posexplode("__chosen").alias("__slot", "__item"))
+        .withColumn("__nth", F.row_number().over(by))
+        .filter("__nth = 1")
+        .groupBy("chunk_id", "document_id", "chunk_index")
+        .agg(F.array_sort(F.collect_list(F.struct("__slot", "__item"))).alias("__kept"))
+    )
+    keys = ("chunk_id", "document_id", "chunk_index")
+    first = first.withColumnsRenamed({k: f"__first_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__first_{k}")) for k in keys]
+    marked = chosen.join(
+        repeated.select(F.col("chunk_id").alias("__repeated")),
+        F.col("chunk_id").eqNullSafe(F.col("__repeated")),
+        "left",
+    ).join(first, same, "left")
+    kept = F.transform("__kept", lambda x: x["__item"])
+    none = F.filter("__chosen", lambda _: F.lit(False))
+    return marked.select(
+        *[c for c in chosen.columns if c != "__chosen"],
+        F.when(F.col("__repeated").isNull(), F.col("__chosen"))
+        .otherwise(F.coalesce(kept, none))
+        .alias("__chosen"),
+    )
+
+
 def build_questions(candidates: DataFrame) -> DataFrame:
     """The whole question set, from :func:`chunk_candidates` with their ``chunk_index``.
 
@@ -323,19 +357,32 @@ def build_questions(candidates: DataFrame) -> DataFrame:
             select_candidates(F.col("candidates"), F.col("chunk_index")).alias("__chosen"),
         )
     )
+    repeated = chosen.groupBy("chunk_id").count().filter("count > 1").select("chunk_id")
+    if not repeated.isEmpty():
+        chosen = reliable_checkpoint(_first_of_each_question(chosen, repeated))
     counted = chosen.select(
         "chunk_id", "document_id", "chunk_index", F.size("__chosen").alias("__n")
     )
+    # A row is known by its document and position: chunk ids may be repeated.
     numbered = global_offsets(
         counted, ["document_id", "chunk_index"], {"chunk_at": F.lit(1), "__serial": F.col("__n")}
-    ).select("chunk_id", "chunk_at", "__serial")
+    ).select(
+        F.col("document_id").alias("__document"),
+        F.col("chunk_index").alias("__index"),
+        "chunk_at",
+        "__serial",
+    )
     totals = counted.agg(
         F.count("*").alias("chunks"), F.coalesce(F.sum("__n"), F.lit(0)).alias("items")
     ).first()
     n_chunks, n_items = totals["chunks"], totals["items"]
     if n_chunks == 0:
         raise ValueError("no chunks to ask about")
-    placed = chosen.join(numbered, "chunk_id")
+    placed = chosen.join(
+        numbered,
+        F.col("document_id").eqNullSafe(F.col("__document"))
+        & F.col("chunk_index").eqNullSafe(F.col("__index")),
+    ).drop("__document", "__index")
     answerable = placed.select(
         "*", F.posexplode("__chosen").alias("__slot", "__item")
     ).select(

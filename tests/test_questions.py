@@ -138,6 +138,20 @@ def test_question_set(spark):
     assert sum(report.values()) == n
 
 
+def test_repeated_chunk_ids_keep_ids_unique(spark):
+    text = "Titre\nLa capacité désigne le droit. Il y a 12 trains par heure au moins."
+    rows = [(f"c{i % 3}", "d-2025", i, text, 9, None, 1, 1) for i in range(9)]
+    rows += [("solo", None, 0, text, 9, None, 1, 1)]
+    frame = spark.createDataFrame(rows, CHUNK)
+    wanted = Q.extract_candidates(frame).select("*", F.col("token_count").alias("size"))
+    items = Q.build_questions(wanted).collect()
+    asked = [i for i in items if i.is_answerable]
+    assert len({i.id for i in items}) == len(items)
+    assert sorted(i.id for i in asked) == [f"eval_{n + 1:06d}" for n in range(len(asked))]
+    pairs = [(i.question, tuple(i.gold_chunk_ids) if "gold_chunk_ids" in i else i.chunk_id) for i in asked]
+    assert len(set(pairs)) == len(pairs)
+
+
 @pytest.mark.parametrize(
     "title, topic",
     [
