@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.functions.arrays import rows_of
-from lectern.functions.vectors import hash_embedder
+from lectern.functions.vectors import cosine, hash_embedder
 from lectern.operators import layout, packing, profile, questions, rewrite, sections
 from lectern.operators.anchor import content_anchor
 from lectern.operators.dense import dense_topk
@@ -22,6 +22,7 @@ from lectern.operators.sparse import bm25_topk, words
 from lectern.operators.topk import rank_results
 from lectern.plans.retrieval import with_texts, with_vectors
 from lectern.session import scratch_path, spread
+from lectern.sources import files
 from lectern.sources.collection import merged, vector_stats
 from lectern.sources.files import document_id_of, read_chunks, write_chunks
 from lectern.sources.html import html_items
@@ -389,6 +390,96 @@ def chunk_files(spark, folder):
     return _per_document(read, F.col("document_id"), F.col("token_count"))
 
 
+@query
+def page_text_table(spark, folder):
+    """Page texts written as ordered blocks and read back, counted per page."""
+    path = scratch_path(spark, "pages")
+    files.write_page_texts(_page_items(spark, folder), path)
+    return (
+        spark.read.parquet(path)
+        .groupBy("doc_id", "page_no")
+        .agg(F.count("*").alias("n_blocks"), F.sum(F.length("block")).alias("n_chars"))
+    )
+
+
+@query
+def document_files(spark, folder):
+    """Full documents written as text files and read back, lines and characters of each."""
+    path = scratch_path(spark, "documents")
+    files.write_document_lines(layout.document_lines(_turn_items(spark, folder)), path)
+    return files.read_document_lines(spark, path).groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")
+    ).agg(F.count("*").alias("n_lines"), F.sum(F.length("line").cast("long")).alias("n_chars"))
+
+
+@query
+def index_files(spark, folder):
+    """Page indexes written as text files and read back, the header's and the pages' lines."""
+    path = scratch_path(spark, "index")
+    files.write_index(layout.page_stats(_page_items(spark, folder)), path)
+    return spark.read.text(path).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.count_if(F.col("value").startswith("# Page index (")).alias("n_heads"),
+        F.count_if(F.col("value").startswith("- **Page ")).alias("n_pages"),
+    )
+
+
+@query
+def statistics_csv(spark, folder):
+    """Token statistics written as CSV with a header and read back."""
+    path = scratch_path(spark, "statistics")
+    counts = _counts(spark, folder)
+    files.write_statistics(counts, path)
+    return spark.read.option("header", True).schema(counts.schema).csv(path)
+
+
+def _labelled_questions(spark, folder):
+    labels = table(spark, folder, "labels", "doc_id", "toxic")
+    return labels.select(
+        F.format_string("q%d", "doc_id").alias("id"),
+        F.concat(F.lit("Que dit la partie « Doc "), F.col("doc_id").cast("string"), F.lit(" » ?")).alias("question"),
+        F.when(F.col("toxic") == 1, F.lit("legal_reference")).alias("question_type"),
+        F.array(F.format_string("doc_%06d", "doc_id")).alias("gold_chunk_ids"),
+    )
+
+
+@query
+def question_files(spark, folder):
+    """Items and counters written as JSON lines; the items read back with a given schema."""
+    path = scratch_path(spark, "questions")
+    items = _labelled_questions(spark, folder)
+    files.write_questions(items, items.groupBy("question_type").count(), path)
+    read = files.read_questions(spark, f"{path}/items")
+    return read.select("id", "question", "question_type", F.get("gold_chunk_ids", F.lit(0)).alias("gold"))
+
+
+@query
+def rewritten_files(spark, folder):
+    """Item lines read in order, rewritten, written and read back."""
+    source, target = scratch_path(spark, "lines"), scratch_path(spark, "rewritten")
+    files.write_json_lines(_labelled_questions(spark, folder), source)
+    lines = files.read_question_lines(
+        spark, source, "id string, question string, question_type string, section_path array<string>"
+    )
+    files.write_json_lines(rewrite.rewrite_questions(lines), target)
+    return files.read_questions(spark, target).select("id", "question")
+
+
+@query
+def label_cosine(spark, folder):
+    """Cosine of every vector with the mean of its label."""
+    vectors = _vectors(spark, folder, "item_id")
+    parts = rows_of(vectors, ["label"], F.col("vector"), "i", "x")
+    mean = (
+        parts.groupBy("label", "i")
+        .agg(F.avg(F.col("x").cast("double")).alias("m"))
+        .groupBy("label")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("mean"))
+    )
+    return vectors.join(mean, "label").select(
+        "item_id", F.round(cosine(F.col("vector"), F.col("mean")), 6).alias("similarity")
+    )
+
+
 @query
 def streamed_index(spark, folder):
     """Chunk files taken up by the streaming index, points counted per document."""

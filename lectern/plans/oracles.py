@@ -710,3 +710,36 @@ UNION ALL SELECT lang, 'semi', count(*), count(*) FROM documents
   WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang
 UNION ALL SELECT lang, 'anti', count(*), 0 FROM documents
   WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang"""
+
+# ---- files written and read back -------------------------------------------------------
+
+ORACLES["page_text_table"] = f"""
+SELECT doc_id, page_no, count(*) AS n_blocks, sum(length(CASE WHEN label = 'table' THEN '### [TABLE]' || chr(10) || chr(10) || text
+  WHEN label IN ('title', 'section_header') THEN '## [' || label || '] ' || text ELSE '[' || label || '] ' || text END))::BIGINT AS n_chars
+FROM ({ITEMS}) GROUP BY ALL"""
+
+ORACLES["document_files"] = rf"""
+WITH l AS (SELECT doc_id, unnest({lines("text")}) AS line FROM ({ASSEMBLED}))
+SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM l GROUP BY ALL"""
+
+ORACLES["index_files"] = f"""
+SELECT doc_id, 1::BIGINT AS n_heads, count(*) AS n_pages FROM ({STATS}) GROUP BY ALL"""
+
+ORACLES["statistics_csv"] = ORACLES["token_counts"]
+
+_LABELLED = """
+SELECT 'q' || doc_id AS id, doc_id, CASE WHEN toxic = 1 THEN 'legal_reference' END AS question_type FROM labels"""
+
+ORACLES["question_files"] = f"""
+SELECT id, 'Que dit la partie « Doc ' || doc_id || ' » ?' AS question, question_type, printf('doc_%06d', doc_id) AS gold
+FROM ({_LABELLED})"""
+
+ORACLES["rewritten_files"] = f"""
+SELECT id, replace(CASE coalesce(question_type, 'factual') {_TEMPLATES} ELSE {_quoted(fixed.REWRITE_DEFAULT)} END,
+  '%s', 'le doc ' || doc_id) AS question FROM ({_LABELLED})"""
+
+ORACLES["label_cosine"] = """
+WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(x) AS m FROM v GROUP BY ALL)
+SELECT vec_id AS item_id, round(sum(x * m) / nullif(sqrt(sum(x * x)) * sqrt(sum(m * m)), 0), 6) AS similarity
+FROM v JOIN m USING (label, i) GROUP BY vec_id"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions import fixed
 from lectern.operators.layout import index_lines, page_item_markdown, usable_items
+from lectern.operators.scans import global_offsets
 
 CHUNK_SCHEMA = T.StructType(
     [
@@ -130,20 +131,25 @@ def write_chunks(chunks: DataFrame, path: str, by_document: bool = False) -> Non
     (writer.partitionBy("folder") if by_document else writer).json(path)
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation items from one file or from all ``*.jsonl`` files of a folder."""
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(location):
-        raise FileNotFoundError(f"path does not exist: {path}")
-    reader = spark.read
-    if system.getFileStatus(location).isDirectory():
-        found = system.globStatus(jvm.org.apache.hadoop.fs.Path(path, "*.jsonl"))
-        if len(found) == 0:
-            raise ValueError(f"no .jsonl files in {path}")
-        reader = reader.option("pathGlobFilter", "*.jsonl")
-    return reader.json(path)
+QUESTION_SCHEMA = (
+    "id string, question string, answer string, question_type string, document_id string, "
+    "chunk_id string, gold_chunk_ids array<string>, section_path array<string>"
+)
+
+
+def read_questions(
+    spark: SparkSession, path: str, schema: str = QUESTION_SCHEMA, pattern: str = "*.json*"
+) -> DataFrame:
+    """Evaluation items from one JSON lines file or from all such files of a folder.
+
+    The schema is given, so nothing is read to find it out; a line that is no JSON object
+    fails the job. A folder without files is an error.
+    """
+    reader = spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", pattern)
+    found = reader.json(path)
+    if not found.inputFiles():
+        raise ValueError(f"no files named {pattern} in {path}")
+    return found
 
 
 def read_curated_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -157,19 +163,26 @@ def read_curated_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_question_lines(
-    spark: SparkSession, path: str, schema: str, limit: int = fixed.REWRITE_LIMIT
+    spark: SparkSession, path: str, schema: str, limit: int | None = None
 ) -> DataFrame:
-    """Items among the first ``limit`` physical lines of one file; bad lines are skipped.
+    """Items on the lines of one file or folder, numbered from 1; bad lines are skipped.
 
-    Blank lines count towards the limit. ``line_no`` keeps the order of the file.
+    ``line_no`` counts all physical lines, blank ones too, files in order of their names.
+    With a ``limit`` only items on the first so many lines are returned. Lines are numbered
+    by sums over blocks of the files; no task sees all lines.
     """
-    head = spark.read.text(path).limit(limit)
-    order = Window.orderBy("__at")
-    numbered = head.withColumn("__at", F.monotonically_increasing_id()).select(
-        F.row_number().over(order).alias("line_no"), "value"
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"),
+        "value",
     )
+    keys = ["__file", "__block", "__at"]
+    numbered = global_offsets(raw, keys, {"__before": F.lit(1)})
+    if limit is not None:
+        numbered = numbered.filter(F.col("__before") < limit)
     parsed = numbered.filter(F.trim("value") != "").select(
-        "line_no",
+        (F.col("__before") + 1).alias("line_no"),
         F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("q"),
     )
     return parsed.filter(F.col("q._bad").isNull()).select("line_no", "q.*").drop("_bad")
@@ -198,10 +211,39 @@ def write_page_texts(items: DataFrame, path: str) -> None:
     ).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
+def write_document_lines(lines: DataFrame, path: str) -> None:
+    """Full documents as text, one folder per document (``doc_id=...``).
+
+    ``lines`` are the rows of ``layout.document_lines``. They are sorted over all tasks, so a
+    long document is several files whose names give their order.
+    """
+    order = ["doc_id", "item_pos", "line_no"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "doc_id", F.col("line").alias("value")
+    ).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
+def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_document_lines` has written: ``doc_id, file, block, at, line``.
+
+    ``file``, ``block`` and ``at`` order the lines of a document.
+    """
+    return spark.read.text(path).select(
+        F.col("doc_id"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("line"),
+    )
+
+
 def write_index(stats: DataFrame, path: str) -> None:
-    """Index lines as text, one folder per document, in page order."""
+    """Index lines as text below a header, one folder per document, in page order."""
     order = ["doc_id", "page_no"]
-    lines = index_lines(stats).repartitionByRange(*order).sortWithinPartitions(*order)
+    head = stats.groupBy("doc_id").agg(F.count("*").alias("n")).select(
+        "doc_id", F.lit(0).alias("page_no"), F.format_string("# Page index (%d pages)", "n").alias("line")
+    )
+    lines = head.unionByName(index_lines(stats)).repartitionByRange(*order).sortWithinPartitions(*order)
     lines.select("doc_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy(
         "doc_id"
     ).text(path)

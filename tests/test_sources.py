@@ -1,11 +1,12 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.vectors import hash_embedder
-from lectern.operators.layout import page_stats
+from lectern.operators.layout import document_lines, page_stats
 from lectern.operators.metrics import normalise_gold
 from lectern.plans.corpus import chunk_folder, chunk_table
 from lectern.sources import collection, files
@@ -69,8 +70,12 @@ def test_questions_from_file_or_folder(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError):
         files.read_questions(spark, str(tmp_path / "empty"))
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         files.read_questions(spark, str(tmp_path / "missing"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.jsonl").write_text('{"question": "q1"}\nno json\n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        files.read_questions(spark, str(tmp_path / "bad")).select("question").collect()
 
 
 def test_curated_questions(spark, tmp_path):
@@ -91,6 +96,10 @@ def test_line_limit_counts_blank_and_bad_lines(spark, tmp_path):
     path.write_text('{"question": "a"}\n\nnot json\n{"question": "b"}\n{"question": "c"}\n')
     rows = files.read_question_lines(spark, str(path), "question string", limit=4).orderBy("line_no").collect()
     assert [(r.line_no, r.question) for r in rows] == [(1, "a"), (4, "b")]
+    many = tmp_path / "many.jsonl"
+    many.write_text("".join(f'{{"question": "{n}"}}\n' for n in range(2000)))
+    rows = files.read_question_lines(spark, str(many), "question string").orderBy("line_no").collect()
+    assert [(r.line_no, r.question) for r in rows] == [(n + 1, str(n)) for n in range(2000)]
 
 
 def test_index_round_trip(spark, tmp_path):
@@ -145,3 +154,15 @@ def test_index_stream_takes_each_file_once(spark, tmp_path):
     assert spark.read.parquet(store).count() == 4
     index_stream(spark, folder, store, mark, embed).awaitTermination()
     assert spark.read.parquet(store).count() == 4
+
+
+def test_document_lines_round_trip(spark, tmp_path):
+    items = spark.createDataFrame(
+        [(d, i, i // 4, "text", f"bloc {i}\nfin") for d in ("a", "b") for i in range(300)],
+        "doc_id string, item_pos int, page_no int, label string, text string",
+    )
+    lines = document_lines(items)
+    files.write_document_lines(lines, str(tmp_path / "docs"))
+    order = ["doc_id", "file", "block", "at"]
+    read = [(r.doc_id, r.line) for r in files.read_document_lines(spark, str(tmp_path / "docs")).orderBy(*order).collect()]
+    assert read == [(r.doc_id, r.line) for r in lines.orderBy("doc_id", "item_pos", "line_no").collect()]
