@@ -63,6 +63,29 @@ def scorer(
     return score
 
 
+def answer_logits(
+    load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = fixed.RERANK_BATCH
+) -> Callable[[Column], Column]:
+    """Column function that asks a loaded model; a struct of the logits of ``no`` and ``yes``.
+
+    The model takes prompts and returns two columns. Prompts reach it whole: what a model
+    cannot read is its own to cut.
+    """
+
+    @F.pandas_udf("no double, yes double")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for prompts in batches:
+            parts = [
+                np.asarray(model(prompts.iloc[start : start + batch].tolist()), dtype=np.float64)
+                for start in range(0, len(prompts), batch)
+            ]
+            logits = np.concatenate(parts) if parts else np.zeros((0, 2))
+            yield pd.DataFrame(logits, columns=["no", "yes"], index=prompts.index)
+
+    return ask
+
+
 def rerank_prompt(query: Column, text: Column, task: str = fixed.RERANK_TASK) -> Column:
     """Prompt a yes/no reranking model is asked with."""
     return F.format_string(fixed.RERANK_PROMPT, F.lit(task), query, text)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
+from lectern.functions.models import rerank_prompt, yes_probability
+from lectern.functions.vectors import sigmoid
 
 
 def rerank(
@@ -31,3 +33,33 @@ def rerank(
         .withColumn("rank", F.col("__rank"))
         .drop("__rank")
     )
+
+
+def rerank_by_answer(
+    candidates: DataFrame,
+    ask: Callable[[Column], Column],
+    top_k: int = max(fixed.K_VALUES),
+    task: str = fixed.RERANK_TASK,
+    **names: str,
+) -> DataFrame:
+    """Order candidates by the probability that a model answers "yes" to the prompt.
+
+    ``ask`` takes prompts and returns the logits of both answers
+    (``functions.models.answer_logits``).
+    """
+
+    def score(query: Column, text: Column) -> Column:
+        logits = ask(rerank_prompt(query, text, task))
+        return yes_probability(logits["no"], logits["yes"])
+
+    return rerank(candidates, score, top_k, **names)
+
+
+def rerank_by_logit(
+    candidates: DataFrame,
+    logit: Callable[[Column, Column], Column],
+    top_k: int = max(fixed.K_VALUES),
+    **names: str,
+) -> DataFrame:
+    """Order candidates by a cross-encoder's relevance, the sigmoid of its logit."""
+    return rerank(candidates, lambda query, text: sigmoid(logit(query, text)), top_k, **names)

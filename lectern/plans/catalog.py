@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import fixed
+from lectern.functions import fixed, models
 from lectern.functions import text as T
 from lectern.functions.arrays import rows_of
 from lectern.functions.vectors import cosine, hash_embedder
@@ -16,7 +16,7 @@ from lectern.operators.anchor import content_anchor
 from lectern.operators.dense import dense_topk
 from lectern.operators.fusion import reciprocal_rank_fusion
 from lectern.operators.metrics import gold_matches, normalise_gold, retrieval_metrics
-from lectern.operators.rerank import rerank
+from lectern.operators.rerank import rerank, rerank_by_answer, rerank_by_logit
 from lectern.operators.scans import running_last, running_sum
 from lectern.operators.sparse import bm25_topk, words
 from lectern.operators.topk import rank_results
@@ -676,6 +676,35 @@ def hybrid_reranked(spark, folder):
     return _rounded(best.select("query_id", "item_id", "score", "rank"), "score")
 
 
+def _answers():
+    """Deterministic stand-in for a yes/no model: logits from the prompt's length."""
+    return lambda prompts: [(len(p) % 7, len(p) % 11) for p in prompts]
+
+
+def _relevance():
+    """Deterministic stand-in for a cross-encoder: a logit from both lengths."""
+    return lambda queries, texts: [(7 * len(q) + len(t)) % 13 - 6 for q, t in zip(queries, texts, strict=True)]
+
+
+def _dense_candidates(spark, folder):
+    ranked = _dense_texts(spark, folder, 10)
+    return with_texts(ranked, _passages(spark, folder), _items(spark, folder))
+
+
+@query
+def yes_no_reranked(spark, folder):
+    """Prompt, answer logits, softmax and stable order over the dense candidates."""
+    best = rerank_by_answer(_dense_candidates(spark, folder), models.answer_logits(_answers), 5)
+    return _rounded(best.select("query_id", "item_id", "score", "rank"), "score")
+
+
+@query
+def cross_encoder_reranked(spark, folder):
+    """Logit, sigmoid and stable order over the dense candidates."""
+    best = rerank_by_logit(_dense_candidates(spark, folder), models.scorer(_relevance), 5)
+    return _rounded(best.select("query_id", "item_id", "score", "rank"), "score")
+
+
 def _passage_metrics(spark, folder, ranked):
     return _rounded_metrics(retrieval_metrics(_passages(spark, folder), _containing(ranked)))
 

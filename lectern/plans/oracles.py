@@ -743,3 +743,22 @@ WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscr
 m AS (SELECT label, i, avg(x) AS m FROM v GROUP BY ALL)
 SELECT vec_id AS item_id, round(sum(x * m) / nullif(sqrt(sum(x * x)) * sqrt(sum(m * m)), 0), 6) AS similarity
 FROM v JOIN m USING (label, i) GROUP BY vec_id"""
+
+
+def rescored(score: str) -> str:
+    """The dense candidates in the order of a score over query text ``q`` and item text ``t``."""
+    return f"""
+WITH c AS MATERIALIZED ({ranked(_DENSE_TEXT, 10, "similarity")}),
+s AS (SELECT query_id, c.item_id, c.rank AS first, {score} AS score FROM c
+  JOIN (SELECT item_id AS query_id, length(text) AS q FROM benchmark) USING (query_id)
+  JOIN (SELECT doc_id AS item_id, length(text) AS t FROM documents) USING (item_id))
+SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM s
+QUALIFY rank <= 5"""
+
+
+_FRAME = len(fixed.RERANK_PROMPT % (fixed.RERANK_TASK, "", ""))
+
+ORACLES["yes_no_reranked"] = shown(
+    rescored(f"1 / (1 + exp((({_FRAME} + q + t) % 7 - ({_FRAME} + q + t) % 11)::DOUBLE))"), "score"
+)
+ORACLES["cross_encoder_reranked"] = shown(rescored("1 / (1 + exp(-((7 * q + t) % 13 - 6)::DOUBLE))"), "score")
