@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from lectern.plans.catalog import QUERIES
@@ -59,6 +60,7 @@ def main() -> None:
             "spark.driver.memory": "12g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="lectern-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

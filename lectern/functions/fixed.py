@@ -54,7 +54,6 @@ RETRIEVE_K = 30
 HYBRID_K = 20
 HYBRID_TOP_K = 5
 RERANK_BATCH = 4
-UPSERT_BATCH = 100
 RERANK_TASK = "Given a question query, retrieve relevant passages that answer the query"
 RERANK_PROMPT = "<Instruct>: %s\n<Query>: %s\n<Document>: %s"
 

@@ -21,11 +21,6 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(fixed.TOKEN)).cast("int")
 
 
-def with_special_tokens(counter: TokenCounter, special: int = 2) -> TokenCounter:
-    """A counter that adds the begin/end tokens a model tokenizer would add."""
-    return lambda text: (counter(text) + F.lit(special)).cast("int")
-
-
 def tokens(text: Column) -> Column:
     """Lower-cased tokens, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(fixed.TOKEN), F.lit(0))

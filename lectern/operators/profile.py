@@ -117,11 +117,6 @@ def most_common(values: DataFrame, value: Column, position: Column, n: int) -> D
     )
 
 
-def sample_pages(spans: DataFrame, pages: int = 5) -> DataFrame:
-    """Spans of each document's first pages, as the font profile looks at them."""
-    return spans.filter(F.col("page_no") <= pages)
-
-
 def text_sample(text: Column, chars: int = 800) -> Column:
     """Opening of a text, to be looked at."""
     return F.substring(text, 1, chars)

@@ -1,4 +1,8 @@
-"""Vector collections kept as Spark tables."""
+"""Vector collections kept as Spark tables.
+
+A table is partitioned by a hash of the point id into a fixed number of slots, so replacing
+points rewrites only the slots that they fall into.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.functions.vectors import norm
+from lectern.session import reliable_checkpoint
+
+SLOTS = 64
 
 PAYLOAD = (
     "chunk_id",
@@ -34,7 +41,7 @@ def ensure_collection(
     if collection_exists(spark, name):
         return False
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({_COLUMNS}) USING parquet "
+        f"CREATE TABLE IF NOT EXISTS {name} ({_COLUMNS}, slot int) USING parquet PARTITIONED BY (slot) "
         f"TBLPROPERTIES ('dim' = '{dim}', 'distance' = '{distance}')"
     )
     return True
@@ -53,7 +60,13 @@ def collection_properties(spark: SparkSession, name: str) -> dict[str, str]:
 
 
 def open_collection(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name)
+    return spark.table(name).drop("slot")
+
+
+def _slotted(rows: DataFrame) -> DataFrame:
+    """Rows with their slot, which stands last as table partitions do."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
+    return rows.select("id", "vector", "payload", slot.alias("slot"))
 
 
 def points(chunks: DataFrame, embed) -> DataFrame:
@@ -68,7 +81,7 @@ def points(chunks: DataFrame, embed) -> DataFrame:
 
 def append_points(batch: DataFrame, name: str) -> None:
     """Add points without looking for earlier ones (indexing twice stores them twice)."""
-    batch.write.mode("append").insertInto(name)
+    _slotted(batch).write.mode("append").insertInto(name)
 
 
 def merged(existing: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
@@ -80,19 +93,37 @@ def merged(existing: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     return kept.unionByName(batch.select(*existing.columns))
 
 
-def upsert_points(batch: DataFrame, name: str) -> None:
+def last_of_each(batch: DataFrame, order: str | None = None) -> DataFrame:
+    """One row of every id: the one with the largest ``order``, then the largest payload text."""
+    by = [F.to_json("payload"), F.to_json("vector")]
+    if order is not None:
+        by.insert(0, F.col(order))
+    newest = F.max_by(F.struct("vector", "payload"), F.struct(*by))
+    return batch.groupBy("id").agg(newest.alias("__p")).select("id", "__p.vector", "__p.payload")
+
+
+def upsert_points(batch: DataFrame, name: str, order: str | None = None) -> None:
     """Replace points of the same id and add the others.
 
-    The merged table is written beside the old one and takes its name at the end.
+    Only slots that the batch touches are read and written; their new content is stored
+    first, then put in place of the old by a dynamic partition overwrite, so the table is
+    there all the time and other slots keep their files. Of several rows with one id the
+    last by ``order`` counts.
     """
     spark = batch.sparkSession
-    properties = collection_properties(spark, name)
-    staging = f"{name}__next"
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    ensure_collection(spark, staging, int(properties["dim"]), properties["distance"])
-    merged(open_collection(spark, name), batch.dropDuplicates(["id"])).write.insertInto(staging)
-    spark.sql(f"DROP TABLE {name}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+    new = reliable_checkpoint(last_of_each(batch, order))
+    touched = [r["slot"] for r in _slotted(new).select("slot").distinct().collect()]  # at most SLOTS
+    if not touched:
+        return
+    old = spark.table(name).filter(F.col("slot").isin(touched)).drop("slot")
+    rows = reliable_checkpoint(_slotted(merged(old, new)))
+    key = "spark.sql.sources.partitionOverwriteMode"
+    mode = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        rows.write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(key, mode)
 
 
 def vector_stats(vectors: DataFrame, vector: str = "vector") -> DataFrame:

@@ -147,6 +147,25 @@ def test_collection_life_cycle(spark):
     assert collection.drop_collection(spark, name) and not collection.drop_collection(spark, name)
 
 
+def test_upsert_leaves_other_slots_alone(spark):
+    name = "slots_test"
+    collection.ensure_collection(spark, name, dim=8)
+    collection.append_points(collection.points(chunks(spark, 40), embed), name)
+    before = {f for f in spark.table(name).inputFiles()}
+    one = collection.points(chunks(spark, 1), embed)
+    slot = collection._slotted(one).first().slot
+    older, newer = (one.withColumn("payload", F.col("payload").withField("text", F.lit(t))).withColumn("v", F.lit(v))
+                    for t, v in (("zz older", 1), ("newer", 2)))
+    collection.upsert_points(newer.union(older), name, order="v")
+    after = {f for f in spark.table(name).inputFiles()}
+    assert before - after and all(f"slot={slot}/" in f for f in before - after)
+    stored = collection.open_collection(spark, name)
+    assert stored.count() == 40 and stored.filter("payload.text = 'newer'").count() == 1
+    collection.upsert_points(one.limit(0), name)
+    assert collection.open_collection(spark, name).count() == 40
+    collection.drop_collection(spark, name)
+
+
 def test_index_stream_takes_each_file_once(spark, tmp_path):
     folder, store, mark = (str(tmp_path / n) for n in ("chunks", "points", "mark"))
     files.write_chunks(chunks(spark, 4), folder)
