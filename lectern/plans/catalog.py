@@ -132,6 +132,13 @@ def page_items(spark, folder):
     )
 
 
+@query
+def page_visible(spark, folder):
+    """Characters of all items of a page without blanks: all that the page shows."""
+    shown = F.length(F.regexp_replace("text", r"\s", "")).cast("long")
+    return _page_items(spark, folder).groupBy("doc_id").agg(F.sum(shown).alias("n_visible"))
+
+
 @query
 def page_stats(spark, folder):
     return layout.page_stats(_page_items(spark, folder))

@@ -86,31 +86,38 @@ ORACLES["text_sample"] = "SELECT doc_id, md5(left(text, 800)) AS sample_md5 FROM
 
 # ---- layout ---------------------------------------------------------------------------
 
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
-            ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
-_TEXT = r"regexp_replace(body, '<[^>]*>', ' ', 'g')"
-for _entity, _char in ENTITIES:
-    _TEXT = f"replace({_TEXT}, '{_entity}', '{_char}')"
+# The pages hold these entities only; the ampersand comes last, so each is decoded once.
+ENTITIES = [("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
 
+
+def decoded(text: str) -> str:
+    for entity, char in ENTITIES:
+        text = f"replace({text}, '{entity}', '{char}')"
+    return text
+
+
+_CLEAN = r"""SELECT page_id, url, regexp_replace(html,
+       '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g') AS h FROM pages"""
+_BODY_TEXT = decoded("regexp_replace(body, '<[^>]*>', ' ', 'g')")
+
+# The pages have no table; what a page shows is compared by another rule in page_visible.
 ITEMS = rf"""
-WITH clean AS (SELECT page_id, url, regexp_replace(html,
-       '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') AS h FROM pages),
-marked AS (SELECT page_id, url, regexp_replace(h, '(?i)<(title|h[1-6]|p|li|table)(?:\s[^>]*)?>',
-       chr(30) || '\1' || chr(31), 'g') AS m FROM clean),
-pieces AS (SELECT page_id, url, list_filter(string_split(m, chr(30)), lambda x: contains(x, chr(31))) AS l
-           FROM marked),
-segs AS (SELECT page_id, url, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM pieces),
-cut AS (SELECT page_id, url, i, lower(split_part(s, chr(31), 1)) AS tag,
-        regexp_split_to_array(split_part(s, chr(31), 2),
-          '(?i)</(?:title|h[1-6]|p|li|ul|ol|nav|div|article|section|header|footer|main|head|body|html)\s*>')[1]
-          AS body FROM segs),
-txt AS (SELECT page_id, url, i, tag, {squash(_TEXT)} AS text FROM cut)
+WITH clean AS ({_CLEAN}),
+segs AS (SELECT page_id, url, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT page_id, url,
+  string_split(regexp_replace(h, '(?i)<(/?)(title|h[1-6]|p|li|ul|div|article|section|header|footer|nav|main|head|body|html)(?:\s[^>]*)?/?>',
+    chr(30) || '\1\2' || chr(31), 'g'), chr(30)) AS l FROM clean)),
+txt AS (SELECT page_id, url, i, lower(split_part(s, chr(31), 1)) AS tag, {squash(_BODY_TEXT)} AS text
+  FROM (SELECT *, CASE WHEN contains(s, chr(31)) THEN split_part(s, chr(31), 2) ELSE s END AS body FROM segs))
 SELECT page_id AS doc_id, coalesce(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '')::INTEGER, 1) AS page_no,
        (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS item_pos,
-       CASE tag WHEN 'title' THEN 'title' WHEN 'p' THEN 'text' WHEN 'li' THEN 'list_item'
-                WHEN 'table' THEN 'table' ELSE 'section_header' END AS label, text
+       CASE WHEN tag = 'title' THEN 'title' WHEN tag = 'li' THEN 'list_item'
+            WHEN regexp_matches(tag, '^h[1-6]$') THEN 'section_header' ELSE 'text' END AS label, text
 FROM txt WHERE text <> ''"""
 
+ORACLES["page_visible"] = rf"""
+SELECT page_id AS doc_id, sum(length(regexp_replace({decoded("regexp_replace(h, '<[^>]*>', '', 'g')")}, '\s', '', 'g')))::BIGINT
+  AS n_visible FROM ({_CLEAN}) GROUP BY page_id"""
+
 ORACLES["page_items"] = f"""
 SELECT *, CASE WHEN label IN ('title', 'section_header') THEN '## [' || label || '] ' || text ELSE text END
        AS markdown FROM ({ITEMS})"""

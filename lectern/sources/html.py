@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,35 +11,52 @@ from lectern.functions import fixed
 from lectern.functions.arrays import bind, rows_of
 from lectern.functions.text import collapse
 
-# What is skipped, what opens an item, what ends it.
+# What is skipped, what separates items, what a table is made of.
 SKIPPED = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-TABLE = r"(?is)<table\b.*?</table\s*>"
-TABLE_ROW = r"(?is)<tr\b.*?</tr\s*>"
-TABLE_CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"
-OPENING = r"(?i)<(title|h[1-6]|p|li|table)(?:\s[^>]*)?>"
-CLOSING = r"(?i)</(?:title|h[1-6]|p|li|ul|ol|nav|div|article|section|header|footer|main|head|body|html)\s*>"
+TABLE_OPEN = r"(?i)<table(?:\s[^>]*)?>"
+TABLE_CLOSE = r"(?i)</table\s*>"
+TABLE_ROW = r"(?is)<tr\b.*?(?=<tr\b|\z)"
+TABLE_CELL = r"(?is)<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</tr\b|\z)"
+BLOCK = (
+    "title|h[1-6]|p|li|ul|ol|dl|dt|dd|div|pre|blockquote|address|article|aside|section|header|"
+    "footer|nav|main|head|body|html|form|fieldset|legend|figure|figcaption|details|summary|"
+    "table|caption|colgroup|thead|tbody|tfoot|tr|td|th|hr"
+)
+BLOCK_TAG = rf"(?i)<(/?)({BLOCK})(?:\s[^>]*)?/?>"
 ANY_TAG = r"<[^>]*>"
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#39;": "'",
-    "&nbsp;": " ",
-    "&middot;": "·",
-    "&copy;": "©",
-    "&amp;": "&",
-}
-LABELS = {"title": "title", "p": "text", "li": "list_item", "table": fixed.LABEL_TABLE}
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+LABELS = {"title": "title", "li": "list_item"}
 
 _ITEM, _BODY = "\x1e", "\x1f"
 
 
+def decode_entities(text: Column) -> Column:
+    """Numeric entities and those that HTML names, each decoded once; others stay as written."""
+    named = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+
+    def decoded(part, index):
+        name = F.regexp_extract(part, ENTITY, 1)
+        hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+        code = F.when(hexadecimal, F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(
+            F.substring(name, 2, 7)
+        ).try_cast("long")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        char = F.when(name.startswith("#"), number).otherwise(F.try_element_at(named, name))
+        rest = F.substr(part, F.length(name) + 2)
+        return (
+            F.when(index == 0, part)
+            .when((name != "") & char.isNotNull(), F.concat(char, rest))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
+
+    joined = F.array_join(F.transform(F.split(text, "&", -1), decoded), "")
+    return F.when(text.contains("&"), joined).otherwise(text)
+
+
 def plain_text(markup: Column) -> Column:
     """Markup without tags, entities decoded, blanks collapsed."""
-    text = F.regexp_replace(markup, ANY_TAG, " ")
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return collapse(text)
+    return collapse(decode_entities(F.regexp_replace(markup, ANY_TAG, " ")))
 
 
 def table_markdown(table: Column) -> Column:
@@ -56,43 +75,55 @@ def table_markdown(table: Column) -> Column:
     return bind(rows, lambda r: F.when(F.size(r) > 0, layout(r)).otherwise(""))
 
 
-def _items(html: Column) -> Column:
-    def parse(source):
-        tables = F.regexp_extract_all(source, F.lit(TABLE), F.lit(0))
-        marked = F.regexp_replace(source, TABLE, "<table>")
-        marked = F.regexp_replace(marked, OPENING, f"{_ITEM}$1{_BODY}")
-        segments = F.filter(F.split(marked, _ITEM, -1), lambda s: s.contains(_BODY))
+def _runs(fragment: Column) -> Column:
+    """Text runs between block tags, with the label of the tag they follow."""
+    marked = F.regexp_replace(fragment, BLOCK_TAG, f"{_ITEM}$1$2{_BODY}")
 
-        def item(segment):
-            tag = F.lower(F.substring_index(segment, _BODY, 1))
-            body = F.element_at(F.split(F.substring_index(segment, _BODY, -1), CLOSING, -1), 1)
-            return F.struct(tag.alias("tag"), body.alias("body"))
+    def run(segment):
+        tagged = segment.contains(_BODY)
+        tag = F.when(tagged, F.lower(F.substring_index(segment, _BODY, 1))).otherwise("")
+        body = F.when(tagged, F.substring_index(segment, _BODY, -1)).otherwise(segment)
+        label = F.when(tag.rlike("^h[1-6]$"), fixed.LABEL_SECTION_HEADER)
+        for name, known in LABELS.items():
+            label = label.when(tag == name, known)
+        return F.struct(label.otherwise("text").alias("label"), plain_text(body).alias("text"))
 
-        def number(pieces):
-            def finish(piece, index):
-                rank = F.size(
-                    F.filter(F.slice(pieces, 1, index), lambda p: p["tag"] == "table")
-                )
-                label = F.lit(fixed.LABEL_SECTION_HEADER)
-                for tag, name in LABELS.items():
-                    label = F.when(piece["tag"] == tag, name).otherwise(label)
-                text = F.when(
-                    piece["tag"] == "table", bind(F.get(tables, rank), table_markdown)
-                ).otherwise(plain_text(piece["body"]))
-                return F.struct(label.alias("label"), text.alias("text"))
+    return F.transform(F.split(marked, _ITEM, -1), run)
 
-            return F.filter(F.transform(pieces, finish), lambda i: i["text"] != "")
 
-        return bind(F.transform(segments, item), number)
+def _items(html: Column) -> Column:
+    """Items of a page: the text runs, and a table in the place of each innermost table.
+
+    The page is cut where tables open. A part that closes its table is that table, then runs;
+    one in which another table opens first belongs to an outer table, whose cells are runs.
+    """
+
+    def item(part, index):
+        closed = F.regexp_instr(part, F.lit(TABLE_CLOSE)) > 0
+        halves = F.split(part, TABLE_CLOSE, 2)
+        table = F.struct(
+            F.lit(fixed.LABEL_TABLE).alias("label"),
+            bind(F.get(halves, F.lit(0)), table_markdown).alias("text"),
+        )
+        return F.when(
+            (index > 0) & closed, F.concat(F.array(table), _runs(F.get(halves, F.lit(1))))
+        ).otherwise(_runs(part))
+
+    def parse(source):
+        return F.filter(
+            F.flatten(F.transform(F.split(source, TABLE_OPEN, -1), item)), lambda i: i["text"] != ""
+        )
 
-    return bind(F.regexp_replace(html, SKIPPED, ""), parse)
+    return bind(F.regexp_replace(html, SKIPPED, " "), parse)
 
 
 def html_items(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per block item of each page row: ``item_pos, label, text``.
 
-    Blocks are titles, headings, paragraphs, list items and tables; an unclosed block
-    ends where the next one opens. Items without text are dropped.
+    Every text run between two block tags is an item, so no text is lost: a title, heading
+    or list item if it follows that tag, else a text (also what follows a nested block's
+    end). An innermost table is one item; the cells of a table around it are texts. Runs
+    without text are dropped.
     """
     others = [name for name in pages.columns if name != html]
     return rows_of(pages, others, _items(F.col(html)), "item_pos", "item").select(

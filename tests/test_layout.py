@@ -102,10 +102,28 @@ def test_html_items_with_tables_and_unclosed_blocks(spark):
         (3, "text", "suite"),
         (4, "list_item", "x"),
         (5, "list_item", "y"),
-        (6, "table", "| a | b |\n| --- | --- |\n| 1 | 2 |"),
+        (6, "text", "dehors"),
+        (7, "table", "| a | b |\n| --- | --- |\n| 1 | 2 |"),
     ]
 
 
+def test_html_items_keep_all_text(spark):
+    html = (
+        "avant<div>un<pre>deux</pre>trois</div><ul><li>a<ul><li>b</li></ul>c</li></ul><p>d</div>e"
+        "<table><tr><td>f<table><tr><td>g</td></table>h</td><td>i</td></tr></table>j<table><td>k"
+    )
+    extra = "<p>&#233;&eacute;&#xE9; &amp;lt; &unknown; &#0; &#128512; a&b</p>"
+    rows = spark.createDataFrame([(1, html), (2, extra), (3, None), (4, "")], "page_id int, html string")
+    found = html_items(rows).orderBy("page_id", "item_pos").collect()
+    assert [(r.label, r.text) for r in found if r.page_id == 1] == [
+        ("text", "avant"), ("text", "un"), ("text", "deux"), ("text", "trois"), ("list_item", "a"), ("list_item", "b"),
+        ("text", "c"), ("text", "d"), ("text", "e"), ("text", "f"), ("table", "| g |\n| --- |"), ("text", "h"),
+        ("text", "i"), ("text", "j"), ("text", "k"),
+    ]
+    assert [r.text for r in found if r.page_id == 2] == ["ééé &lt; &unknown; &#0; \U0001F600 a&b"]
+    assert {r.page_id for r in found} == {1, 2}
+
+
 @pytest.mark.parametrize("segment", [1, 3, 1000])
 def test_scans_equal_plain_loops(spark, segment):
     rows = [(k, i, (i * 7 + k) % 5 or None) for k in (1, 2) for i in range(20)]
