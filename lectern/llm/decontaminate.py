@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.batches import bound_batches
 from lectern.llm.textkit import WORD_BYTES, find_words, hash_words, slices
 
 WINDOW = 10
@@ -232,6 +233,7 @@ def tag_items(
     Columns of ``docs`` with the new names are replaced.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.drop("n_words", "spans", "items")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema = f"{fields}, {_FOUND}"

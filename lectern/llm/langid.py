@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.batches import bound_batches
 from lectern.llm.sampling import labelled_sample, remainder
 from lectern.llm.textkit import LOWER, Texts, slices
 
@@ -213,6 +214,7 @@ def fit(docs: DataFrame, folds: int = FOLDS) -> LanguageModel:
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of ``docs`` with ``lang_pred`` and ``lang_score``; such columns are replaced."""
     docs = docs.drop("lang_pred", "lang_score")
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

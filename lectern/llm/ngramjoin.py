@@ -12,7 +12,7 @@ A document's set is its distinct word shingles (64-bit hashes). Two documents li
 3. An index list is worked through in blocks, sorted by set size. A block is skipped whole
    when sizes or positions rule out every partner in it; inside, pairs are kept if the
    positions of the shared shingle leave room for the overlap that their sizes need, and
-   their parity maps (256 bits, one flipped by each shingle) do not differ in too many
+   their parity maps (512 bits, one flipped by each shingle) do not differ in too many
    places. All shared prefix shingles of a pair, counted, must leave that room too.
 4. Answers are derived, not looked up again, where sets are highly similar: a first round
    pairs every entry of a list only with one centre and its neighbour, verifies these pairs
@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.batches import bound_batches
 from lectern.llm.components import components
 from lectern.llm.textkit import find_words, hash_words, mix, shingle_hashes, slices
 from lectern.session import reliable_checkpoint, scratch_path
@@ -53,6 +54,7 @@ HOT_SHINGLES = 1 << 17
 HOT_COUNT = 8
 BLOOM_WORDS = 1 << 17
 BLOCK = 64
+MAP_WORDS = 8
 EMIT_PAIRS = 200_000
 
 
@@ -82,16 +84,17 @@ def class_of(s: np.ndarray) -> int:
 
 
 def parity_map(s: np.ndarray) -> list[int]:
-    """256 bits: every shingle flips one. Two sets differ at least where their maps do."""
-    bits = np.uint64(1) << ((s >> np.uint64(2)) & np.uint64(63))
-    word = s & np.uint64(3)
-    return [int(np.bitwise_xor.reduce(bits[word == w]).view(np.int64)) for w in range(4)]
+    """512 bits: every shingle flips one. Two sets differ at least where their maps do."""
+    bits = np.uint64(1) << ((s >> np.uint64(3)) & np.uint64(63))
+    word = s & np.uint64(MAP_WORDS - 1)
+    return [int(np.bitwise_xor.reduce(bits[word == w]).view(np.int64)) for w in range(MAP_WORDS)]
 
 
-_MAP = ("p0", "p1", "p2", "p3")
+_MAP = tuple(f"p{w}" for w in range(MAP_WORDS))
 _SCAN = (
-    "doc_id bigint, n bigint, cls bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, "
-    "range int, hashes binary"
+    "doc_id bigint, n bigint, cls bigint, "
+    + "".join(f"{name} bigint, " for name in _MAP)
+    + "range int, hashes binary"
 )
 
 
@@ -477,6 +480,7 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, "shingles")
     ranges = max(16, docs.rdd.getNumPartitions() // 4)
     _scan(docs, width, ranges).write.parquet(path)

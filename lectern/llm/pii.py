@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.batches import bound_batches
 from lectern.llm.textkit import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -161,6 +162,7 @@ _SPAN = "array<struct<start:int,end:int,kind:string,score:double>>"
 
 def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_score: float = MIN_SCORE) -> DataFrame:
     """``keep`` and ``pii``, the spans of every text with kind and score."""
+    bound_batches(docs.sparkSession)
     source = docs.select(*keep, F.col("text").alias("__text"))
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
     kind = pa.list_(

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.batches import bound_batches
+
 LIMIT = 2048
 CACHE_WORDS = 300_000
 BATCH_WORDS = 50_000
@@ -227,6 +229,7 @@ def _counts(column: pa.Array, counter: Counter) -> list[int]:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``n_bytes``, ``n_tokens``, ``over_limit`` of every text."""
+    bound_batches(docs.sparkSession)
     source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
 

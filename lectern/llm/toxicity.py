@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.batches import bound_batches
 from lectern.llm.sampling import labelled_sample, remainder
 from lectern.llm.textkit import LOWER, NOT_SPACE, Texts, find_words, slices
 
@@ -246,6 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the score of every text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col("text").alias("__text"))
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)

@@ -94,7 +94,7 @@ def test_blocks_only_skip_what_cannot_link():
     pos = (rng.random(300) * n * 0.2).astype(np.int32)
     group = rng.integers(0, 250, 300)
     found = set()
-    maps = np.zeros((4, 300), dtype=np.uint64)
+    maps = np.zeros((N.MAP_WORDS, 300), dtype=np.uint64)
     for i, j in N.list_pairs(n, pos, group, maps, 85):
         found |= set(zip(i.tolist(), j.tolist()))
     for i, j in itertools.combinations(range(300), 2):
