@@ -11,7 +11,7 @@ from lectern.functions import fixed, models
 from lectern.functions import text as T
 from lectern.functions.arrays import rows_of
 from lectern.functions.vectors import cosine, hash_embedder
-from lectern.operators import layout, packing, profile, questions, rewrite, sections
+from lectern.operators import layout, packing, profile, quarantine, questions, rewrite, sections
 from lectern.operators.anchor import content_anchor
 from lectern.operators.dense import dense_topk
 from lectern.operators.fusion import reciprocal_rank_fusion
@@ -159,6 +159,27 @@ def corpus_totals(spark, folder):
     return layout.corpus_totals(_page_items(spark, folder))
 
 
+def _judged_pages(spark, folder):
+    html = F.col("html")
+    rules = {
+        **quarantine.text_rules(html),
+        "truncated": ~F.lower(F.substring(F.rtrim(html), -7, 7)).eqNullSafe("</html>"),
+    }
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    return quarantine.with_reason(pages, rules)
+
+
+@query
+def quarantined_pages(spark, folder):
+    """Pages set aside, by name and reason."""
+    return quarantine.failures(_judged_pages(spark, folder), "page_id")
+
+
+@query
+def quarantine_counts(spark, folder):
+    return quarantine.failure_counts(_judged_pages(spark, folder), "page_id")
+
+
 def _turn_items(spark, folder):
     """Conversations as layout items: two turns to a page, system turns as titles."""
     label = F.when(F.col("role") == "system", "page_title").otherwise(F.col("role"))

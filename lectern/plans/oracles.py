@@ -769,3 +769,15 @@ ORACLES["yes_no_reranked"] = shown(
     rescored(f"1 / (1 + exp((({_FRAME} + q + t) % 7 - ({_FRAME} + q + t) % 11)::DOUBLE))"), "score"
 )
 ORACLES["cross_encoder_reranked"] = shown(rescored("1 / (1 + exp(-((7 * q + t) % 13 - 6)::DOUBLE))"), "score")
+
+# ---- inputs set aside ------------------------------------------------------------------
+
+_JUDGED = """
+SELECT page_id, CASE WHEN html IS NULL THEN 'missing' WHEN trim(html) = '' THEN 'blank'
+  WHEN contains(html, chr(65533)) THEN 'undecodable'
+  WHEN lower(right(rtrim(html), 7)) <> '</html>' THEN 'truncated' END AS reason FROM pages"""
+
+ORACLES["quarantined_pages"] = f"SELECT page_id, reason FROM ({_JUDGED}) WHERE reason IS NOT NULL"
+
+ORACLES["quarantine_counts"] = f"""
+SELECT reason, count(*) AS n, min(page_id) AS first_name FROM ({_JUDGED}) GROUP BY reason"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.vectors import hash_embedder
+from lectern.operators import quarantine
 from lectern.operators.layout import document_lines, page_stats
 from lectern.operators.metrics import normalise_gold
 from lectern.plans.corpus import chunk_folder, chunk_table
@@ -185,3 +186,18 @@ def test_document_lines_round_trip(spark, tmp_path):
     order = ["doc_id", "file", "block", "at"]
     read = [(r.doc_id, r.line) for r in files.read_document_lines(spark, str(tmp_path / "docs")).orderBy(*order).collect()]
     assert read == [(r.doc_id, r.line) for r in lines.orderBy("doc_id", "item_pos", "line_no").collect()]
+
+
+def test_unusable_texts_are_set_aside(spark):
+    rows = spark.createDataFrame(
+        [("a", "text"), ("b", None), ("c", " "), ("d", "x\ufffd"), ("e", "more"), (None, None)], "name string, text string"
+    )
+    judged = quarantine.with_reason(rows, quarantine.text_rules(F.col("text")))
+    assert sorted(r.name for r in quarantine.usable(judged).collect()) == ["a", "e"]
+    assert {(r.name, r.reason) for r in quarantine.failures(judged, "name").collect()} == {
+        ("b", "missing"), ("c", "blank"), ("d", "undecodable"), (None, "missing"),
+    }
+    counts = {r.reason: (r.n, r.first_name) for r in quarantine.failure_counts(judged, "name").collect()}
+    assert counts == {None: (2, "a"), "missing": (2, "b"), "blank": (1, "c"), "undecodable": (1, "d")}
+    with pytest.raises(ValueError, match="no usable input"):
+        quarantine.usable(judged.filter("reason is not null"))
