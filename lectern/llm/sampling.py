@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_RANGE = 1 << 40
+_SPARE = 8
+
 
 def remainder(doc_id: Column, modulus: int) -> Column:
     """``crc32`` of the id as text, modulo ``modulus``; a null id counts as empty text."""
@@ -16,14 +19,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, chars: i
 
     ``labels`` has ``doc_id`` and ``label``. Documents are taken in order of a hash of their
     id. Of a longer text the sample has ``chars`` characters from a place that the hash gives,
-    of several texts with one id the smallest piece. Ids are ranked without texts (a window
-    limit keeps ``per_label`` rows of each task), and only theirs are fetched: the ids are
-    broadcast, at most ``per_label`` for each label.
+    of several texts with one id the smallest piece. Ids are ranked without texts, after a
+    cut of the hash's range that leaves about eight times as many as are wanted, so a label
+    of any size sends few rows to its ranking. Only the ranked ids' texts are fetched: the
+    ids are broadcast, at most ``per_label`` for each label, as are the labels' counts (each
+    label has a model of its own in the driver).
     """
-    order = F.xxhash64(F.col("doc_id"), F.lit(17))
+    order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(_RANGE))
+    named = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    counts = named.groupBy("label").agg(F.count("*").alias("__count"))
+    wanted = F.lit(float(_RANGE)) * (_SPARE * per_label) / F.col("__count")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
-    named = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).distinct()
-    ids = named.withColumn("__rank", rank).filter(F.col("__rank") <= per_label)
+    ids = (
+        named.join(F.broadcast(counts), "label")
+        .filter(order <= wanted)
+        .select("label", "doc_id")
+        .distinct()
+        .withColumn("__rank", rank)
+        .filter(F.col("__rank") <= per_label)
+    )
     span = F.greatest(F.length("text") - chars + 1, F.lit(1)).cast("bigint")
     start = (F.pmod(order, span) + 1).cast("int")
     texts = (
