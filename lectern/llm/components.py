@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.session import reliable_checkpoint
 
+EDGES_PER_PARTITION = 200_000
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Connect every node's larger (or smaller) neighbours with the smallest of them all."""
@@ -24,6 +26,11 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).unionByName(own).distinct()
 
 
+def _state(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    return tuple(row)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of all nodes with an edge; the component is its smallest node.
 
@@ -36,13 +43,16 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         .distinct()
     )
-    state = None
-    while True:
-        current = reliable_checkpoint(_stars(_stars(current, large=True), large=False))
-        new = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(new) == state:
+    state = _state(current)
+    while state[0]:
+        # Edges only become fewer; a small graph is kept in few partitions.
+        parts = 1 + state[0] // EDGES_PER_PARTITION
+        stars = _stars(_stars(current, large=True).coalesce(parts), large=False)
+        current = reliable_checkpoint(stars.coalesce(parts))
+        new = _state(current)
+        if new == state:
             break
-        state = tuple(new)
+        state = new
     return current.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
         current.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     )

@@ -265,11 +265,7 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
                 [pa.array(x[keep]) for x in (token, n, pos, cls)], list(_LIST)
             )
 
-    return (
-        postings.repartition("token")
-        .sortWithinPartitions("token", "n", "cls")
-        .mapInArrow(run, _LIST_TYPE)
-    )
+    return _by_token(postings).mapInArrow(run, _LIST_TYPE)
 
 
 def _room(n, pos, i, j, percent: int) -> np.ndarray:
@@ -377,6 +373,26 @@ def _first_round(lists: DataFrame, percent: int) -> DataFrame:
     return _candidates(lists.mapInArrow(run, _PAIR), percent)
 
 
+def _by_token(lists: DataFrame) -> DataFrame:
+    return lists.repartition("token").sortWithinPartitions("token", "n", "cls")
+
+
+def _mixed_lists(lists: DataFrame) -> DataFrame:
+    """The lists that hold more than one component; in the others all answers are known."""
+
+    def run(batches):
+        names = [*_LIST, "group"]
+        for token, n, pos, cls, group in _lists(batches, names):
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            several = np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first)
+            keep = np.repeat(several, np.diff(np.append(first, len(token))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[keep]) for x in (token, n, pos, cls, group)], names
+            )
+
+    return lists.mapInArrow(run, f"{_LIST_TYPE}, group bigint")
+
+
 def _second_round(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components; ``lists`` has each class's component and parity map."""
 
@@ -484,11 +500,14 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     path = scratch_path(spark, "shingles")
     ranges = max(16, docs.rdd.getNumPartitions() // 4)
     _scan(docs, width, ranges).write.parquet(path)
-    scanned = spark.read.parquet(path).filter(F.col("range").isNull())
-    signatures = scanned.select("doc_id", "n", "cls")
-    levels = _levels(
-        spark.read.parquet(path).filter(F.col("range").isNotNull()).select("range", "hashes")
+    scanned = reliable_checkpoint(
+        spark.read.parquet(path).filter(F.col("range").isNull()).drop("range", "hashes")
     )
+    signatures = scanned.select("doc_id", "n", "cls")
+    pieces = spark.read.parquet(path).filter(F.col("range").isNotNull())
+    levels = _levels(pieces.select("range", "hashes"))
+    # The shingles are not needed again: an empty table takes their place.
+    spark.createDataFrame([], pieces.schema).write.mode("overwrite").parquet(path)
     usable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     named = signatures.filter(usable)
     classes = reliable_checkpoint(
@@ -512,20 +531,19 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     edges = reliable_checkpoint(edges.unionByName(same_id))
     groups = components(edges)
 
-    known = classes.join(groups, F.col("rep") == F.col("node"), "left").select(
-        "cls", F.coalesce("component", "rep").alias("group"), *_MAP
-    )
-    grouped = (
-        lists.join(known, "cls")
-        .repartition("token")
-        .sortWithinPartitions("token", "n", "cls")
+    known = reliable_checkpoint(
+        classes.join(groups, F.col("rep") == F.col("node"), "left").select(
+            "cls", F.coalesce("component", "rep").alias("group"), *_MAP
+        )
     )
+    mixed = _mixed_lists(_by_token(lists.join(known.select("cls", "group"), "cls")))
+    grouped = _by_token(mixed.join(known.select("cls", *_MAP), "cls"))
     second = _second_round(grouped, percent).join(first, ["a", "b"], "left_anti")
-    more = _round(reliable_checkpoint(second), docs, classes, width, percent)
-    groups = components(edges.unionByName(more))
+    by_group = known.select("cls", F.col("group").alias("rep"))
+    more = components(_round(reliable_checkpoint(second), docs, by_group, width, percent))
 
-    final = classes.join(groups, F.col("rep") == F.col("node"), "left").select(
-        "cls", F.coalesce("component", "rep").alias("__component")
+    final = known.join(more, F.col("group") == F.col("node"), "left").select(
+        "cls", F.coalesce("component", "group").alias("__component")
     )
     linked = signatures.join(final, "cls", "left")
     return linked.select(
