@@ -45,10 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
     )
     state = _state(current)
     while state[0]:
-        # Edges only become fewer; a small graph is kept in few partitions.
+        # Edges only become fewer; a small graph is read in few partitions.
         parts = 1 + state[0] // EDGES_PER_PARTITION
-        stars = _stars(_stars(current, large=True).coalesce(parts), large=False)
-        current = reliable_checkpoint(stars.coalesce(parts))
+        stars = _stars(_stars(current.coalesce(parts), large=True), large=False)
+        current = reliable_checkpoint(stars)
         new = _state(current)
         if new == state:
             break
