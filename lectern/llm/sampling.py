@@ -21,14 +21,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, chars: i
     id. Of a longer text the sample has ``chars`` characters from a place that the hash gives,
     of several texts with one id the smallest piece. Ids are ranked without texts, after a
     cut of the hash's range that leaves about eight times as many as are wanted, so a label
-    of any size sends few rows to its ranking. Only the ranked ids' texts are fetched: the
+    of any size sends few rows to its ranking. The cut follows the label's number of distinct
+    ids (estimated within a few percent), so repeated rows do not narrow it, and a label with
+    few ids keeps its whole range. Only the ranked ids' texts are fetched: the
     ids are broadcast, at most ``per_label`` for each label, as are the labels' counts (each
     label has a model of its own in the driver).
     """
     order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(_RANGE))
     named = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    counts = named.groupBy("label").agg(F.count("*").alias("__count"))
-    wanted = F.lit(float(_RANGE)) * (_SPARE * per_label) / F.col("__count")
+    counts = named.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("__ids"))
+    wanted = F.lit(float(_RANGE)) * (_SPARE * per_label) / F.col("__ids")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
     ids = (
         named.join(F.broadcast(counts), "label")
