@@ -27,6 +27,8 @@ the rounds or already connected: components are exact (up to hash collisions). W
 rare order (a list of sets that consist of common shingles alone, of similar size and not
 similar to each other) a list's work grows with the square of its length.
 
+``similarity_links`` lists every link: its second round takes all pairs of classes.
+
 Defined results: a text with fewer words than a shingle has is one shingle; null, empty and
 blank texts have no shingles and are components of their own; rows with one id are one node;
 rows without id have no component; an empty table gives an empty result; other columns are
@@ -492,9 +494,8 @@ def _round(
     return reliable_checkpoint(links.join(one, "a").join(two, "b").select("u", "v"))
 
 
-def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
-    docs = docs.select("doc_id", "text")
+def _prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, ...]:
+    """Signatures of all rows; classes, shared lists and first candidates of rows with id."""
     spark = docs.sparkSession
     bound_batches(spark)
     path = scratch_path(spark, "shingles")
@@ -509,7 +510,6 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     # The shingles are not needed again: an empty table takes their place.
     spark.createDataFrame([], pieces.schema).write.mode("overwrite").parquet(path)
     usable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    named = signatures.filter(usable)
     classes = reliable_checkpoint(
         scanned.filter(usable)
         .groupBy("cls")
@@ -521,6 +521,14 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
         )
     )
     first = reliable_checkpoint(_first_round(lists, percent))
+    return signatures, classes, lists, first
+
+
+def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
+    docs = docs.select("doc_id", "text")
+    signatures, classes, lists, first = _prepared(docs, width, percent)
+    named = signatures.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     edges = _round(first, docs, classes, width, percent)
     # Rows of one id with different sets are one node.
     repeated = named.select("doc_id", "cls").join(classes, "cls").select(
@@ -554,3 +562,125 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
         .otherwise(F.col("__component"))
         .alias("component_id"),
     )
+
+
+# Links ----------------------------------------------------------------------------------
+
+
+def _described(links: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every class by a base and what it lacks of that (``gone``) and has besides (``new``).
+
+    The base is the class itself or the one of its ``links`` with the most links, so members
+    of a group of similar sets mostly have one base.
+    """
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = reliable_checkpoint(ends.groupBy("a").agg(F.count("*").alias("k")))
+    own = degree.select("a", F.col("a").alias("b"), "k")
+    near = ends.join(degree.withColumnRenamed("a", "b"), "b").select("a", "b", "k").unionByName(own)
+    bases = near.groupBy("a").agg(F.max(F.struct("k", "b"))["b"].alias("base"))
+    own = classes.select("cls").distinct().join(bases, F.col("cls") == F.col("a"), "left").select(
+        "cls", F.coalesce("base", "cls").alias("base")
+    )
+    base_sets = sets.select(F.col("cls").alias("base"), F.col("items").alias("whole"))
+
+    def run(batches):
+        for batch in batches:
+            sizes, base_sizes, gone, new = [], [], [], []
+            for x, y in zip(batch.column("items"), batch.column("whole"), strict=True):
+                s = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+                t = np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                sizes.append(len(s))
+                base_sizes.append(len(t))
+                gone.append(np.setdiff1d(t, s, assume_unique=True).tobytes())
+                new.append(np.setdiff1d(s, t, assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls"), batch.column("base"), pa.array(sizes, pa.int64()),
+                 pa.array(base_sizes, pa.int64()), pa.array(gone, pa.binary()),
+                 pa.array(new, pa.binary())],
+                ["cls", "base", "size", "base_size", "gone", "new"],
+            )
+
+    joined = own.join(sets, "cls").join(base_sets, "base").select("cls", "base", "items", "whole")
+    return joined.mapInArrow(
+        run, "cls bigint, base bigint, size bigint, base_size bigint, gone binary, new binary"
+    )
+
+
+def _derived(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """The pairs of one base that link, by exact intersection from their differences to it.
+
+    What neither lacks of the base is shared, and so is what both have besides.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c) for c in ("size_a", "size_b", "base_size", "gone_a", "gone_b", "new_a", "new_b"))
+            for m, n, whole, *parts in zip(*columns, strict=True):
+                gone_a, gone_b, new_a, new_b = (np.frombuffer(x.as_buffer(), np.uint64) for x in parts)
+                both = whole.as_py() - len(np.union1d(gone_a, gone_b))
+                both += len(np.intersect1d(new_a, new_b, assume_unique=True))
+                keep.append(100 * both >= percent * (m.as_py() + n.as_py() - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def side(x: str) -> DataFrame:
+        return described.select(
+            F.col("cls").alias(x), "base", "base_size",
+            *[F.col(c).alias(f"{c}_{x}") for c in ("size", "gone", "new")],
+        )
+
+    right = side("b").drop("base_size").withColumnRenamed("base", "__base")
+    joined = pairs.join(side("a"), "a").join(right, "b").filter(F.col("base") == F.col("__base"))
+    return joined.drop("base", "__base").mapInArrow(run, "a bigint, b bigint")
+
+
+def similarity_links(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
+) -> tuple[DataFrame, DataFrame]:
+    """All links: ``doc_id, n_shingles, class_id`` of every row, and ``a, b`` of class ids.
+
+    Rows with equal sets have one class; every pair of different classes that links is listed
+    once, ``a < b``. Rows without id or without shingles have no class. A class id is a
+    fingerprint of the set. There are as many rows as links, so a group of similar sets gives
+    up to the square of its classes; the pairs are verified from the sets' differences to a
+    common base where they have one, and on whole sets elsewhere.
+    """
+    docs = docs.select("doc_id", "text")
+    signatures, classes, lists, first = _prepared(docs, width, percent)
+    named_docs = docs.filter(F.col("doc_id").isNotNull())
+    # Every class is a group of its own here, so no pair of a list is passed over.
+    grouped = _by_token(
+        lists.withColumn("group", F.col("cls")).join(classes.select("cls", *_MAP), "cls")
+    )
+    pairs = reliable_checkpoint(_second_round(grouped, percent))
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    sets = reliable_checkpoint(_sets(named_docs, ends, width))
+    known = reliable_checkpoint(
+        _verified(first.join(pairs, ["a", "b"], "left_semi"), sets, percent)
+    )
+    described = reliable_checkpoint(_described(known, ends, sets))
+    base_of = described.select("cls", "base")
+    rest = pairs.join(known, ["a", "b"], "left_anti")
+    one = base_of.select(F.col("cls").alias("a"), F.col("base").alias("x"))
+    two = base_of.select(F.col("cls").alias("b"), F.col("base").alias("y"))
+    based = reliable_checkpoint(rest.join(one, "a").join(two, "b"))
+    alike = based.filter("x = y").select("a", "b")
+    others = based.filter("x != y").select("a", "b")
+    links = reliable_checkpoint(
+        known.unionByName(_derived(alike, described, percent)).unionByName(_verified(others, sets, percent))
+    )
+    has_class = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    members = signatures.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(has_class, F.col("cls")).alias("class_id")
+    )
+    return members, links
+
+
+def link_counts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, class_id, n_links`` of every row; links to other classes count."""
+    members, links = similarity_links(docs, width, percent)
+    ends = links.select("a").unionByName(links.select(F.col("b").alias("a")))
+    counts = ends.groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("n_links"))
+    return members.join(counts, "class_id", "left").select(
+        "doc_id", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )

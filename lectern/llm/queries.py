@@ -11,7 +11,7 @@ from lectern.llm.linededup import ORACLE as LINE_ORACLE
 from lectern.llm.linededup import line_table
 from lectern.llm.lm import score_documents
 from lectern.llm.mixing import mix_sources
-from lectern.llm.ngramjoin import similarity_components
+from lectern.llm.ngramjoin import link_counts, similarity_components
 from lectern.llm.pii import pii_digest
 from lectern.llm.quality import quality_rules
 from lectern.llm.tokencount import count_tokens
@@ -28,6 +28,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_components(_documents(spark, folder))
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, folder: str) -> DataFrame:
+    return link_counts(_documents(spark, folder))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_table(_documents(spark, folder))
 
@@ -80,6 +84,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_language_id": op2_language_id,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_toxicity": op4_toxicity,

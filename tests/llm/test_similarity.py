@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from lectern.llm import ngramjoin as N
 from lectern.llm.components import components
@@ -116,3 +117,38 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(100, 160)] + [(7, 7), (3, 1)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 1: 1, 3: 1}
+
+
+def test_links_equal_brute_force(documents, sample):
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(120)]
+    rows = [(i, t) for i, t, *_ in sample]
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(50)}"
+        rows.append((10_000 + i, " ".join(words)))
+    rows += [(20_000, FILLER[:300]), (20_001, FILLER[:300].upper()), (20_001, FILLER[:300] + " more"), (20_002, None), (None, " ".join(base))]
+    members, links = N.similarity_links(documents(rows))
+    got, pairs = members.collect(), links.collect()
+    shingles = {}
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        grams = frozenset(tuple(words[k : k + 4]) for k in range(len(words) - 3)) or frozenset([tuple(words)] if words else [])
+        if i is not None and grams:
+            key = next(iter(N.text_sets(pa.array([text]), 4)))
+            shingles[grams] = N.class_of(key)
+    want = sorted(
+        tuple(sorted((shingles[x], shingles[y])))
+        for x, y in itertools.combinations(shingles, 2)
+        if 100 * len(x & y) >= 85 * len(x | y)
+    )
+    assert sorted((r.a, r.b) for r in pairs) == want
+    hubs = [p for p in want if all(any(r.class_id == c and (r.doc_id or 0) >= 10_000 for r in got) for c in p)]
+    assert len(hubs) > 150
+    assert len(got) == len(rows)
+    assert all((r.class_id is None) == (r.doc_id is None or r.n_shingles == 0) for r in got)
+    counted = N.link_counts(documents(rows)).collect()
+    both = [c for p in want for c in p]
+    assert len(counted) == len(rows)
+    assert all(r.n_links == both.count(r.class_id) for r in counted)
