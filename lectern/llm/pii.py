@@ -34,6 +34,7 @@ from lectern.llm.textkit import slices
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "phone_national", "ssn")
 REACH = 40
+IBAN_LEAST = 15  # characters, what the pattern asks for
 MIN_SCORE = 0.6
 
 # The patterns. Look-behinds only keep a scan from starting inside a run that it
@@ -119,10 +120,30 @@ def _score(text: str, start: int, end: int, kind: str) -> float:
     return min(1.0, max(0.0, round(score, 6)))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Accounts with a valid remainder; of one begin the longest end at a border that has it.
+
+    A match may run into upper-case words behind the account, so it is cut back at its blanks.
+    The search goes on at the account's end, or at the next word where there is none.
+    """
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, end = m.span()
+        at = m.start() + 4
+        while end > start:
+            account = text[start:end].replace(" ", "")
+            if len(account) < IBAN_LEAST:
+                break
+            if mod97(account):
+                yield start, end
+                at = end
+                break
+            end = text.rfind(" ", start, end)
+
+
 def _extra(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield *m.span(), "iban"
+    for start, end in _ibans(text):
+        yield start, end, "iban"
     for m in _SSN.finditer(text):
         yield *m.span(), "ssn"
     for m in _NATIONAL.finditer(text):

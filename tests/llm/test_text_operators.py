@@ -136,6 +136,15 @@ def test_checksums_and_context_add_spans():
     assert score["card"] > P.all_spans("build 4111 1111 1111 1111")[0][3]
 
 
+def test_accounts_before_upper_case_words():
+    account = "GB82 WEST 1234 5698 7654 32"
+    for text in (f"IBAN {account} BIC NWBKGB2L", f"IBAN {account} PLEASE PAY", f"PAY AB12 IBAN {account}",
+                 f"IBAN AB12 CODES FOR {account} BIC", f"IBAN {account} {account} BIC", f"IBAN {account}"):
+        found = [text[s:e] for s, e, kind, _ in P.all_spans(text) if kind == "iban"]
+        assert found == [account] * text.count(account)
+    assert list(P._ibans("IBAN GB82 WEST 1234 5698 7654 33 BIC NWBKGB2L")) == []
+
+
 def test_long_texts_stay_linear():
     assert P.all_spans("1." * 200_000 + "x") is not None
     assert P.base_spans("a." * 200_000) == []
