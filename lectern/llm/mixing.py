@@ -8,6 +8,7 @@ each document has inclusion probability ``p = f - floor(f)`` and the ranking var
 ``(u / (1 - u)) / (p / (1 - p))`` with ``u`` a uniform number hashed from id and text; the
 lowest ranks are taken until the source's remaining words are reached (the document that
 crosses the border is taken if its middle lies before it).
+As ``p`` is one number per source, the order inside a source is that of ``u``: a random order.
 
 Nothing but DataFrame expressions is used. A source may hold any share of the rows: its ranks
 are summed in slices (``scans.running_sum``), the border is one number per source, and every
