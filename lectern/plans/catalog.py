@@ -380,7 +380,7 @@ def chunk_token_recount(spark, folder):
 
 @query
 def chunk_ids(spark, folder):
-    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("_full_document"))
+    name = F.concat(F.lit("_- Doc-A"), F.col("doc_id").cast("string"), F.lit(" -_Full_Document"))
     path = F.concat(F.lit("/text/"), name, F.lit("/x_full_document.md"))
     return _document_chunks(spark, folder).select(
         sections.chunk_ids(document_id_of(path), F.col("chunk_index")).alias("chunk_id"),

@@ -370,7 +370,7 @@ ORACLES["chunk_files"] = _CHUNKS_PER_DOCUMENT
 ORACLES["streamed_index"] = _CHUNKS_PER_DOCUMENT
 
 ORACLES["chunk_ids"] = f"""
-SELECT 'drr-' || doc_id || '_chunk_' || CASE WHEN chunk < 10000 THEN lpad(chunk::VARCHAR, 4, '0') ELSE chunk::VARCHAR END
+SELECT 'doc-a' || doc_id || '_chunk_' || CASE WHEN chunk < 10000 THEN lpad(chunk::VARCHAR, 4, '0') ELSE chunk::VARCHAR END
   AS chunk_id, token_count FROM ({_DOC_CHUNKS})"""
 
 # ---- vectors --------------------------------------------------------------------------
