@@ -16,6 +16,8 @@ from lectern.llm.pii import pii_digest
 from lectern.llm.quality import quality_rules
 from lectern.llm.tokencount import count_tokens
 from lectern.llm.toxicity import toxicity_table
+from lectern.llm.vectorsearch import ORACLE as SEARCH_ORACLE
+from lectern.llm.vectorsearch import exact_top_k
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -82,6 +84,11 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_documents(spark, folder), public_tokenizers.path(TOKENIZER))
 
 
+def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return exact_top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
@@ -94,6 +101,10 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
+    "op11_exact_top_k": op11_exact_top_k,
 }
 
-ORACLES: dict[str, str] = {"op6_line_dedup": LINE_ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": LINE_ORACLE,
+    "op11_exact_top_k": SEARCH_ORACLE,
+}
