@@ -10,6 +10,8 @@ from lectern.llm.langid import language_table
 from lectern.llm.linededup import ORACLE as LINE_ORACLE
 from lectern.llm.linededup import line_table
 from lectern.llm.lm import score_documents
+from lectern.llm.manifest import ORACLE as MANIFEST_ORACLE
+from lectern.llm.manifest import manifest_table
 from lectern.llm.mixing import mix_sources
 from lectern.llm.ngramjoin import link_counts, similarity_components
 from lectern.llm.pii import pii_digest
@@ -89,6 +91,10 @@ def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return exact_top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest_table(_documents(spark, folder))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
@@ -102,9 +108,11 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
     "op11_exact_top_k": op11_exact_top_k,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": LINE_ORACLE,
     "op11_exact_top_k": SEARCH_ORACLE,
+    "op13_merkle_manifest": MANIFEST_ORACLE,
 }
