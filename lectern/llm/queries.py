@@ -18,6 +18,8 @@ from lectern.llm.pii import pii_digest
 from lectern.llm.quality import quality_rules
 from lectern.llm.tokencount import count_tokens
 from lectern.llm.toxicity import toxicity_table
+from lectern.llm.turnrepair import ORACLE as REPAIR_ORACLE
+from lectern.llm.turnrepair import damage, repair_table
 from lectern.llm.vectorsearch import ORACLE as SEARCH_ORACLE
 from lectern.llm.vectorsearch import exact_top_k
 
@@ -91,6 +93,10 @@ def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return exact_top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_table(damage(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest_table(_documents(spark, folder))
 
@@ -108,11 +114,13 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
     "op11_exact_top_k": op11_exact_top_k,
+    "op12_turn_repair": op12_turn_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": LINE_ORACLE,
     "op11_exact_top_k": SEARCH_ORACLE,
+    "op12_turn_repair": REPAIR_ORACLE,
     "op13_merkle_manifest": MANIFEST_ORACLE,
 }
