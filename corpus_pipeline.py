@@ -30,10 +30,15 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts that are null or without letters go."""
+    """Documents whose language can be told; texts that are null or without letters go.
+
+    Where no document has a language to learn from, all texts with a letter stay.
+    """
     own = docs.select(*COLUMNS)
-    known = identify(own, fit(own)).filter(F.col("lang_pred") != UNKNOWN)
-    return known.select(*COLUMNS)
+    model = fit(own)
+    if not model.langs:
+        return own.filter(F.col("text").rlike(r"\p{L}"))
+    return identify(own, model).filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,15 +50,22 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document with the smallest id stays, once.
 
-    Documents without id cannot be told apart and stay.
+    Documents without id cannot be told apart and stay. Different texts under one id are
+    documents of their own, which come after all others in the choice; equal ones are one.
     """
     own = docs.select(*COLUMNS)
-    groups = reliable_checkpoint(similarity_components(own, WIDTH, PERCENT))
-    later = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    repeated = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    first = own.join(later, "doc_id", "left_anti")
-    once = first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    repeated = own.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    repeated = reliable_checkpoint(repeated.withColumn("__several", F.lit(True)))
+    # From 2 ** 62 on, so that they do not meet ids and are larger.
+    apart = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    node = F.when(F.col("__several"), apart).otherwise(F.col("doc_id")).alias("__node")
+    nodes = own.join(repeated, "doc_id", "left").select(*COLUMNS, node, "__several")
+    texts = nodes.select(F.col("__node").alias("doc_id"), "text")
+    groups = reliable_checkpoint(similarity_components(texts, WIDTH, PERCENT))
+    later = groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__node")).distinct()
+    first = nodes.join(later, "__node", "left_anti")
+    once = first.filter("__several").dropDuplicates(["__node"])
+    return first.filter("__several IS NULL").unionByName(once).select(*COLUMNS)
 
 
 def benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
