@@ -21,6 +21,7 @@ Offsets count code points, ends are exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,12 +156,24 @@ def all_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, s
     """Base spans and further spans with their scores, in order."""
     base = base_spans(text)
     out = [(s, e, kind, _score(text, s, e, kind)) for s, e, kind in base]
-    taken = sorted((s, e) for s, e, _ in base)
+    # What is taken, as disjoint ranges in order: a span only has to look at its neighbour.
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end, _ in base:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for start, end, kind in _extra(text):
+        at = bisect_left(starts, end)  # ranges before this one begin before the span's end
+        if at and ends[at - 1] > start:
+            continue
         score = _score(text, start, end, kind)
-        if score >= min_score and not any(s < end and start < e for s, e in taken):
+        if score >= min_score:
             out.append((start, end, kind, score))
-            taken.append((start, end))
+            starts.insert(at, start)
+            ends.insert(at, end)
     order = BASE_KINDS + EXTRA_KINDS
     return sorted(out, key=lambda s: (s[0], order.index(s[2])))
 
