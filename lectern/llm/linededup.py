@@ -10,6 +10,9 @@ line is lost to the corpus.
 Line hashes, not lines, are shuffled and stored; a text is moved once, to meet the positions
 of the lines it loses.
 
+Lines are matched with what is known of them in ``SALTS`` parts, so the most frequent line is
+not one task. A very long text is one row of lines and is moved once like any other.
+
 Defined results: lines are compared without blanks at either end; lines shorter than
 ``MIN_CHARS`` are left alone; a null text stays null; a null site is a site of its own; rows
 with equal id and text are one document here and lose the same lines; a null id counts as
@@ -25,6 +28,7 @@ from lectern.session import reliable_checkpoint
 
 MIN_SITES = 5
 MIN_CHARS = 15
+SALTS = 32
 SKETCH_BITS = 12
 # A sketch of 2**12 registers errs by 1.6 % (one standard deviation).
 MARGIN = 0.07
@@ -51,6 +55,16 @@ def line_occurrences(docs: DataFrame, site: str = "source", min_chars: int = MIN
     return rows.filter(F.col("line").isNotNull())
 
 
+def _of_lines(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
+    """Occurrences joined with ``lines``, one row a line, where a line may be very frequent.
+
+    A line's occurrences go to ``SALTS`` tasks, so the line's row goes to each of them.
+    """
+    salted = occurrences.withColumn("__salt", F.pmod(F.xxhash64("__id", "pos"), F.lit(SALTS)).cast("int"))
+    copies = lines.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["line", "__salt"]).drop("__salt")
+
+
 def boilerplate_lines(
     occurrences: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN
 ) -> DataFrame:
@@ -64,7 +78,7 @@ def boilerplate_lines(
     sure = candidates.filter(F.col("sites") > min_sites + near).select("line", "first")
     unsure = candidates.filter(F.col("sites") <= min_sites + near)
     exact = (
-        occurrences.join(unsure.select("line"), "line", "left_semi")
+        _of_lines(occurrences, unsure.select("line"))
         .select("line", "__site")
         .distinct()
         .groupBy("line")
@@ -89,7 +103,7 @@ def remove_boilerplate(
     known = boilerplate_lines(occurrences, min_sites)
     here = F.struct("__id", "__key", "pos")
     drops = (
-        occurrences.join(known, "line")
+        _of_lines(occurrences, known)
         .filter(~here.eqNullSafe(F.col("first")))
         .groupBy("__id", "__key")
         .agg(F.collect_set("pos").alias("__drop"))
