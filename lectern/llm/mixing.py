@@ -16,7 +16,8 @@ document compares itself with it. Only one row per source meets in one task.
 
 Defined results: a null text has no words; a null source is a source of its own; documents
 without words are taken or left like others and count nothing; rows with equal id and text
-rank alike and are taken or left together; an empty table gives an empty result; other
+have running numbers, which enter their uniform numbers, so each is drawn on its own; texts of
+any length are counted whole; an empty table gives an empty result; other
 columns, whatever their names, are not read.
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.scans import running_sum
+from lectern.session import reliable_checkpoint
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -88,13 +90,43 @@ def _shares(target: Column, size: Column) -> tuple[Column, Column]:
     return whole.cast("long"), F.greatest(ratio - whole, F.lit(0.0))
 
 
+def _uniform(key: Column) -> Column:
+    return (F.pmod(F.shiftrightunsigned(key, 11), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
+
+
 def _rank(key: Column, probability: Column) -> Column:
     """Pareto ranking variable folded into 0..1: ``q / (1 + q)``; NULL without a sample."""
-    u = (F.pmod(F.shiftrightunsigned(key, 11), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
+    u = _uniform(key)
     q = (u / (1 - u)) / (probability / (1 - probability))
     return F.when(probability > 0, q / (1 + q))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``__key``, a hash of id and text; equal rows get keys of their own.
+
+    Equal rows are numbered by sums over the tasks that hold them, so a row that is repeated
+    without end is in no one task. Which of them gets which number makes no difference.
+    """
+    own = F.xxhash64("doc_id", "text")
+    marked = docs.withColumn("__key", own)
+    repeated = reliable_checkpoint(
+        docs.select(own.alias("__key")).groupBy("__key").agg(F.count("*").alias("__n")).filter(F.col("__n") > 1).drop("__n")
+    )
+    if repeated.isEmpty():
+        return marked
+    placed = reliable_checkpoint(
+        marked.join(repeated, "__key", "left_semi")
+        .withColumn("__part", F.spark_partition_id())
+        .withColumn("__at", F.monotonically_increasing_id())
+    )
+    numbered = running_sum(
+        placed, ["__key"], ["__at"], F.col("__part"), {"__number": F.lit(1).cast("long")}, exclusive=True
+    )
+    again = F.when(F.col("__number") > 0, F.xxhash64("__key", "__number")).otherwise(F.col("__key"))
+    several = numbered.withColumn("__key", again).select(*marked.columns)
+    return marked.join(repeated, "__key", "left_anti").select(*marked.columns).unionByName(several)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -104,8 +136,8 @@ def mix_sources(
 ) -> DataFrame:
     """``doc_id, size, source_size, target, copies`` per row, and the columns in ``keep``."""
     size = word_count(F.col("text"))
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    narrow = docs.select("source", size.alias("size"), key.alias("key"))
+    docs = _keyed(docs.select(*dict.fromkeys(["doc_id", "source", "text", *keep])))
+    narrow = docs.select("source", size.alias("size"), F.col("__key").alias("key"))
     targets = source_targets(narrow, weights, most_copies)
 
     whole, probability = _shares(F.col("target"), F.col("source_size"))
@@ -118,7 +150,8 @@ def mix_sources(
                 _rank(F.col("s.key"), F.col("t.p")).alias("rank"))
         .filter(F.col("rank").isNotNull())
     )
-    slices = F.floor(F.col("rank") * (1 + F.floor(F.col("rows") / slice_rows)))
+    # Ranks rise with the uniform number inside a source, whose slices hold equal shares.
+    slices = F.floor(_uniform(F.col("key")) * (1 + F.floor(F.col("rows") / slice_rows)))
     placed = running_sum(
         ranked, ["source_no"], ["rank", "key"], slices, {"before": F.col("size")}, exclusive=True
     )
@@ -133,7 +166,7 @@ def mix_sources(
         F.col("doc_id"),
         F.col("source").alias("__source"),
         size.alias("size"),
-        key.alias("__key"),
+        "__key",
     )
     taken = F.coalesce(_rank(F.col("d.__key"), F.col("t.p")) <= F.col("t.border"), F.lit(False))
     return (
