@@ -11,11 +11,13 @@ as the complement of the state that the failing symbol starts from, so it is a p
 and the next phrase's begin in one. Texts are read whole, in pieces of ``PIECE`` symbols; a
 cut adds at most one phrase, to every language alike.
 
-The sample is bounded by ``DOCS_PER_LANG`` documents and ``SYMBOLS`` symbols of each language
-and covers every language that occurs in the rows it may learn from; the automata are
-broadcast and have at most two states per symbol.
+The sample is bounded by rows: ``DOCS_PER_LANG`` documents of each language and ``DOCS`` of all,
+of each a piece of ``CHARS_PER_DOC`` characters from a place that a hash gives. It covers every
+language that occurs in the rows it may learn from; the automata are broadcast and have at most
+two states per symbol.
 
-Defined results: a null text, or one without letters, is ``und`` with score 0; so is every
+Defined results: repeated rows are predicted alike, and learned from once; texts of any length
+are read whole; columns ``lang_pred`` and ``lang_score`` are replaced, others passed on; a null text, or one without letters, is ``und`` with score 0; so is every
 text if there is nothing to learn from; equal estimates give the language first in code point
 order, with score 0; with one language its score is 1; an empty table gives an empty result.
 """
@@ -34,9 +36,8 @@ from lectern.llm.sampling import labelled_sample, remainder
 from lectern.llm.textkit import LOWER, Texts, slices
 
 FOLDS = 5
-DOCS_PER_LANG = 256
-CHARS_PER_DOC = 128
-SYMBOLS = 24_000
+DOCS_PER_LANG, DOCS = 256, 8192
+CHARS_PER_DOC = 96
 PIECE = 256
 UNKNOWN = "und"
 
@@ -100,11 +101,11 @@ def _squeezed(folded: np.ndarray) -> np.ndarray:
     return keep
 
 
-def train(samples: dict[str, list[str]], symbols: int = SYMBOLS) -> LanguageModel:
+def train(samples: dict[str, list[str]]) -> LanguageModel:
     texts = {}
     for lang, parts in samples.items():
         data = _letters(np.frombuffer(" ".join(parts).encode(), dtype=np.uint8))
-        data = data[_squeezed(data)][:symbols]
+        data = data[_squeezed(data)]
         if len(data):
             texts[lang] = data
     used = np.unique(np.concatenate([*texts.values(), np.array([0x20], np.uint8)]))
@@ -208,7 +209,8 @@ def fit(docs: DataFrame, folds: int = FOLDS) -> LanguageModel:
     rows = docs.select("doc_id", F.col("lang").alias("label")).filter(
         (remainder(F.col("doc_id"), folds) != 0) & F.col("label").isNotNull()
     )
-    return train(labelled_sample(docs, rows, DOCS_PER_LANG, CHARS_PER_DOC))
+    langs = rows.agg(F.count_distinct("label")).first()[0]
+    return train(labelled_sample(docs, rows, max(1, min(DOCS_PER_LANG, DOCS // max(langs, 1))), CHARS_PER_DOC))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
