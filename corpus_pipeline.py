@@ -56,10 +56,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own = docs.select(*COLUMNS)
     repeated = own.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     repeated = reliable_checkpoint(repeated.withColumn("__several", F.lit(True)))
-    # From 2 ** 62 on, so that they do not meet ids and are larger.
-    apart = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    node = F.when(F.col("__several"), apart).otherwise(F.col("doc_id")).alias("__node")
-    nodes = own.join(repeated, "doc_id", "left").select(*COLUMNS, node, "__several")
+    nodes = own.withColumn("__node", F.col("doc_id")).withColumn("__several", F.lit(None).cast("boolean"))
+    if not repeated.isEmpty():
+        # From 2 ** 62 on, so that they do not meet ids and are larger.
+        apart = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+        node = F.when(F.col("__several"), apart).otherwise(F.col("doc_id")).alias("__node")
+        path = scratch_path(spark, "nodes")
+        own.join(repeated, "doc_id", "left").select(*COLUMNS, node, "__several").write.parquet(path)
+        nodes = spark.read.parquet(path)
     texts = nodes.select(F.col("__node").alias("doc_id"), "text")
     groups = reliable_checkpoint(similarity_components(texts, WIDTH, PERCENT))
     later = groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__node")).distinct()
