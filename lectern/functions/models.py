@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType
 
 from lectern.functions import fixed
 
@@ -42,6 +42,55 @@ def embedder(load: Callable[[], EmbedModel], mode: str, batch: int = 32) -> Call
     return embed
 
 
+class ModelCounter:
+    """Token counter that asks a loaded tokenizer, for packing and profiles.
+
+    The tokenizer takes a list of texts and returns their numbers of tokens. ``counter(text)``
+    counts a column of texts, ``counter.each(texts)`` a column of lists; a null text is not
+    sent and counts null. Equal texts of a batch are counted once.
+    """
+
+    # Whether a text's count is the sum of its lines' counts; not so for most tokenizers.
+    additive = False
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[int]]], batch: int = 1024):
+        def counted(model, texts: list) -> list:
+            known = dict.fromkeys(t for t in texts if t is not None)
+            wanted = list(known)
+            for start in range(0, len(wanted), batch):
+                part = wanted[start : start + batch]
+                known.update(zip(part, map(int, model(part)), strict=True))
+            return [None if t is None else known[t] for t in texts]
+
+        @F.pandas_udf(IntegerType())
+        def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for texts in batches:
+                yield pd.Series(counted(model, texts.tolist()), index=texts.index, dtype="Int32")
+
+        @F.pandas_udf(ArrayType(IntegerType()))
+        def count_each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for lists in batches:
+                flat = counted(model, [t for row in lists if row is not None for t in row])
+                out, at = [], 0
+                for row in lists:
+                    size = 0 if row is None else len(row)
+                    out.append(None if row is None else flat[at : at + size])
+                    at += size
+                yield pd.Series(out, index=lists.index, dtype=object)
+
+        # Called so, a count is a step of its own: the optimizer would otherwise write it anew
+        # at each of its uses, inside expressions over elements too, where it cannot run.
+        self._count, self._count_each = count, count_each.asNondeterministic()
+
+    def __call__(self, text: Column) -> Column:
+        return self._count(text)
+
+    def each(self, texts: Column) -> Column:
+        return self._count_each(texts)
+
+
 def scorer(
     load: Callable[[], ScoreModel], batch: int = fixed.RERANK_BATCH
 ) -> Callable[[Column, Column], Column]:

@@ -88,6 +88,88 @@ def running_last(
     )
 
 
+def next_within(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    segment: Column,
+    values: dict[str, Column],
+    rows: int | None = None,
+) -> DataFrame:
+    """Next non-null value after each row, at most ``rows`` rows ahead of it in its key.
+
+    ``<name>_in`` tells how many rows ahead it stands. A window looks ahead inside the
+    segment; where it finds nothing, the first value of the following segments counts if it
+    is near enough. Of those segments only a row each is scanned: their number of rows, which
+    places them in the key, and their first value.
+    """
+    local = Window.partitionBy(*keys, _SEGMENT).orderBy(*order)
+    reach = Window.unboundedFollowing if rows is None else rows
+    placed = df.withColumn(_SEGMENT, segment).withColumn("__place", F.row_number().over(local).cast("long"))
+
+    def mark(value: Column) -> Column:
+        return F.when(value.isNotNull(), F.struct(F.col("__place").alias("place"), value.alias("value")))
+
+    summary = placed.groupBy(*keys, _SEGMENT).agg(
+        F.count("*").alias("__rows"), *[F.min(mark(value)).alias(f"__first_{n}") for n, value in values.items()]
+    )
+    by_segment = Window.partitionBy(*keys).orderBy(_SEGMENT)
+    base = F.coalesce(
+        F.sum("__rows").over(by_segment.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")
+    )
+    later = by_segment.rowsBetween(1, Window.unboundedFollowing)
+
+    def moved(name: str) -> Column:
+        first = F.col(f"__first_{name}")
+        there = F.struct((F.col("__base") + first["place"]).alias("place"), first["value"].alias("value"))
+        return F.first(F.when(first.isNotNull(), there), ignorenulls=True).over(later)
+
+    carried = summary.withColumn("__base", base).select(
+        *keys, _SEGMENT, "__base", *[moved(n).alias(f"__carry_{n}") for n in values]
+    )
+    ahead = placed.select(
+        "*",
+        *[
+            F.first(mark(value), ignorenulls=True).over(local.rowsBetween(1, reach)).alias(f"__local_{n}")
+            for n, value in values.items()
+        ],
+    )
+    out = []
+    for n in values:
+        inside, outside = F.col(f"__local_{n}"), F.col(f"__carry_{n}")
+        gap = outside["place"] - F.col("__base") - F.col("__place")
+        near = F.lit(True) if rows is None else gap <= rows
+        out += [
+            F.coalesce(inside["value"], F.when(near, outside["value"])).alias(n),
+            F.coalesce(inside["place"] - F.col("__place"), F.when(near, gap)).alias(f"{n}_in"),
+        ]
+    return _with_carry(ahead, carried, keys).select(*df.columns, *out)
+
+
+def with_key_values(
+    df: DataFrame, keys: Sequence[str], segment: Column, per_key: DataFrame
+) -> DataFrame:
+    """The rows with the columns of ``per_key`` (one row a key), NULL where a key has none.
+
+    The values go to the segments of their key first and from there to the rows, so no task
+    holds more than a segment of one key.
+    """
+    names = [name for name in per_key.columns if name not in keys]
+    rows = df.withColumn(_SEGMENT, segment)
+    known = per_key.withColumnsRenamed({name: f"__same_{name}" for name in keys})
+    same = [F.col(name).eqNullSafe(F.col(f"__same_{name}")) for name in keys]
+    spread_out = rows.select(*keys, _SEGMENT).distinct().join(known, same, "left")
+    return _with_carry(rows, spread_out.select(*keys, _SEGMENT, *names), keys).select(*df.columns, *names)
+
+
+def key_totals(
+    df: DataFrame, keys: Sequence[str], segment: Column, values: dict[str, Column]
+) -> DataFrame:
+    """Sums over the whole key, on every row."""
+    totals = df.groupBy(*keys).agg(*[F.sum(value).alias(name) for name, value in values.items()])
+    return with_key_values(df, keys, segment, totals)
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],

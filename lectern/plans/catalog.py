@@ -12,7 +12,7 @@ from lectern.functions import text as T
 from lectern.functions.arrays import rows_of
 from lectern.functions.vectors import cosine, hash_embedder
 from lectern.operators import layout, packing, profile, quarantine, questions, rewrite, sections
-from lectern.operators.anchor import content_anchor
+from lectern.operators.anchor import content_anchor, line_anchors
 from lectern.operators.dense import dense_topk
 from lectern.operators.fusion import reciprocal_rank_fusion
 from lectern.operators.metrics import gold_matches, normalise_gold, retrieval_metrics
@@ -242,7 +242,9 @@ def _turn_segment():
 @query
 def section_paths(spark, folder):
     lines = _turn_lines(spark, folder, headings=True)
-    return sections.line_sections(lines, ["conv_id"], ["turn", "line_pos"], _turn_segment()).select(
+    return sections.line_sections(
+        lines, ["conv_id"], ["turn", "line_pos"], _turn_segment(), use_anchor=False
+    ).select(
         "conv_id",
         "turn",
         "line_pos",
@@ -253,7 +255,8 @@ def section_paths(spark, folder):
 
 def _turn_chunks(spark, folder, headings):
     return sections.line_chunks(
-        _turn_lines(spark, folder, headings), ["conv_id"], ["turn", "line_pos"], _turn_segment()
+        _turn_lines(spark, folder, headings), ["conv_id"], ["turn", "line_pos"], _turn_segment(),
+        use_anchor=False,
     ).select(
         "conv_id",
         "chunk_index",
@@ -320,6 +323,76 @@ def content_anchor_lines(spark, folder):
     )
 
 
+def _document_lines(spark, folder, *columns):
+    """Documents as line rows ``doc_id, pos, line``."""
+    documents = table(spark, folder, "documents", "doc_id", "text", *columns)
+    return rows_of(documents, ["doc_id", *columns], T.split_lines(F.col("text")), "pos", "line")
+
+
+@query
+def content_anchor_rows(spark, folder):
+    """The anchor of documents that are spread over rows, in segments of seven lines."""
+    lines = _document_lines(spark, folder)
+    anchors = line_anchors(
+        lines, ["doc_id"], ["pos"], F.floor(F.col("pos") / 7), "line", "^[A-M]", "^[N-Z].*,", "[0-9]{2}", 4
+    )
+    return anchors.select("doc_id", F.col("anchor.pos").alias("anchor_line"), F.lit(True).alias("found"))
+
+
+@query
+def anchored_row_chunks(spark, folder):
+    """Chunks of row documents behind a table of contents that the anchor cuts off."""
+    chapter = "CHAPITRE 1\n1.1 INTRODUCTION\n"
+    contents = "<!-- page: 1 -->\n" + chapter + "...\n" * 40 + "<!-- page: 2 -->\n"
+    head = contents + chapter + "Conformément à l’article 2111-9 du code des transports\n"
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    text = F.concat(F.lit(head), "text")
+    lines = rows_of(documents, ["doc_id"], T.split_lines(text), "pos", "line")
+    return sections.line_chunks(
+        lines, ["doc_id"], ["pos"], F.floor(F.col("pos") / 32), carry_page=True
+    ).select(
+        "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "page_start", "page_end",
+        "token_count", "token_sum", F.md5("text").alias("text_md5"),
+    )
+
+
+def _byte_counter():
+    """Stand-in for a tokenizer that only runs in Python: four bytes a token."""
+
+    def load():
+        return lambda texts: [(len(text.encode()) + 3) // 4 for text in texts]
+
+    return models.ModelCounter(load)
+
+
+@query
+def model_counted_chunks(spark, folder):
+    """Documents packed by the counts of a Python tokenizer."""
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    packed = packing.pack_texts(documents, F.array("text"), "chunks", _byte_counter())
+    return rows_of(packed, ["doc_id"], F.col("chunks"), "chunk_index", "c").select(
+        "doc_id", "chunk_index", "c.token_count", "c.token_sum", F.md5("c.text").alias("text_md5")
+    )
+
+
+@query
+def long_section_chunks(spark, folder):
+    """Every source as one chapter, its section packed over rows and not in a cell."""
+    lines = _document_lines(spark, folder, "source").select(
+        F.coalesce("source", F.lit("-")).alias("source"), "doc_id", "pos", "line"
+    )
+    first = lines.select("source").distinct().select(
+        "source", F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("pos"), F.lit("CHAPITRE 1").alias("line")
+    )
+    return sections.line_chunks(
+        first.unionByName(lines), ["source"], ["doc_id", "pos"], F.floor(F.col("doc_id") / 64),
+        use_anchor=False, cell_lines=256, cell_chars=1 << 16,
+    ).select(
+        "source", F.col("chunk_index").cast("int").alias("chunk_index"), "token_count", "token_sum",
+        F.md5("text").alias("text_md5"),
+    )
+
+
 @query
 def sentence_units(spark, folder):
     units = T.sentence_units(F.col("text"))

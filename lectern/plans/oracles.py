@@ -216,7 +216,7 @@ SELECT conv_id, turn, line_pos::INTEGER AS line_pos, chapter_number, 'CHAPITRE '
 FROM w WHERE chapter_number IS NOT NULL"""
 
 
-def packed(source: str, keys: str) -> str:
+def packed(source: str, keys: str, tokens=tokens) -> str:
     """Chunks of the texts of ``source`` (keys, text): recursion over blocks and lines."""
     k = [x.strip() for x in keys.split(",")]
     same = " AND ".join(f"g.{x} = u.{x}" for x in k)
@@ -328,6 +328,33 @@ SELECT d.doc_id, coalesce(i, 0)::INTEGER AS anchor_line, i IS NOT NULL AS found
 FROM documents d LEFT JOIN hit USING (doc_id)"""
 
 
+ORACLES["content_anchor_rows"] = f"SELECT * FROM ({ORACLES['content_anchor_lines']}) WHERE found"
+
+# The anchor cuts off the table of contents, and the page that it stands on is carried over.
+_ANCHORED = f"""
+SELECT doc_id, 'CHAPITRE 1' || chr(10) || chr(10) || {cleaned(
+    "'1.1 INTRODUCTION' || chr(10) || 'Conformément à l’article 2111-9 du code des transports' || chr(10) || text"
+)} AS text FROM documents"""
+
+ORACLES["anchored_row_chunks"] = f"""
+SELECT doc_id, chunk AS chunk_index, 2 AS page_start, 2 AS page_end, token_count, token_sum, md5(text) AS text_md5
+FROM ({packed(_ANCHORED, "doc_id")})"""
+
+# The tokenizer stand-in of the query: four bytes of UTF-8 a token, rounded up.
+ORACLES["model_counted_chunks"] = f"""
+SELECT doc_id, chunk AS chunk_index, token_count, token_sum, md5(text) AS text_md5
+FROM ({packed("SELECT doc_id, text FROM documents", "doc_id", lambda text: f"((strlen({text}) + 3) // 4)::INTEGER")})"""
+
+_BY_SOURCE = f"""
+SELECT source, 'CHAPITRE 1' || chr(10) || chr(10) || {cleaned("body")} AS text FROM (
+  SELECT coalesce(source, '-') AS source, string_agg(regexp_replace(text, '\n$', ''), chr(10) ORDER BY doc_id) AS body
+  FROM documents WHERE text <> '' GROUP BY ALL)"""
+
+ORACLES["long_section_chunks"] = f"""
+SELECT source, chunk AS chunk_index, token_count, token_sum, md5(text) AS text_md5
+FROM ({packed(_BY_SOURCE, "source")})"""
+
+
 def units(source: str, key: str) -> str:
     """Sentence units of ``source`` (key, text): ``key, i, unit``, ``i`` with gaps."""
     return rf"""
