@@ -26,6 +26,8 @@ from lectern.sources import files
 from lectern.sources.collection import merged, vector_stats
 from lectern.sources.files import document_id_of, read_chunks, write_chunks
 from lectern.sources.html import html_items
+from lectern.sources.keyword_index import KeywordIndex, add_to_index
+from lectern.sources.vector_index import VectorIndex, write_vector_index
 from lectern.streaming.indexing import index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -611,6 +613,14 @@ def knn_topk(spark, folder):
     return _rounded(found)
 
 
+@query
+def vector_index_search(spark, folder):
+    """The same search through a stored index that skips blocks by their angles."""
+    path = scratch_path(spark, "vectors")
+    write_vector_index(_vectors(spark, folder, "item_id"), path)
+    return _rounded(VectorIndex(spark, path).search(_vectors(spark, folder, "query_id"), 10))
+
+
 @query
 def knn_filtered(spark, folder):
     found = dense_topk(
@@ -758,6 +768,16 @@ def bm25_search(spark, folder):
     return _rounded(bm25_topk(_passages(spark, folder), _items(spark, folder), 20), "score")
 
 
+@query
+def keyword_index_search(spark, folder):
+    """The same search through a stored index, to which the documents are added in two parts."""
+    path = scratch_path(spark, "keywords")
+    documents = _items(spark, folder)
+    for part in range(2):
+        add_to_index(documents.filter(F.pmod(F.xxhash64("item_id"), F.lit(2)) == part), path)
+    return _rounded(KeywordIndex(spark, path).search(_passages(spark, folder), 20), "score")
+
+
 def _fused(spark, folder, k):
     dense = _dense_texts(spark, folder, fixed.HYBRID_K)
     sparse = bm25_topk(_passages(spark, folder), _items(spark, folder), fixed.HYBRID_K)

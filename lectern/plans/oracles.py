@@ -420,6 +420,7 @@ def shown(scores: str, score: str, key: str = "query_id") -> str:
 
 
 ORACLES["knn_topk"] = shown(ranked(_PAIR_SCORES, 10, "similarity"), "similarity")
+ORACLES["vector_index_search"] = ORACLES["knn_topk"]
 ORACLES["knn_filtered"] = shown(
     ranked(f"SELECT * FROM ({_PAIR_SCORES}) WHERE query_label = item_label", 5, "similarity"), "similarity"
 )
@@ -523,6 +524,8 @@ SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM
   SELECT query_id, item_id, rank FROM ({ranked(_DENSE_TEXT, 20, "similarity")})
   UNION ALL SELECT query_id, item_id, rank FROM ({ranked(_BM25, 20, "score")})) GROUP BY ALL"""
 
+ORACLES["keyword_index_search"] = ORACLES["bm25_search"]
+
 ORACLES["rrf_hybrid"] = shown(ranked(_FUSED, 5, "score"), "score")
 
 
