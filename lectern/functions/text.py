@@ -175,6 +175,11 @@ def _fold_lists(lists: pd.Series) -> pd.Series:
     return lists.map(lambda items: [_fold(item) for item in items], na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _fold_nested(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda lists: [[_fold(item) for item in items] for items in lists], na_action="ignore")
+
+
 def normalise(text: Column) -> Column:
     """Comparison form of a text.
 
@@ -186,8 +191,17 @@ def normalise(text: Column) -> Column:
 
 
 def normalise_all(items: Column, hard: Column) -> Column:
-    """``normalise`` over an array; ``hard`` tells whether its row needs Python."""
-    return F.coalesce(_fold_lists(F.when(hard, items)), F.transform(items, _native_fold))
+    """``normalise`` over an array; ``hard`` tells whether its row needs Python.
+
+    It is a step of its own: what is built on it, and folded again, is not merged with it.
+    """
+    folded = _fold_lists.asNondeterministic()(F.when(hard, items))
+    return F.coalesce(folded, F.transform(items, _native_fold))
+
+
+def normalise_hard(lists: Column, hard: Column) -> Column:
+    """``normalise`` over an array of arrays in rows that need Python, NULL in others."""
+    return _fold_nested.asNondeterministic()(F.when(hard, lists))
 
 
 def native_normalise(text: Column) -> Column:

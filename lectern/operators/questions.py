@@ -13,6 +13,7 @@ from lectern.functions.text import (
     needs_python_fold,
     normalise,
     normalise_all,
+    normalise_hard,
     sentence_units,
     split_lines,
     strip,
@@ -21,29 +22,42 @@ from lectern.operators.scans import global_offsets
 from lectern.session import reliable_checkpoint
 
 
-def short_support(sentence: Column, answer: Column | None = None) -> Column:
-    """A support of at most 600 characters: whole, a clause with the answer, or a cut."""
+def _clauses(text: Column) -> Column:
+    """Clauses of a text that are short enough to be a support."""
+    parts = F.split(text, rf"{fixed.S}*[;:]{fixed.S}*", -1)
+    return F.filter(parts, lambda part: F.length(part) <= fixed.SUPPORT_MAX_CHARS)
+
+
+def short_support(
+    sentence: Column,
+    answer: Column | None = None,
+    folded_answer: Column | None = None,
+    folded_clauses: Column | None = None,
+) -> Column:
+    """A support of at most 600 characters: whole, a clause with the answer, or a cut.
+
+    Answer and clauses are compared in their comparison form: the given ones, in the order of
+    the clauses, or the JVM's where none are given or they are NULL.
+    """
     limit = fixed.SUPPORT_MAX_CHARS
 
     def choose(text):
-        clauses = F.filter(
-            F.split(text, rf"{fixed.S}*[;:]{fixed.S}*", -1), lambda part: F.length(part) <= limit
-        )
-
         def pick(short):
             choices = []
             if answer is not None:
-                choices.append(
-                    first_where(
-                        short, lambda p: native_normalise(p).contains(native_normalise(answer))
-                    )
-                )
+                low = native_normalise(answer)
+                lows = F.transform(short, native_normalise)
+                if folded_answer is not None:
+                    low = F.coalesce(folded_answer, low)
+                    lows = F.coalesce(folded_clauses, lows)
+                pairs = F.zip_with(short, lows, lambda p, q: F.struct(p.alias("text"), q.alias("low")))
+                choices.append(first_where(pairs, lambda pair: pair["low"].contains(low))["text"])
             choices.append(F.get(short, F.lit(0)))
             return strip(F.coalesce(*choices))
 
         return F.when(F.length(text) <= limit, text).otherwise(
             F.coalesce(
-                bind(clauses, pick), F.regexp_replace(F.substring(text, 1, limit), " [^ ]*$", "")
+                bind(_clauses(text), pick), F.regexp_replace(F.substring(text, 1, limit), " [^ ]*$", "")
             )
         )
 
@@ -182,30 +196,34 @@ def extract_candidates(chunks: DataFrame, text: str = "text", path: str = "secti
         inside = (F.col("__heading") != "") & folded[0].contains(folded[1])
         return F.struct(
             folded[0].alias("text"),
-            F.when(F.col("__hard"), native_normalise(F.col(text))).alias("plain"),
             bind(units, lambda u: _raw_candidates(u, F.col("__heading"), inside)).alias("raw"),
         )
 
+    def to_fold(c):
+        """Answer, support and, of a long support, its clauses."""
+        support = strip(c["support"])
+        none = F.array().cast("array<string>")
+        clauses = F.when(F.length(support) > fixed.SUPPORT_MAX_CHARS, _clauses(support)).otherwise(none)
+        return F.concat(F.array(c["answer"], c["support"]), clauses)
+
     def finish(env):
-        entries = F.transform(
-            env["raw"],
-            lambda c: F.struct(
+        def entry(c, folds):
+            return F.struct(
                 c.alias("c"),
+                folds.alias("folds"),
                 F.struct(
                     c["question_type"],
                     c["question"],
-                    native_normalise(c["answer"]).alias("answer"),
-                    native_normalise(c["support"]).alias("support"),
+                    F.coalesce(F.get(folds, F.lit(0)), native_normalise(c["answer"])).alias("answer"),
+                    F.coalesce(F.get(folds, F.lit(1)), native_normalise(c["support"])).alias("support"),
                 ).alias("key"),
-            ),
-        )
+            )
+
+        entries = F.zip_with(env["raw"], env["folds"], entry)
 
         def distinct(all_entries):
             def keep(e, i):
-                low = e["key"]["answer"]
-                grounded = env["text"].contains(low) | F.coalesce(
-                    env["plain"].contains(low), F.lit(False)
-                )
+                grounded = env["text"].contains(e["key"]["answer"])
                 earlier = F.exists(F.slice(all_entries, 1, i), lambda p: p["key"] == e["key"])
                 return (e["c"]["answer"] != "") & grounded & ~earlier
 
@@ -215,13 +233,26 @@ def extract_candidates(chunks: DataFrame, text: str = "text", path: str = "secti
                     e["c"]["question_type"].alias("question_type"),
                     e["c"]["question"].alias("question"),
                     e["c"]["answer"].alias("answer"),
-                    short_support(e["c"]["support"], e["c"]["answer"]).alias("support"),
+                    short_support(
+                        e["c"]["support"],
+                        e["c"]["answer"],
+                        F.when(e["folds"].isNotNull(), e["key"]["answer"]),
+                        F.slice(e["folds"], 3, F.greatest(F.size(e["folds"]) - 2, F.lit(0))),
+                    ).alias("support"),
                 ),
             )
 
         return bind(entries, distinct)
 
-    candidates = bind(bind(F.col("__all"), raw), finish)
+    # Rows that need Python have what the rules found folded there as well.
+    prepared = prepared.withColumn("__raw", bind(F.col("__all"), raw))
+    found = F.col("__raw.raw")
+    prepared = prepared.withColumn("__folds", normalise_hard(F.transform(found, to_fold), F.col("__hard")))
+    unfolded = F.transform(found, lambda c: F.lit(None).cast("array<string>"))
+    env = F.struct(
+        F.col("__raw.text").alias("text"), found.alias("raw"), F.coalesce("__folds", unfolded).alias("folds")
+    )
+    candidates = bind(env, finish)
     return prepared.select(*chunks.columns, candidates.alias("candidates"))
 
 

@@ -22,13 +22,13 @@ from lectern.operators.sparse import bm25_topk, words
 from lectern.operators.topk import rank_results
 from lectern.plans.retrieval import with_texts, with_vectors
 from lectern.session import scratch_path, spread
-from lectern.sources import files
+from lectern.sources import collection, files
 from lectern.sources.collection import merged, vector_stats
 from lectern.sources.files import document_id_of, read_chunks, write_chunks
 from lectern.sources.html import html_items
 from lectern.sources.keyword_index import KeywordIndex, add_to_index
 from lectern.sources.vector_index import VectorIndex, write_vector_index
-from lectern.streaming.indexing import index_stream
+from lectern.streaming.indexing import applied_batches, index_stream, merge_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -463,10 +463,13 @@ def chunk_ids(spark, folder):
     )
 
 
-def _chunk_files(spark, folder):
-    """Chunks of all documents written as JSON lines; the folder they are in."""
+def _chunk_files(spark, folder, path=None, limit=fixed.MAX_CHUNK_TOKENS, chosen=None):
+    """Chunks of all (or the chosen) documents written as JSON lines; the folder they are in."""
     name = F.format_string("d%d", "doc_id")
-    chunks = _document_chunks(spark, folder).select(
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    documents = documents if chosen is None else documents.filter(chosen)
+    packed = packing.pack_text(F.col("text"), limit=limit)
+    chunks = rows_of(documents, ["doc_id"], packed, "chunk_index", "c").select("doc_id", "chunk_index", "c.*").select(
         sections.chunk_ids(name, F.col("chunk_index")).alias("chunk_id"),
         name.alias("document_id"),
         "text",
@@ -475,7 +478,7 @@ def _chunk_files(spark, folder):
         F.lit(1).alias("page_start"),
         F.lit(None).cast("int").alias("page_end"),
     )
-    path = scratch_path(spark, "chunks")
+    path = path or scratch_path(spark, "chunks")
     write_chunks(chunks, path)
     return path
 
@@ -594,6 +597,93 @@ def streamed_index(spark, folder):
     return _per_document(points, payload["document_id"], payload["token_count"])
 
 
+def _text_files(spark, folder):
+    """Every document as a text file in a folder of its own, named as full documents are."""
+    path = scratch_path(spark, "texts")
+    name = F.concat(F.lit("_-Doc "), F.col("doc_id").cast("string"), F.lit("_Full_Document"))
+    table(spark, folder, "documents", "doc_id", "text").select(name.alias("name"), F.col("text").alias("value")).write.partitionBy("name").text(path)
+    return path
+
+
+@query
+def discovered_documents(spark, folder):
+    """Full documents found below a folder and decoded."""
+    found = files.read_full_documents(spark, _text_files(spark, folder), "*.txt")
+    return found.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def discovered_pages(spark, folder):
+    """Page files found below a folder; invalid bytes would become U+FFFD."""
+    found = files.read_page_files(spark, _text_files(spark, folder), "*.txt")
+    return found.groupBy(F.length("text").alias("n_chars")).agg(F.count("*").alias("n_files"))
+
+
+@query
+def collection_life(spark, folder):
+    """A collection created, filled, opened and dropped, with what each step tells."""
+    place = scratch_path(spark, "collection")
+    name = "life_" + place[-32:]
+    created = [collection.ensure_collection(spark, name, 64, location=place) for _ in range(2)]
+    vectors = table(spark, folder, "embeddings", "vec_id", "embedding").filter(F.col("vec_id").isNotNull())
+    payload = spark.table(name).schema["payload"].dataType
+    batch = vectors.select(
+        F.md5(F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"),
+        F.from_json(F.lit("{}"), payload).alias("payload"),
+    )
+    written = [collection.append_points(batch, name) for _ in range(2)]
+    replaced = collection.upsert_points(batch, name)
+    opened = collection.open_collection(spark, name).count()
+    dim = int(collection.collection_properties(spark, name)["dim"])
+    dropped = [collection.drop_collection(spark, name) for _ in range(2)]
+    shape = (
+        "created boolean, created_again boolean, written long, replaced long, added long, opened long, dim int, "
+        "dropped boolean, dropped_again boolean"
+    )
+    row = (*created, sum(written), replaced["replaced"], replaced["added"], opened, dim, *dropped)
+    return spark.createDataFrame([row], shape)
+
+
+def _letters():
+    """Deterministic stand-in for an embedding model that takes texts in batches."""
+    return lambda texts, mode: [[float(len(t)), float(t.count("e")), float(t.count(" "))] for t in texts]
+
+
+@query
+def batch_query_embeddings(spark, folder):
+    """Query texts embedded in batches of eight by a loaded model."""
+    embed = models.embedder(_letters, "query", batch=8)
+    asked = table(spark, folder, "benchmark", "item_id", "text").select("item_id", embed(F.col("text")).alias("v"))
+    return asked.select("item_id", *[F.get("v", F.lit(i)).cast("double").alias(f"d{i}") for i in range(3)])
+
+
+def _merged(spark, folder):
+    """All documents merged by the stream, then a third of them again, cut smaller."""
+    chunks, marks = scratch_path(spark, "arriving"), scratch_path(spark, "merge")
+    name = "points_" + marks[-32:]
+    collection.ensure_collection(spark, name, HASH_DIM, versioned=True, location=scratch_path(spark, "points"))
+    for part, limit, chosen in (("one", fixed.MAX_CHUNK_TOKENS, None), ("two", 128, F.col("doc_id") % 3 == 0)):
+        _chunk_files(spark, folder, f"{chunks}/{part}", limit, chosen)
+        merge_stream(spark, chunks, name, marks, _hash_embed).awaitTermination()
+    return name, marks
+
+
+@query
+def merged_index(spark, folder):
+    """Points per document after a third of the documents was cut and indexed again."""
+    name, _ = _merged(spark, folder)
+    payload = F.col("payload")
+    found = collection.open_collection(spark, name)
+    return _per_document(found, payload["document_id"], payload["token_count"])
+
+
+@query
+def merge_counts(spark, folder):
+    """Points added, replaced and removed by each batch, counted while they were written."""
+    _, marks = _merged(spark, folder)
+    return applied_batches(spark, f"{marks}/applied").select("batch", "added", "replaced", "removed")
+
+
 # ---- vectors --------------------------------------------------------------------------
 
 

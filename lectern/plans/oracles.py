@@ -216,33 +216,33 @@ SELECT conv_id, turn, line_pos::INTEGER AS line_pos, chapter_number, 'CHAPITRE '
 FROM w WHERE chapter_number IS NOT NULL"""
 
 
-def packed(source: str, keys: str, tokens=tokens) -> str:
+def packed(source: str, keys: str, tokens=tokens, limit: int = 256) -> str:
     """Chunks of the texts of ``source`` (keys, text): recursion over blocks and lines."""
     k = [x.strip() for x in keys.split(",")]
     same = " AND ".join(f"g.{x} = u.{x}" for x in k)
     return rf"""
 WITH RECURSIVE src AS MATERIALIZED (SELECT {keys}, {stripped("text")} AS text FROM ({source})),
 sized AS MATERIALIZED (SELECT *, {tokens("text")} AS n FROM src WHERE text <> ''),
-block0 AS (SELECT {keys}, regexp_split_to_array(text, '\n\s*\n') AS b FROM sized WHERE n > 256),
+block0 AS (SELECT {keys}, regexp_split_to_array(text, '\n\s*\n') AS b FROM sized WHERE n > {limit}),
 block1 AS (SELECT {keys}, unnest(b) AS block, generate_subscripts(b, 1) AS bi FROM block0),
 block AS (SELECT {keys}, bi, {stripped("block")} AS block, {tokens("block")} AS n FROM block1),
-line0 AS (SELECT {keys}, bi, {lines("block")} AS l FROM block WHERE n > 256),
+line0 AS (SELECT {keys}, bi, {lines("block")} AS l FROM block WHERE n > {limit}),
 line1 AS (SELECT {keys}, bi, unnest(l) AS line, generate_subscripts(l, 1) AS li FROM line0),
-unit0 AS (SELECT {keys}, bi, 0 AS li, block AS t, -1 AS run FROM block WHERE n <= 256 AND block <> ''
+unit0 AS (SELECT {keys}, bi, 0 AS li, block AS t, -1 AS run FROM block WHERE n <= {limit} AND block <> ''
           UNION ALL SELECT {keys}, bi, li, {stripped("line")}, bi FROM line1),
 unit AS MATERIALIZED (SELECT {keys}, t, run, {tokens("t")} AS n,
           row_number() OVER (PARTITION BY {keys} ORDER BY bi, li) AS pos FROM unit0 WHERE t <> ''),
 g AS (SELECT {keys}, pos, t, run, n, 0 AS chunk, n AS total FROM unit WHERE pos = 1
       UNION ALL
       SELECT {", ".join("u." + x for x in k)}, u.pos, u.t, u.run, u.n,
-        CASE WHEN u.run <> g.run OR g.total + u.n > 256 THEN g.chunk + 1 ELSE g.chunk END,
-        CASE WHEN u.run <> g.run OR g.total + u.n > 256 THEN u.n ELSE g.total + u.n END
+        CASE WHEN u.run <> g.run OR g.total + u.n > {limit} THEN g.chunk + 1 ELSE g.chunk END,
+        CASE WHEN u.run <> g.run OR g.total + u.n > {limit} THEN u.n ELSE g.total + u.n END
       FROM g JOIN unit u ON {same} AND u.pos = g.pos + 1),
 joined AS (SELECT {keys}, chunk, sum(n)::INTEGER AS token_sum,
       CASE WHEN min(run) >= 0 THEN string_agg(t, chr(10) ORDER BY pos)
            ELSE string_agg(t, chr(10) || chr(10) ORDER BY pos) END AS text FROM g GROUP BY {keys}, chunk)
 SELECT {keys}, chunk, text, {tokens("text")} AS token_count, token_sum FROM joined
-UNION ALL SELECT {keys}, 0, text, n, n FROM sized WHERE n <= 256"""
+UNION ALL SELECT {keys}, 0, text, n, n FROM sized WHERE n <= {limit}"""
 
 
 def cleaned(text: str) -> str:
@@ -394,6 +394,29 @@ SELECT 'd' || doc_id AS document, count(*) AS n_chunks, sum(token_count)::BIGINT
 FROM ({_DOC_CHUNKS}) GROUP BY doc_id"""
 
 ORACLES["chunk_files"] = _CHUNKS_PER_DOCUMENT
+
+# A text file ends with a line break.
+ORACLES["discovered_documents"] = "SELECT 'name=_-doc ' || doc_id AS doc_id, md5(text || chr(10)) AS text_md5 FROM documents"
+ORACLES["discovered_pages"] = "SELECT (length(text) + 1)::INTEGER AS n_chars, count(*) AS n_files FROM documents GROUP BY ALL"
+ORACLES["collection_life"] = """
+SELECT true AS created, false AS created_again, 2 * n AS written, 2 * n AS replaced, 0 AS added, n AS opened,
+  64 AS dim, true AS dropped, false AS dropped_again FROM (SELECT count(*) AS n FROM embeddings)"""
+ORACLES["batch_query_embeddings"] = """
+SELECT item_id, length(text)::DOUBLE AS d0, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS d1,
+  (length(text) - length(replace(text, ' ', '')))::DOUBLE AS d2 FROM benchmark"""
+
+# A third of the documents has been cut again, into chunks of half the size.
+_CUT_AGAIN = packed("SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0", "doc_id", limit=128)
+
+ORACLES["merged_index"] = f"""
+SELECT 'd' || doc_id AS document, count(*) AS n_chunks, sum(token_count)::BIGINT AS n_tokens FROM (
+  SELECT doc_id, token_count FROM ({_DOC_CHUNKS}) WHERE doc_id % 3 <> 0
+  UNION ALL SELECT doc_id, token_count FROM ({_CUT_AGAIN})) GROUP BY doc_id"""
+
+ORACLES["merge_counts"] = f"""
+WITH a AS (SELECT doc_id, count(*) AS n FROM ({_DOC_CHUNKS}) GROUP BY 1), b AS (SELECT doc_id, count(*) AS n FROM ({_CUT_AGAIN}) GROUP BY 1)
+SELECT 0 AS batch, (SELECT sum(n) FROM a)::BIGINT AS added, 0 AS replaced, 0 AS removed
+UNION ALL SELECT 1, sum(greatest(b.n - a.n, 0))::BIGINT, sum(least(a.n, b.n))::BIGINT, sum(greatest(a.n - b.n, 0))::BIGINT FROM a JOIN b USING (doc_id)"""
 ORACLES["streamed_index"] = _CHUNKS_PER_DOCUMENT
 
 ORACLES["chunk_ids"] = f"""

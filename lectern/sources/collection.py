@@ -6,7 +6,7 @@ points rewrites only the slots that they fall into.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
@@ -35,14 +35,25 @@ def collection_exists(spark: SparkSession, name: str) -> bool:
 
 
 def ensure_collection(
-    spark: SparkSession, name: str, dim: int = fixed.VECTOR_SIZE, distance: str = "cosine"
+    spark: SparkSession,
+    name: str,
+    dim: int = fixed.VECTOR_SIZE,
+    distance: str = "cosine",
+    versioned: bool = False,
+    location: str | None = None,
 ) -> bool:
-    """Create the collection unless it exists; tells whether it was created."""
+    """Create the collection unless it exists; tells whether it was created.
+
+    A ``versioned`` collection keeps the version of every point, for :func:`merge_points`.
+    ``location`` is a folder for its files; without it the catalog chooses one.
+    """
     if collection_exists(spark, name):
         return False
+    columns = f"{_COLUMNS}, version long" if versioned else _COLUMNS
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({_COLUMNS}, slot int) USING parquet PARTITIONED BY (slot) "
-        f"TBLPROPERTIES ('dim' = '{dim}', 'distance' = '{distance}')"
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}, slot int) USING parquet PARTITIONED BY (slot) "
+        + (f"LOCATION '{location}' " if location else "")
+        + f"TBLPROPERTIES ('dim' = '{dim}', 'distance' = '{distance}')"
     )
     return True
 
@@ -63,25 +74,34 @@ def open_collection(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name).drop("slot")
 
 
-def _slotted(rows: DataFrame) -> DataFrame:
+def _with_slot(rows: DataFrame) -> DataFrame:
     """Rows with their slot, which stands last as table partitions do."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
-    return rows.select("id", "vector", "payload", slot.alias("slot"))
+    return rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int"))
 
 
-def points(chunks: DataFrame, embed) -> DataFrame:
-    """Chunk rows as points: an id derived from the chunk id, a vector and the payload."""
+def _slotted(rows: DataFrame) -> DataFrame:
+    return _with_slot(rows.select("id", "vector", "payload"))
+
+
+def points(chunks: DataFrame, embed, *others: str) -> DataFrame:
+    """Chunk rows as points: an id derived from the chunk id, a vector, the payload, ``others``."""
     payload = [F.col(c).alias("id" if c == "chunk_id" else c) for c in PAYLOAD]
     return chunks.select(
         F.md5("chunk_id").alias("id"),
         embed(F.col("text")).alias("vector"),
         F.struct(*payload).alias("payload"),
+        *others,
     )
 
 
-def append_points(batch: DataFrame, name: str) -> None:
-    """Add points without looking for earlier ones (indexing twice stores them twice)."""
-    _slotted(batch).write.mode("append").insertInto(name)
+def append_points(batch: DataFrame, name: str) -> int:
+    """Add points without looking for earlier ones (indexing twice stores them twice).
+
+    Returns how many were written, counted while they were.
+    """
+    written = Observation()
+    _slotted(batch).observe(written, F.count("*").alias("n")).write.mode("append").insertInto(name)
+    return written.get["n"]
 
 
 def merged(existing: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
@@ -102,28 +122,110 @@ def last_of_each(batch: DataFrame, order: str | None = None) -> DataFrame:
     return batch.groupBy("id").agg(newest.alias("__p")).select("id", "__p.vector", "__p.payload")
 
 
-def upsert_points(batch: DataFrame, name: str, order: str | None = None) -> None:
-    """Replace points of the same id and add the others.
+def _overwrite(rows: DataFrame, name: str, touched: list[int]) -> None:
+    """Put the rows in place of what the touched slots hold."""
+    spark = rows.sparkSession
+    key = "spark.sql.sources.partitionOverwriteMode"
+    mode = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        rows.write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(key, mode)
+    # A dynamic overwrite leaves a slot alone of which no row is left.
+    left = {r["slot"] for r in rows.select("slot").distinct().collect()}  # at most SLOTS
+    for slot in set(touched) - left:
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (slot = {slot}) PURGE")
+
+
+def upsert_points(batch: DataFrame, name: str, order: str | None = None) -> dict[str, int]:
+    """Replace points of the same id and add the others; returns how many of each.
 
     Only slots that the batch touches are read and written; their new content is stored
     first, then put in place of the old by a dynamic partition overwrite, so the table is
     there all the time and other slots keep their files. Of several rows with one id the
-    last by ``order`` counts.
+    last by ``order`` counts; ``repeated`` tells of the others. ``replaced`` counts stored rows
+    that made way, of which an id may have several. Counts are taken while the batch and the
+    slots are written.
     """
     spark = batch.sparkSession
-    new = reliable_checkpoint(last_of_each(batch, order))
+    seen, kept = Observation(), Observation()
+    new = reliable_checkpoint(last_of_each(batch.observe(seen, F.count("*").alias("n")), order))
     touched = [r["slot"] for r in _slotted(new).select("slot").distinct().collect()]  # at most SLOTS
     if not touched:
-        return
+        return {"added": 0, "replaced": 0, "repeated": 0}
     old = spark.table(name).filter(F.col("slot").isin(touched)).drop("slot")
-    rows = reliable_checkpoint(_slotted(merged(old, new)))
-    key = "spark.sql.sources.partitionOverwriteMode"
-    mode = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
-        rows.write.insertInto(name, overwrite=True)
-    finally:
-        spark.conf.set(key, mode)
+    fresh = new.select(*old.columns).withColumn("__new", F.lit(True))
+    both = old.withColumn("__new", F.lit(False)).unionByName(fresh)
+    by_id = Window.partitionBy("id")
+    judged = both.withColumn("__asked", F.bool_or("__new").over(by_id)).withColumn(
+        "__stored", F.bool_or(~F.col("__new")).over(by_id)
+    )
+    own = F.col("__new")
+    counted = judged.observe(
+        kept,
+        F.count_if(own & ~F.col("__stored")).alias("added"),
+        F.count_if(~own & F.col("__asked")).alias("replaced"),
+        F.count_if(own).alias("written"),
+    )
+    rows = reliable_checkpoint(_slotted(counted.filter(own | ~F.col("__asked"))))
+    _overwrite(rows, name, touched)
+    found = kept.get
+    return {"added": found["added"], "replaced": found["replaced"], "repeated": seen.get["n"] - found["written"]}
+
+
+def merge_points(batch: DataFrame, name: str, whole_documents: bool = False) -> dict[str, int]:
+    """Merge ``id, vector, payload, version`` into a versioned collection: the newest wins.
+
+    Of rows with one id the largest version stays, the batch's where they are equal, so a batch
+    that is applied again changes nothing and a late one does not undo a newer. With
+    ``whole_documents`` a document's points are those of its newest version: what an earlier
+    version had besides goes. Rows without id or vector are set aside. The counts
+    (``added, replaced, late, removed, set_aside``) are taken while rows are written.
+    """
+    spark = batch.sparkSession
+    usable = F.col("id").isNotNull() & F.col("vector").isNotNull()
+    seen, merged_rows = Observation(), Observation()
+    counted = batch.observe(seen, F.count_if(~usable).alias("set_aside")).filter(usable)
+    by = F.struct(F.col("version"), F.to_json("payload"), F.to_json("vector"))
+    new = reliable_checkpoint(
+        counted.groupBy("id").agg(F.max_by(F.struct("vector", "payload", "version"), by).alias("__p")).select("id", "__p.*")
+    )
+    stored = spark.table(name)
+    document = F.col("payload.document_id")
+    touched = _with_slot(new).select("slot")
+    documents = new.select(document.alias("__document")).distinct()
+    if whole_documents:
+        of_documents = stored.join(documents, document.eqNullSafe(F.col("__document")), "left_semi")
+        touched = touched.unionByName(of_documents.select("slot"))
+    slots = [r["slot"] for r in touched.distinct().collect()]  # at most SLOTS
+    counts = {"added": 0, "replaced": 0, "late": 0, "removed": 0, "set_aside": seen.get["set_aside"]}
+    if not slots:
+        return counts
+    old = stored.filter(F.col("slot").isin(slots)).drop("slot")
+    both = old.withColumn("__new", F.lit(False)).unionByName(new.select(*old.columns).withColumn("__new", F.lit(True)))
+    content = F.struct("vector", "payload", "version", "__new")
+    best = both.groupBy("id").agg(
+        F.max_by(content, F.struct("version", "__new")).alias("__p"),
+        F.bool_or("__new").alias("__asked"), F.bool_or(~F.col("__new")).alias("__stored"),
+    ).select("id", "__p.*", "__asked", "__stored")
+    outdated = F.lit(False)
+    if whole_documents:
+        newest = best.groupBy(document.alias("__document")).agg(F.max("version").alias("__newest"))
+        newest = newest.join(documents.withColumnRenamed("__document", "__d"), F.col("__document").eqNullSafe(F.col("__d")), "left_semi")
+        best = best.join(newest, document.eqNullSafe(F.col("__document")), "left")
+        outdated = F.coalesce(F.col("version") < F.col("__newest"), F.lit(False))
+    won = F.col("__new") & ~F.col("__outdated")
+    judged = best.withColumn("__outdated", outdated).observe(
+        merged_rows,
+        F.count_if(won & ~F.col("__stored")).alias("added"),
+        F.count_if(won & F.col("__stored")).alias("replaced"),
+        F.count_if(F.col("__asked") & ~won).alias("late"),
+        F.count_if(F.col("__outdated") & F.col("__stored")).alias("removed"),
+    )
+    rows = reliable_checkpoint(_with_slot(judged.filter(~F.col("__outdated")).select(*old.columns)))
+    _overwrite(rows, name, slots)
+    return counts | merged_rows.get
 
 
 def vector_stats(vectors: DataFrame, vector: str = "vector") -> DataFrame:

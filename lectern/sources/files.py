@@ -45,19 +45,21 @@ def document_id_of(path: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), _stem(path))
 
 
-def read_full_documents(spark: SparkSession, root: str) -> DataFrame:
-    """All full-document markdown files below a folder: ``doc_id, source_file, text``.
+def read_full_documents(
+    spark: SparkSession, root: str, pattern: str = f"*{fixed.FULL_DOCUMENT}*.md"
+) -> DataFrame:
+    """All full-document files (markdown by default) below a folder: ``doc_id, source_file, text``.
 
     Spark skips files and folders whose name begins with an underscore or a dot.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*{fixed.FULL_DOCUMENT}*.md")
+        .option("pathGlobFilter", pattern)
         .load(root)
     )
     if files.select("path").isEmpty():
-        raise FileNotFoundError(f"no file named *{fixed.FULL_DOCUMENT}*.md below {root}")
+        raise FileNotFoundError(f"no file named {pattern} below {root}")
     path = F.col("path")
     return files.select(
         document_id_of(path).alias("doc_id"),
@@ -66,16 +68,18 @@ def read_full_documents(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_page_files(spark: SparkSession, root: str) -> DataFrame:
-    """All page markdown files below a folder: ``file, path, text``."""
+def read_page_files(
+    spark: SparkSession, root: str, pattern: str = "[pP][aA][gG][eE]*.md"
+) -> DataFrame:
+    """All page files (markdown by default) below a folder: ``file, path, text``."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "[pP][aA][gG][eE]*.md")
+        .option("pathGlobFilter", pattern)
         .load(root)
     )
     if files.select("path").isEmpty():
-        raise FileNotFoundError(f"no markdown file beginning with 'page' below {root}")
+        raise FileNotFoundError(f"no file named {pattern} below {root}")
     return files.select(
         _file_name(F.col("path")).alias("file"),
         "path",

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.sources.collection import points
+from lectern.sources.collection import merge_points, points
 from lectern.sources.files import CHUNK_SCHEMA
 
 
@@ -35,3 +36,57 @@ def index_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+_LEDGER = "batch long, added long, replaced long, late long, removed long, set_aside long"
+
+
+def applied_batches(spark: SparkSession, ledger: str) -> DataFrame:
+    """The batches that :func:`merge_stream` has applied, with their counts."""
+    return spark.read.schema(_LEDGER).option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").json(ledger)
+
+
+def merge_stream(
+    spark: SparkSession,
+    chunk_folder: str,
+    name: str,
+    checkpoint: str,
+    embed,
+    whole_documents: bool = True,
+    files_per_batch: int = 1000,
+) -> StreamingQuery:
+    """Merge new chunk files into the versioned collection ``name``, then stop.
+
+    A chunk's version is the time of its file; a document's is that of its newest file in the
+    batch, so that files of one document written one after the other count as one. The newest
+    version of a chunk stays, whenever it arrives; with ``whole_documents`` chunks that the
+    newest version of their document no longer has are removed (then all files of a
+    document's version belong into one batch). Counts of every batch are kept in
+    ``<checkpoint>/applied``; a batch that stands there is not applied again.
+    """
+    ledger = f"{checkpoint}/applied"
+    chunks = (
+        spark.readStream.schema(CHUNK_SCHEMA)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .option("pathGlobFilter", "*.json*")
+        .option("recursiveFileLookup", "true")
+        .json(chunk_folder)
+        .withColumn("__time", F.unix_micros("_metadata.file_modification_time"))
+    )
+    spark.createDataFrame([], _LEDGER).write.mode("append").json(ledger)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        if not applied_batches(spark, ledger).filter(F.col("batch") == batch_id).isEmpty():
+            return
+        newest = batch.groupBy(F.col("document_id").alias("__d")).agg(F.max("__time").alias("version"))
+        dated = batch.join(newest, F.col("document_id").eqNullSafe(F.col("__d")), "left")
+        counts = merge_points(points(dated, embed, "version"), name, whole_documents)
+        row = (batch_id, *[counts[c] for c in ("added", "replaced", "late", "removed", "set_aside")])
+        spark.createDataFrame([row], _LEDGER).coalesce(1).write.mode("append").json(ledger)
+
+    return (
+        chunks.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", f"{checkpoint}/stream")
+        .trigger(availableNow=True)
+        .start()
+    )

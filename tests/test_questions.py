@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
+from lectern.functions.text import normalise, normalise_all
 from lectern.operators import questions as Q
 from lectern.operators.rewrite import clean_topic, rewrite_questions
 
@@ -186,3 +187,22 @@ def test_rewriting(spark):
         "sans titre",
         "inchangée « y »",
     ]
+
+
+def test_a_clause_with_a_ligature_is_the_one_with_the_answer(spark):
+    filler = "mot " * 140
+    text = f"{filler}; premier; l\u2019e\ufb00et utile; l\u2019effet inutile; {filler}"
+    frame = spark.createDataFrame([(text, "l\u2019effet")], "s string, a string")
+    folded = frame.select("s", "a", normalise(F.col("a")).alias("low"), normalise_all(Q._clauses(F.col("s")), F.lit(True)).alias("lows"))
+    chosen = folded.select(
+        Q.short_support(F.col("s"), F.col("a"), F.col("low"), F.col("lows")).alias("full"), Q.short_support(F.col("s"), F.col("a")).alias("jvm")
+    ).first()
+    assert chosen.full == "l\u2019e\ufb00et utile" and chosen.jvm == "l\u2019effet inutile"
+
+
+def test_a_long_unit_takes_the_clause_whose_full_form_has_the_answer(spark):
+    filler = "texte sans rien " * 45
+    chunk = f"{filler} : au plus tard le jour \ufb01xé de l\u2019article L. 2111-9 : article L. 2111-9 nu : {filler}."
+    rows = Q.extract_candidates(spark.createDataFrame([(chunk, ["T"])], "text string, section_path array<string>")).first().candidates
+    legal = [c for c in rows if c.question_type == fixed.TYPE_LEGAL]
+    assert legal and "\ufb01xé" in legal[0].support
