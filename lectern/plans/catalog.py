@@ -529,6 +529,18 @@ def index_files(spark, folder):
     )
 
 
+@query
+def sized_files(spark, folder):
+    """Full documents in files of bounded size; every seventh read back through the offsets."""
+    path = scratch_path(spark, "sized")
+    lines = layout.document_lines(_turn_items(spark, folder))
+    files.write_by_size(lines, path, "doc_id", ["item_pos", "line_no"], file_bytes=1 << 16)
+    ids = lines.select("doc_id").distinct().filter(F.col("doc_id") % 7 == 0)
+    return files.read_by_document(spark, path, "doc_id", lines.schema, ids).groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), F.sum(F.length("line").cast("long")).alias("n_chars")
+    )
+
+
 @query
 def statistics_csv(spark, folder):
     """Token statistics written as CSV with a header and read back."""

@@ -782,6 +782,8 @@ ORACLES["document_files"] = rf"""
 WITH l AS (SELECT doc_id, unnest({lines("text")}) AS line FROM ({ASSEMBLED}))
 SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM l GROUP BY ALL"""
 
+ORACLES["sized_files"] = f"SELECT * FROM ({ORACLES['document_files']}) WHERE doc_id % 7 = 0"
+
 ORACLES["index_files"] = f"""
 SELECT doc_id, 1::BIGINT AS n_heads, count(*) AS n_pages FROM ({STATS}) GROUP BY ALL"""
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from lectern.functions import fixed
 from lectern.operators.layout import index_lines, page_item_markdown, usable_items
 from lectern.operators.scans import global_offsets
+from lectern.session import reliable_checkpoint
 
 CHUNK_SCHEMA = T.StructType(
     [
@@ -123,16 +124,63 @@ def read_chunks(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Dat
     )
 
 
+FILE_BYTES = 128 << 20
+
+
+def write_by_size(
+    rows: DataFrame, path: str, document: str, order: list[str], file_bytes: int = FILE_BYTES
+) -> None:
+    """Rows as JSON lines in files of about ``file_bytes``, whatever their documents are.
+
+    Rows are sorted by document and ``order`` over all tasks and cut into ranges, so small
+    documents share a file and a long one is several; there is no folder and no task per
+    document. ``<path>/file=N`` are the files; ``<path>/_offsets``, which readers of the folder
+    pass over, tells for every document which files it is in and at which rows of each.
+    Earlier output is replaced.
+    """
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*names))).cast("long") + 1), F.lit(0))
+    files = max(1, -(-rows.agg(size).first()[0] // file_bytes))
+    by = [document, *order]
+    # Written first, so that both tables follow one division into files.
+    placed = reliable_checkpoint(
+        rows.repartitionByRange(files, *by)
+        .sortWithinPartitions(*by)
+        .withColumn("file", F.spark_partition_id())
+        .withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    )
+    placed.sortWithinPartitions("file", "__at").drop("__at").write.mode("overwrite").partitionBy("file").option(
+        "ignoreNullFields", "false"
+    ).json(path)
+    placed.groupBy(document, "file").agg(F.min("__at").alias("first"), F.max("__at").alias("last")).repartitionByRange(
+        document
+    ).sortWithinPartitions(document).write.mode("overwrite").parquet(f"{path}/_offsets")
+
+
+def read_by_document(spark: SparkSession, path: str, document: str, schema: T.StructType | str, ids: DataFrame) -> DataFrame:
+    """Rows that :func:`write_by_size` has written of the documents in ``ids``.
+
+    Only the files that the offsets name are read; no folder is searched for documents.
+    """
+    wanted = ids.select(document).distinct()
+    offsets = spark.read.parquet(f"{path}/_offsets")
+    same = F.col(f"o.{document}").eqNullSafe(F.col(f"w.{document}"))
+    files = offsets.alias("o").join(wanted.alias("w"), same, "left_semi").select("file").distinct()
+    rows = spark.read.schema(schema).json(path).join(files, "file", "left_semi").drop("file")
+    return rows.alias("o").join(wanted.alias("w"), same, "left_semi")
+
+
 def write_chunks(chunks: DataFrame, path: str, by_document: bool = False) -> None:
     """Chunk records as JSON lines, earlier output replaced.
 
-    ``by_document`` makes one folder per document: for a corpus of few, large documents.
+    ``by_document`` keeps the chunks of a document together, in files of bounded size with
+    offsets (:func:`write_by_size`).
     """
-    writer = chunks.select(*CHUNK_SCHEMA.names)
+    rows = chunks.select(*CHUNK_SCHEMA.names)
     if by_document:
-        writer = writer.withColumn("folder", F.col("document_id")).repartition("folder")
-    writer = writer.write.mode("overwrite").option("ignoreNullFields", "false")
-    (writer.partitionBy("folder") if by_document else writer).json(path)
+        write_by_size(rows, path, "document_id", ["chunk_id"])
+    else:
+        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 QUESTION_SCHEMA = (

@@ -34,24 +34,31 @@ def decode_entities(text: Column) -> Column:
     """Numeric entities and those that HTML names, each decoded once; others stay as written."""
     named = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
 
-    def decoded(part, index):
-        name = F.regexp_extract(part, ENTITY, 1)
+    def character(name):
         hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
         code = F.when(hexadecimal, F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(
             F.substring(name, 2, 7)
         ).try_cast("long")
-        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        char = F.when(name.startswith("#"), number).otherwise(F.try_element_at(named, name))
-        rest = F.substr(part, F.length(name) + 2)
-        return (
-            F.when(index == 0, part)
-            .when((name != "") & char.isNotNull(), F.concat(char, rest))
-            .otherwise(F.concat(F.lit("&"), part))
-        )
 
-    joined = F.array_join(F.transform(F.split(text, "&", -1), decoded), "")
-    return F.when(text.contains("&"), joined).otherwise(text)
+        def numbered(c):
+            valid = (c > 0) & (c <= 0x10FFFF) & ~c.between(0xD800, 0xDFFF)
+            return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+
+        return F.when(name.startswith("#"), bind(code, numbered)).otherwise(F.try_element_at(named, name))
+
+    def decoded(part, index):
+        def replaced(name):
+            rest = F.substr(part, F.length(name) + 2)
+            said = bind(character(name), lambda char: F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part)))
+            return F.when(name != "", said).otherwise(F.concat(F.lit("&"), part))
+
+        return F.when(index == 0, part).otherwise(bind(F.regexp_extract(part, ENTITY, 1), replaced))
+
+    def whole(own):
+        joined = F.array_join(F.transform(F.split(own, "&", -1), decoded), "")
+        return F.when(own.contains("&"), joined).otherwise(own)
+
+    return bind(text, whole)
 
 
 def plain_text(markup: Column) -> Column:
