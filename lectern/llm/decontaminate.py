@@ -335,3 +335,27 @@ def remove_items(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return kept.mapInArrow(cut, fields).toDF(*docs.columns)
+
+
+# The same rule for DuckDB: every window of every text against the windows of the items.
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLE = f"""
+WITH doc AS (SELECT doc_id, row_number() OVER () AS row_no, {_SQL_WORDS} AS words FROM documents),
+item AS (SELECT item_id::VARCHAR AS item_id, {_SQL_WORDS} AS words, least(len(words), {WINDOW}) AS size FROM benchmark),
+item_window AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[pos : pos + size - 1], ' ') AS words
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS pos FROM item WHERE size > 0 AND item_id IS NOT NULL)),
+doc_window AS (
+  SELECT row_no, pos, size, array_to_string(words[pos : pos + size - 1], ' ') AS words
+  FROM (SELECT d.row_no, d.words, s.size, unnest(range(1, len(d.words) - s.size + 2)) AS pos
+        FROM doc d, (SELECT DISTINCT size FROM item_window) s)),
+hit AS (SELECT row_no, pos, size, item_id FROM doc_window JOIN item_window USING (size, words)),
+covered AS (SELECT row_no, count(DISTINCT place) AS n_hit FROM (SELECT row_no, unnest(range(pos, pos + size)) AS place FROM hit) GROUP BY 1),
+named AS (SELECT row_no, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY 1)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (row_no) LEFT JOIN named USING (row_no)"""

@@ -684,3 +684,23 @@ def link_counts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return members.join(counts, "class_id", "left").select(
         "doc_id", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+
+
+# The same rule for DuckDB: all pairs that share a shingle, then everything reachable by links.
+ORACLE = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ 	-
+]+') AS words FROM documents),
+shingle AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[pos : pos + size - 1], chr(10)) AS s
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS pos
+        FROM (SELECT *, least(len(words), {WIDTH}) AS size FROM doc WHERE len(words) > 0))),
+sized AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b
+  WHERE 100 * common >= {PERCENT} * (x.n + y.n - common)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least_id, d.doc_id)) AS component_id
+FROM doc d LEFT JOIN sized USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY 1) USING (doc_id)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.decontaminate import ORACLE as ITEM_ORACLE
 from lectern.llm.decontaminate import contamination
 from lectern.llm.langid import language_table
 from lectern.llm.linededup import ORACLE as LINE_ORACLE
@@ -13,6 +14,7 @@ from lectern.llm.lm import score_documents
 from lectern.llm.manifest import ORACLE as MANIFEST_ORACLE
 from lectern.llm.manifest import manifest_table
 from lectern.llm.mixing import mix_sources
+from lectern.llm.ngramjoin import ORACLE as JOIN_ORACLE
 from lectern.llm.ngramjoin import link_counts, similarity_components
 from lectern.llm.pii import pii_digest
 from lectern.llm.quality import quality_rules
@@ -119,6 +121,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": JOIN_ORACLE,
+    "op5_benchmark_decontamination": ITEM_ORACLE,
     "op6_line_dedup": LINE_ORACLE,
     "op11_exact_top_k": SEARCH_ORACLE,
     "op12_turn_repair": REPAIR_ORACLE,
