@@ -16,7 +16,7 @@ walked at all; everything else cannot reach a window.
 
 Defined results: a null text has no words; null items and items without words match nothing;
 repeated items with different ids are each reported, an item id repeated on several rows
-counts once; documents are reported once per row; empty tables give empty results (or
+counts once; documents are reported once per row; texts of any length are streamed whole; empty tables give empty results (or
 documents without hits); other columns are not read.
 """
 

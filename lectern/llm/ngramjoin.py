@@ -31,7 +31,7 @@ similar to each other) a list's work grows with the square of its length.
 
 Defined results: a text with fewer words than a shingle has is one shingle; null, empty and
 blank texts have no shingles and are components of their own; rows with one id are one node;
-rows without id have no component; an empty table gives an empty result; other columns are
+rows without id have no component; a text of any length is one set, held by one task; an empty table gives an empty result; other columns are
 not read.
 """
 

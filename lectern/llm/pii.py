@@ -14,7 +14,8 @@ The work of a text is linear in its length. Texts without a digit and without an
 not decoded at all.
 
 Defined results: a null or empty text has no spans; texts of any length are read whole;
-repeated rows are reported as often as they occur; an empty table gives an empty result.
+repeated rows are reported as often as they occur; an empty table gives an empty result; columns
+that are not asked for are not read.
 Offsets count code points, ends are exclusive.
 """
 

@@ -12,7 +12,7 @@ group from a fence of no width. A document goes if it fails the base rule or lie
 fence of its group; fences are joined to the documents by language and source.
 
 Defined results: a null text has no words and fails the base rule; null languages and sources
-are groups of their own; documents without words set no thresholds; repeated rows count as
+are groups of their own; documents without words set no thresholds; texts of any length are counted whole; repeated rows count as
 often as they occur; an empty table gives an empty result; other columns are not read.
 """
 

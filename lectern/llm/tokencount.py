@@ -12,7 +12,7 @@ be installed where the workers run.
 
 Defined results: a null or empty text has no tokens; a special string of the vocabulary
 inside a text is one token; texts of any length are read whole; repeated rows are counted
-each; an empty table gives an empty result.
+each; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

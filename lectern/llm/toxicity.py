@@ -14,12 +14,16 @@ them, fitted on gains from dictionaries that the documents did not train, is the
 A word marks toxic text if it follows many different words (copies of one passage count
 once), and does so much more often than in ordinary text. All labelled documents that are not
 held out may be learned from; a bounded sample of them is (``DOCS_PER_LABEL`` documents of
-each label, ``CHARS_PER_DOC`` characters of each). Scoring reads whole texts of all documents.
+each label, ``CHARS_PER_DOC`` characters of each from a place that a hash gives, of these
+``ORDINARY_SAMPLES`` runs of eight ordinary words, and ``TOXIC_BYTES`` of the strongest marking
+words). Scoring reads whole texts of all documents.
 
 Defined results: null and empty texts have no window and get the score of a document without
 gain; without labels of both kinds to learn from, every score is the share of toxic labels (0
 if there are none); labels other than 0 and 1 are not learned from; contradicting labels of
-one document both count; an empty table gives an empty result.
+one document both count; repeated rows are scored alike; a very long text is all its windows,
+of which more can gain by chance; an empty table gives an empty result; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
