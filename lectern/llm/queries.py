@@ -13,6 +13,7 @@ from lectern.llm.linededup import line_table
 from lectern.llm.lm import score_documents
 from lectern.llm.manifest import ORACLE as MANIFEST_ORACLE
 from lectern.llm.manifest import manifest_table
+from lectern.llm.mixing import ORACLE as MIX_ORACLE
 from lectern.llm.mixing import mix_sources
 from lectern.llm.ngramjoin import ORACLE as JOIN_ORACLE
 from lectern.llm.ngramjoin import link_counts, similarity_components
@@ -124,6 +125,7 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": JOIN_ORACLE,
     "op5_benchmark_decontamination": ITEM_ORACLE,
     "op6_line_dedup": LINE_ORACLE,
+    "op8_source_mixing": MIX_ORACLE,
     "op11_exact_top_k": SEARCH_ORACLE,
     "op12_turn_repair": REPAIR_ORACLE,
     "op13_merkle_manifest": MANIFEST_ORACLE,

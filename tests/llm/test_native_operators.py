@@ -124,6 +124,32 @@ def test_pareto_sample_is_fair(documents):
     assert taken["a", True] + taken["a", False] == 1000
 
 
+def test_longer_documents_are_likelier_in_the_sample(documents):
+    """Each size class is taken as often as its inclusion probability, which grows with the length."""
+    rows = [(i, "w " * (4, 16, 64)[i % 3], "en", "b" if i % 2 else "a") for i in range(6000)]
+    got = mixing.mix_sources(documents(rows), keep=("source",)).collect()
+    a = [r for r in got if r.source == "a"]
+    room = a[0].target
+    assert sum(r.inclusion * r.size for r in a) == pytest.approx(room, rel=1e-9)
+    chance = {size: {r.inclusion for r in a if r.size == size} for size in (4, 16, 64)}
+    assert all(len(c) == 1 for c in chance.values())
+    odds = [p / (1 - p) for p in (chance[4].pop(), chance[16].pop(), chance[64].pop())]
+    assert odds[1] / odds[0] == pytest.approx(2) and odds[2] / odds[1] == pytest.approx(2)
+    for size, o in zip((4, 16, 64), odds, strict=True):
+        p, own = o / (1 + o), [r.copies for r in a if r.size == size]
+        assert abs(sum(own) - p * len(own)) < 4 * (p * (1 - p) * len(own)) ** 0.5
+
+
+def test_a_document_larger_than_the_room_is_not_in_the_way(documents):
+    rows = [(1, "w " * 100_000, None, "a"), *[(i, "w " * 10, None, "a") for i in range(2, 1002)]]
+    rows += [(5000 + i, "w " * 10, None, "b") for i in range(320)]
+    got = [r for r in mixing.mix_sources(documents(rows), keep=("source",)).collect() if r.source == "b"]
+    assert abs(sum(r.copies * r.size for r in got) - got[0].target) <= 10
+    small = [(1, "w " * 100_000, None, "a"), *[(i, "w " * 10, None, "a") for i in range(2, 1002)], (2000, "w " * 20_000, None, "b")]
+    got = [r for r in mixing.mix_sources(documents(small), keep=("source",)).collect() if r.source == "a"]
+    assert got[0].target < 110_000 and all(r.copies == 0 or r.size <= 2 * got[0].target for r in got)
+
+
 def test_equal_rows_are_drawn_one_by_one(documents):
     rows = [(1, "ten words " * 5, None, "a")] * 400 + [(i, "ten words " * 5, None, "b") for i in range(1000, 1500)]
     docs = documents(rows)
