@@ -16,7 +16,10 @@ SKIPPED = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 TABLE_OPEN = r"(?i)<table(?:\s[^>]*)?>"
 TABLE_CLOSE = r"(?i)</table\s*>"
 TABLE_ROW = r"(?is)<tr\b.*?(?=<tr\b|\z)"
-TABLE_CELL = r"(?is)<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</tr\b|\z)"
+TABLE_CELL = r"(?is)<t[dh]\b[^>]*>.*?(?=<t[dh]\b|</tr\b|\z)"
+TABLE_SPAN = r"(?i)<t[dh]\s[^>]*\b(?:row|col)span\s*="
+SPAN_VALUE = r"(?i)^<t[dh]\s[^>]*\b{}span\s*=\s*[\"']?\s*([0-9]{{1,9}})"
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 BLOCK = (
     "title|h[1-6]|p|li|ul|ol|dl|dt|dd|div|pre|blockquote|address|article|aside|section|header|"
     "footer|nav|main|head|body|html|form|fieldset|legend|figure|figcaption|details|summary|"
@@ -66,20 +69,85 @@ def plain_text(markup: Column) -> Column:
     return collapse(decode_entities(F.regexp_replace(markup, ANY_TAG, " ")))
 
 
+def _span(cell: Column, kind: str, most: int) -> Column:
+    """A cell's ``rowspan`` or ``colspan`` as browsers read it: 1 if it has none that is valid."""
+    said = F.regexp_extract(cell, SPAN_VALUE.format(kind), 1).try_cast("int")
+    # No rows are all rows that follow; no columns are one.
+    least = F.when(said == 0, F.lit(most if kind == "row" else 1)).otherwise(said)
+    return F.least(F.coalesce(least, F.lit(1)), F.lit(most))
+
+
+_SLOTS = "array<struct<text:string,left:int>>"
+
+
+def _grid(rows: Column) -> Column:
+    """Texts of all grid places, row by row, of an array of rows' arrays of cell markup.
+
+    A cell that spans rows or columns fills all its places with its text. A row's cells go, left
+    to right, to the places that no cell of an earlier row holds; ``left`` is the number of rows
+    that a place's cell still reaches into.
+    """
+    none = F.array().cast(_SLOTS)
+
+    def slot(text, left):
+        return F.struct(text.alias("text"), left.cast("int").alias("left"))
+
+    def add_row(acc, cells):
+        held = acc["held"]
+
+        def free(i):
+            return F.coalesce(F.get(held, i)["left"], F.lit(0)) <= 0
+
+        def put(row, cell):
+            at = F.size(row)
+            first = F.get(F.filter(F.sequence(at, F.greatest(at, F.size(held))), free), F.lit(0))
+            wide = F.array_repeat(
+                slot(plain_text(cell), _span(cell, "row", MOST_ROWS)), _span(cell, "col", MOST_COLUMNS)
+            )
+            return F.concat(row, F.slice(held, at + 1, first - at), wide)
+
+        def rest(row):
+            later = F.slice(held, F.size(row) + 1, F.greatest(F.size(held) - F.size(row), F.lit(0)))
+            return F.concat(row, F.transform(later, lambda h: F.when(h["left"] > 0, h).otherwise(slot(F.lit(""), F.lit(0)))))
+
+        def placed(row):
+            after = F.transform(row, lambda h: slot(h["text"], F.greatest(h["left"] - 1, F.lit(0))))
+            texts = F.transform(row, lambda h: h["text"])
+            return F.struct(F.array_append(acc["rows"], texts).alias("rows"), after.alias("held"))
+
+        filled = F.aggregate(cells, none, put)
+        return bind(bind(filled, rest), placed)
+
+    start = F.struct(F.array().cast("array<array<string>>").alias("rows"), none.alias("held"))
+    return F.aggregate(rows, start, add_row, lambda acc: acc["rows"])
+
+
 def table_markdown(table: Column) -> Column:
-    """A table as pipe-separated rows with a rule under the first."""
+    """A table as pipe-separated rows of equal width with a rule under the first.
 
-    def row(markup):
-        cells = F.regexp_extract_all(markup, F.lit(TABLE_CELL), F.lit(1))
-        return F.concat(F.lit("| "), F.array_join(F.transform(cells, plain_text), " | "), F.lit(" |"))
+    Cells that span rows or columns stand in every place that they cover.
+    """
 
     def layout(rows):
-        width = F.size(F.split(F.get(rows, F.lit(0)), r" \| ", -1))
-        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
-        return F.array_join(F.array_insert(F.transform(rows, lambda r: r), 2, rule), "\n")
+        width = F.array_max(F.transform(rows, F.size))
+
+        def line(texts):
+            full = F.concat(texts, F.array_repeat(F.lit(""), width - F.size(texts)))
+            return F.concat(F.lit("| "), F.array_join(full, " | "), F.lit(" |"))
+
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.greatest(width, F.lit(1))))
+        return F.array_join(F.array_insert(F.transform(rows, line), 2, rule), "\n")
+
+    def cells(markup):
+        return F.regexp_extract_all(markup, F.lit(TABLE_CELL), F.lit(0))
+
+    def texts(spans, rows):
+        plain = F.transform(rows, lambda row: F.transform(row, plain_text))
+        return F.when(spans, _grid(rows)).otherwise(plain)
 
-    rows = F.transform(F.regexp_extract_all(table, F.lit(TABLE_ROW), F.lit(0)), row)
-    return bind(rows, lambda r: F.when(F.size(r) > 0, layout(r)).otherwise(""))
+    rows = F.transform(F.regexp_extract_all(table, F.lit(TABLE_ROW), F.lit(0)), cells)
+    whole = bind(rows, lambda r: texts(table.rlike(TABLE_SPAN), r))
+    return bind(whole, lambda r: F.when(F.size(r) > 0, layout(r)).otherwise(""))
 
 
 def _runs(fragment: Column) -> Column:
@@ -129,7 +197,8 @@ def html_items(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Every text run between two block tags is an item, so no text is lost: a title, heading
     or list item if it follows that tag, else a text (also what follows a nested block's
-    end). An innermost table is one item; the cells of a table around it are texts. Runs
+    end). An innermost table is one item, its rows of one width and a spanning cell in every
+    place that it covers; the cells of a table around it are texts. Runs
     without text are dropped.
     """
     others = [name for name in pages.columns if name != html]

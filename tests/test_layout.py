@@ -1,3 +1,4 @@
+import random
 import statistics
 
 import pytest
@@ -124,6 +125,68 @@ def test_html_items_keep_all_text(spark):
     assert {r.page_id for r in found} == {1, 2}
 
 
+def plain_grid(rows):
+    """Browsers' table model: every cell takes the next free places of its row and those below."""
+    places, width = {}, 0
+    for y, row in enumerate(rows):
+        x = 0
+        for text, down, across in row:
+            while (y, x) in places:
+                x += 1
+            for j in range(y, len(rows) if down == 0 else min(len(rows), y + down)):
+                places.update({(j, i): text for i in range(x, x + max(across, 1))})
+            x += max(across, 1)
+    width = max([x + 1 for _, x in places], default=0)
+    lines = ["| " + " | ".join(places.get((y, x), "") for x in range(width)) + " |" for y in range(len(rows))]
+    lines.insert(1, "|" + " --- |" * width)
+    return "\n".join(lines)
+
+
+def test_html_tables_with_spans_are_full_grids(spark):
+    rng = random.Random(7)
+    tables = []
+    for n in range(60):
+        # Wide cells only in the first row and high ones of one column, so that no two cells overlap.
+        rows = [
+            [(f"t{n}.{y}.{x}", rng.choice([0, 1, 1, 2, 3, 9]), rng.choice([1, 2, 3]) if y == 0 else 1) for x in range(rng.randint(1, 4))]
+            for y in range(rng.randint(1, 5))
+        ]
+        tables.append(rows)
+    def markup(rows):
+        mark = rng.choice(['"{}"', "'{}'", "{}", ' "{}"'])
+        cell = "<{t} class=x {u}rowspan=" + mark + " colspan=" + mark + ">{c}"
+        return "<table>" + "".join(
+            "<tr>" + "".join(
+                cell.replace("{}", "%s").format(t=rng.choice(["td", "TH"]), u=rng.choice(["", "id='a' "]), c=c + rng.choice(["", "</td>"])) % (d, a)
+                for c, d, a in row
+            ) + rng.choice(["", "</tr>"]) for row in rows
+        ) + "</table>"
+
+    frame = spark.createDataFrame([(n, markup(rows)) for n, rows in enumerate(tables)], "page_id int, html string")
+    found = {r.page_id: (r.label, r.text) for r in html_items(frame).collect()}
+    assert found == {n: ("table", plain_grid(rows)) for n, rows in enumerate(tables)}
+
+
+def test_html_tables_ragged_nested_and_with_odd_spans(spark):
+    cases = {
+        1: ("<table><tr><td>a | b<tr><td>c<td>d</table>", ["| a | b |  |\n| --- | --- |\n| c | d |"]),
+        2: ("<table><tr><td rowspan=2>a<td>b<tr><td colspan=2>c<tr><td>d</table>",
+            ["| a | b |  |\n| --- | --- | --- |\n| a | c | c |\n| d |  |  |"]),
+        3: ("<table><tr><td rowspan=x colspan=-1>a<td colspan=0>b</table>", ["| a | b |\n| --- | --- |"]),
+        4: ("<table><tr><td rowspan=2>o<table><tr><td colspan=2>i<tr><td>j<td>k</table>p<tr><td>q</table>",
+            ["o", "| i | i |\n| --- | --- |\n| j | k |", "p", "q"]),
+        5: ("<table><tr></tr></table><p>rowspan = 2</p>", ["|  |\n| --- |", "rowspan = 2"]),
+        6: ("<table></table>", []),
+    }
+    frame = spark.createDataFrame([(n, html) for n, (html, _) in cases.items()], "page_id int, html string")
+    found = {n: [] for n in cases}
+    for row in html_items(frame).orderBy("page_id", "item_pos").collect():
+        found[row.page_id].append(row.text)
+    assert found == {n: texts for n, (_, texts) in cases.items()}
+    wide = spark.createDataFrame([(1, "<table><tr><td colspan=5000>w</table>")], "page_id int, html string")
+    assert html_items(wide).first().text.count(" --- |") == 1000
+
+
 @pytest.mark.parametrize("segment", [1, 3, 1000])
 def test_scans_equal_plain_loops(spark, segment):
     rows = [(k, i, (i * 7 + k) % 5 or None) for k in (1, 2) for i in range(20)]
