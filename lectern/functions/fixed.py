@@ -20,6 +20,8 @@ DIGIT = r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
 # ---- token counting (fixed values) ----------------------------------------------------
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 MAX_CHUNK_TOKENS = 256
+SOFT_TOKENS = 1024
+HARD_TOKENS = 1600
 MODEL_MAX_TOKENS = 2048
 SAFE_TOKENS = 1800
 TOKEN_THRESHOLDS = (256, 384, 512, 768, 1024, 1280, 1536, 1800, 2048)

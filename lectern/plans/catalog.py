@@ -15,6 +15,7 @@ from lectern.operators import layout, packing, profile, quarantine, questions, r
 from lectern.operators.anchor import content_anchor, line_anchors
 from lectern.operators.dense import dense_topk
 from lectern.operators.fusion import reciprocal_rank_fusion
+from lectern.operators.headers import header_chunks
 from lectern.operators.metrics import gold_matches, normalise_gold, retrieval_metrics
 from lectern.operators.rerank import rerank, rerank_by_answer, rerank_by_logit
 from lectern.operators.scans import running_last, running_sum
@@ -315,6 +316,20 @@ def markdown_chunks(spark, folder):
     )
 
 
+@query
+def header_carrying_chunks(spark, folder):
+    return header_chunks(_marked_documents(spark, folder)).select(
+        "doc_id",
+        "chunk_index",
+        F.size("section_path").alias("depth"),
+        "n_units",
+        "token_count",
+        "token_sum",
+        F.md5("headers").alias("headers_md5"),
+        F.md5("text").alias("text_md5"),
+    )
+
+
 @query
 def content_anchor_lines(spark, folder):
     anchor = content_anchor(T.split_lines(F.col("text")), "^[A-M]", "^[N-Z].*,", "[0-9]{2}", 4)

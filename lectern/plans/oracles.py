@@ -316,6 +316,43 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section_pos, chu
   (1 + len(regexp_extract_all(path, ' > ')))::INTEGER AS depth, 1 AS page_start, 1 AS page_end,
   token_count, token_sum, md5(c.text) AS text_md5 FROM c JOIN s USING (doc_id, section_pos)"""
 
+_SOFT, _HARD = fixed.SOFT_TOKENS, fixed.HARD_TOKENS
+# Sections up to the hard limit whole, longer ones by paragraphs and lines, the title with the first.
+ORACLES["header_carrying_chunks"] = rf"""
+WITH RECURSIVE s AS MATERIALIZED (
+   SELECT doc_id, section_pos AS sec, text, {tokens("text")} AS n, string_split(path, ' > ') AS path
+   FROM ({_MARKED_SECTIONS})),
+p0 AS (SELECT doc_id, sec, path, regexp_split_to_array(text, '\n\s*\n') AS b FROM s WHERE n > {_HARD}),
+p1 AS (SELECT doc_id, sec, path, unnest(b) AS t, generate_subscripts(b, 1) AS bi FROM p0),
+p2 AS (SELECT doc_id, sec, path, bi, {stripped("t")} AS t, {tokens("t")} AS n FROM p1),
+l0 AS (SELECT doc_id, sec, path, bi, {lines("t")} AS l FROM p2 WHERE n > {_HARD}),
+l1 AS (SELECT doc_id, sec, path, bi, unnest(l) AS t, generate_subscripts(l, 1) AS li FROM l0),
+piece0 AS (SELECT doc_id, sec, path, bi, 0 AS li, t FROM p2 WHERE n <= {_HARD}
+   UNION ALL SELECT doc_id, sec, path, bi, li, {stripped("t")} FROM l1),
+piece AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sec ORDER BY bi, li) AS p,
+   CASE WHEN lag(bi) OVER (PARTITION BY doc_id, sec ORDER BY bi, li) = bi THEN chr(10) ELSE chr(10) || chr(10) END AS glue
+   FROM piece0 WHERE t <> ''),
+part AS (SELECT doc_id, sec, path, greatest(p, 2) AS p, string_agg(t, chr(10) || chr(10) ORDER BY p) AS t,
+   CASE WHEN min(p) = 1 THEN chr(10) || chr(10) ELSE min(glue) END AS glue FROM piece GROUP BY ALL),
+unit0 AS (SELECT doc_id, sec, 2 AS p, text AS t, chr(10) || chr(10) AS glue, path, path[:-2] AS above FROM s WHERE n <= {_HARD}
+   UNION ALL SELECT doc_id, sec, p, t, glue, path, CASE WHEN p = 2 THEN path[:-2] ELSE path END FROM part),
+unit AS MATERIALIZED (SELECT doc_id, t, glue, path, array_to_string(above, chr(10)) AS headers, {tokens("t")} AS n,
+   {tokens("array_to_string(above, chr(10))")} AS hn,
+   row_number() OVER (PARTITION BY doc_id ORDER BY sec, p) AS pos FROM unit0),
+g AS (SELECT doc_id, pos, 0 AS chunk, n + hn AS total FROM unit WHERE pos = 1
+   UNION ALL
+   SELECT u.doc_id, u.pos, CASE WHEN g.total + u.n > {_SOFT} THEN g.chunk + 1 ELSE g.chunk END,
+     CASE WHEN g.total + u.n > {_SOFT} THEN u.n + u.hn ELSE g.total + u.n END
+   FROM g JOIN unit u ON u.doc_id = g.doc_id AND u.pos = g.pos + 1),
+c AS (SELECT doc_id, chunk, first(headers ORDER BY pos) AS headers, first(len(path) ORDER BY pos) AS depth,
+   count(*)::INTEGER AS n_units, max(total)::INTEGER AS token_sum,
+   first(CASE WHEN headers = '' THEN '' ELSE headers || chr(10) || chr(10) END || t ORDER BY pos) AS start,
+   coalesce(string_agg(CASE WHEN opening THEN '' ELSE glue || t END, '' ORDER BY pos), '') AS more
+   FROM (SELECT *, pos = min(pos) OVER (PARTITION BY doc_id, chunk) AS opening FROM g JOIN unit USING (doc_id, pos))
+   GROUP BY doc_id, chunk)
+SELECT doc_id, chunk::INTEGER AS chunk_index, depth::INTEGER AS depth, n_units,
+   {tokens("start || more")}::INTEGER AS token_count, token_sum, md5(headers) AS headers_md5, md5(start || more) AS text_md5 FROM c"""
+
 ORACLES["content_anchor_lines"] = rf"""
 WITH l AS (SELECT doc_id, unnest({lines("text")}) AS line, generate_subscripts({lines("text")}, 1) - 1 AS i FROM documents),
 f AS (SELECT doc_id, i, regexp_matches(line, '^[A-M]') AS a, regexp_matches(line, '^[N-Z].*,') AS b,
