@@ -677,12 +677,35 @@ def similarity_links(
 
 
 def link_counts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, class_id, n_links`` of every row; links to other classes count."""
+    """``doc_id, n_shingles, class_id, n_links, component_id`` of every row.
+
+    Links to other classes count. The component is the smallest id that links reach, as in
+    ``similarity_components``: the row's own id without shingles, NULL without id.
+    """
     members, links = similarity_links(docs, width, percent)
+    members = reliable_checkpoint(members)
     ends = links.select("a").unionByName(links.select(F.col("b").alias("a")))
     counts = ends.groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("n_links"))
-    return members.join(counts, "class_id", "left").select(
-        "doc_id", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
+
+    named = members.filter(F.col("class_id").isNotNull())
+    # Classes of one id are one node of the graph.
+    several = named.groupBy("doc_id").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v"))
+    same_id = named.join(several.filter("u < v").drop("v"), "doc_id").select("u", F.col("class_id").alias("v"))
+    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same_id))
+    least = named.groupBy("class_id").agg(F.min("doc_id").alias("least"))
+    placed = reliable_checkpoint(
+        least.join(groups, F.col("class_id") == F.col("node"), "left").select(
+            "class_id", "least", F.coalesce("component", "class_id").alias("group")
+        )
+    )
+    first = placed.groupBy("group").agg(F.min("least").alias("first"))
+    by_class = placed.join(first, "group").select("class_id", "first")
+    return members.join(counts, "class_id", "left").join(by_class, "class_id", "left").select(
+        "doc_id",
+        "n_shingles",
+        "class_id",
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("first", "doc_id").alias("component_id"),
     )
 
 

@@ -152,3 +152,6 @@ def test_links_equal_brute_force(documents, sample):
     both = [c for p in want for c in p]
     assert len(counted) == len(rows)
     assert all(r.n_links == both.count(r.class_id) for r in counted)
+    named = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in counted), key=str)
+    plain = N.similarity_components(documents(rows)).collect()
+    assert named == sorted(((r.doc_id, r.n_shingles, r.component_id) for r in plain), key=str)
