@@ -2,21 +2,6 @@
 
 from __future__ import annotations
 
-import re
+from lectern.session import BATCH_BYTES, bound_batches, lean
 
-from pyspark.sql import SparkSession
-
-BATCH_BYTES = 4 << 20
-_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-
-
-def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
-    """Let Arrow batches of the session hold about ``limit`` bytes, if they may hold more.
-
-    Spark bounds batches by rows (10,000) and by 64 MB; of long texts that is more than a
-    worker needs at once, on both sides of the pipe.
-    """
-    found = re.fullmatch(r"(\d+)\s*([bkmg]?)b?", spark.conf.get(_KEY).lower())
-    if not found or int(found[1]) * _UNITS[found[2]] > limit:
-        spark.conf.set(_KEY, f"{limit}b")
+__all__ = ["BATCH_BYTES", "bound_batches", "lean"]

@@ -42,19 +42,32 @@ def _head(rows: np.ndarray, k: int) -> np.ndarray:
 
 
 class RunningBest:
-    """The k best items per query seen so far by one task."""
+    """The k best items per query seen so far by one task.
+
+    ``floor`` is a score that the k best of a query are known to reach, ``-inf`` until then.
+    """
 
     def __init__(self, n_queries: int, k: int):
-        self.k, self.bound = k, max(4 * n_queries * k, 1 << 16)
+        self.k, self.bound = k, max(2 * n_queries * k, 1 << 16)
+        self.floor = np.full(n_queries, -np.inf)
         self.parts: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         self.held = 0
 
     def add(self, rows: np.ndarray, ids: pa.Array, scores: np.ndarray) -> None:
+        if not len(rows):
+            return
         self.parts.append((rows, ids, scores))
         self.held += len(rows)
         if self.held > self.bound:
             self.parts = [self.result()]
             self.held = len(self.parts[0][0])
+            self.raise_floor(self.parts[0][0], self.parts[0][2])
+
+    def raise_floor(self, rows: np.ndarray, scores: np.ndarray) -> None:
+        """Take the least of k scores of a query as its floor; both are sorted, best first."""
+        last = np.flatnonzero(np.r_[rows[1:] != rows[:-1], True]) if len(rows) else rows
+        last = last[np.diff(np.r_[-1, last]) >= self.k]
+        self.floor[rows[last]] = np.maximum(self.floor[rows[last]], scores[last])
 
     def result(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         rows = np.concatenate([p[0] for p in self.parts])

@@ -8,9 +8,11 @@ floor, and of all other blocks only those are looked at whose bound is not below
 is that of ``operators.dense.dense_topk``: recall is 1, whatever the centres are; they decide
 only how much is skipped.
 
-Queries are dealt to blocks in tiles, so neither all queries nor all items meet in one task.
-What a search broadcasts is the table of blocks and centres: at most ``MOST_BLOCKS`` rows, for
-blocks grow with the index beyond that.
+For the floors, tiles of queries are sent to the few blocks that they meet first. With its floor
+a query is cheap to turn away, so then the queries go to where the blocks are read, in slices
+of bounded size, and nothing is shuffled or stored for the pairs that meet. What a search
+broadcasts besides is the table of blocks and centres: at most ``MOST_BLOCKS`` rows, for blocks
+grow with the index beyond that.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.vectors import SCORE_DIGITS, matrix, unit_rows
+from lectern.operators.dense import few_copies, query_slices, search_block
 from lectern.operators.topk import RunningBest, best_per_query, id_order, rank_results
-from lectern.session import reliable_checkpoint
+from lectern.session import bound_batches, lean, reliable_checkpoint, spread
 
 CENTRES, RING, MOST_BLOCKS = 1024, 512, 200_000
 _TILE = 512
+_CELLS = 1 << 20
 _SLACK = 1e-6
 
 
@@ -39,6 +43,11 @@ def _units(batch: pa.RecordBatch, vector: str) -> tuple[pa.RecordBatch, np.ndarr
     return batch.filter(pa.array(good)), rows[good]
 
 
+def _gaps(angle: np.ndarray, low, high) -> np.ndarray:
+    """Least angle between a query and the items of a block, by their angles to its centre."""
+    return np.maximum(np.maximum(angle - high, low - angle), 0.0)
+
+
 def _angles(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(rows @ centres.T, -1.0, 1.0))
 
@@ -82,7 +91,7 @@ def write_vector_index(
                     }
                 )
 
-    placed = own.mapInArrow(place, f"centre int, angle double, item_id {kind}, vector array<double>")
+    placed = own.mapInArrow(lean(place), f"centre int, angle double, item_id {kind}, vector array<double>")
     order = ["centre", "angle", "item_id"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,33 +135,25 @@ class VectorIndex:
         self._heads = [np.asarray(heads[c]) for c in ("block", "centre", "n", "low", "high")]
         self._centres = matrix(centres["vector"]) if len(centres) else np.zeros((0, 0))
 
-    def _deal(self, queries: DataFrame, query_id: str, vector: str, k: int, seeds: bool) -> DataFrame:
-        """Tiles of queries for every block that each of them has to meet.
-
-        With ``seeds`` those are the blocks of the best bounds that hold k items or more;
-        without, all blocks whose bound reaches the query's ``floor``.
-        """
+    def _deal(self, queries: DataFrame, query_id: str, vector: str, k: int) -> DataFrame:
+        """Tiles of queries for the blocks of the best bounds that hold k items or more."""
         shared = self.spark.sparkContext.broadcast((self._heads, self._centres))
         kind = queries.schema[query_id].dataType.simpleString()
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (block, centre, n, low, high), centres = shared.value
+            tile = max(1, min(_TILE, _CELLS // max(1, len(block))))
             for whole in batches:
                 whole, all_units = _units(whole, vector)
-                for at in range(0, whole.num_rows, _TILE):
-                    batch, units = whole.slice(at, _TILE), all_units[at : at + _TILE]
+                for at in range(0, whole.num_rows, tile):
+                    batch, units = whole.slice(at, tile), all_units[at : at + tile]
                     if units.shape[1] != centres.shape[1]:
                         raise ValueError(f"query vectors have {units.shape[1]} dimensions, not {centres.shape[1]}")
-                    angle = _angles(units, centres)[:, centre]
-                    least = np.maximum(np.maximum(angle - high, low - angle), 0.0)
-                    if seeds:
-                        wanted = np.zeros(least.shape, bool)
-                        order = np.argsort(least, axis=1, kind="stable")
-                        before = np.cumsum(n[order], axis=1) - n[order]
-                        np.put_along_axis(wanted, order, before < k, axis=1)
-                    else:
-                        floor = np.asarray(batch.column("floor").fill_null(-2.0))
-                        wanted = np.cos(np.minimum(least, np.pi)) >= floor[:, None] - _SLACK
+                    least = _gaps(_angles(units, centres)[:, centre], low, high)
+                    wanted = np.zeros(least.shape, bool)
+                    order = np.argsort(least, axis=1, kind="stable")
+                    before = np.cumsum(n[order], axis=1) - n[order]
+                    np.put_along_axis(wanted, order, before < k, axis=1)
                     for b in np.flatnonzero(wanted.any(axis=0)):
                         own = np.flatnonzero(wanted[:, b])
                         yield pa.RecordBatch.from_pydict(
@@ -163,7 +164,7 @@ class VectorIndex:
                             }
                         )
 
-        return queries.mapInArrow(deal, f"block long, asked array<{kind}>, vectors binary")
+        return queries.mapInArrow(lean(deal), f"block long, asked array<{kind}>, vectors binary")
 
     def _meet(self, dealt: DataFrame, k: int, query_id: str, kind: str) -> DataFrame:
         """The k best of every tile and block, by a matrix product."""
@@ -183,25 +184,82 @@ class VectorIndex:
                     rows, found, values = best.result()
                     yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows)), found, pa.array(values)], names=[query_id, "item_id", "similarity"])
 
-        return pairs.mapInArrow(run, f"`{query_id}` {kind}, item_id {item_kind}, similarity double")
+        return pairs.mapInArrow(lean(run), f"`{query_id}` {kind}, item_id {item_kind}, similarity double")
 
     def search(self, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
         """The k most similar items of every query: ``query_id, item_id, similarity, rank``."""
         return self.search_with_reads(queries, k, query_id, vector)[0]
 
+    def _scan(self, asked: DataFrame, k: int, query_id: str, vector: str, kind: str):
+        """One slice of queries, each with its floor, over all blocks: broadcast, hits, pairs compared."""
+        table = asked.toArrow()
+        ids = table[query_id].combine_chunks()
+        units = unit_rows(matrix(table[vector], ids))
+        good = ~np.isnan(units).any(axis=1) if units.size else np.zeros(len(ids), bool)
+        floor = np.asarray(table["floor"].fill_null(-np.inf))
+        shared = self.spark.sparkContext.broadcast((ids.filter(pa.array(good)), units[good], floor[good], self._centres))
+        item_kind = self.blocks.schema["ids"].dataType.elementType.simpleString()
+
+        def angles_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            """Every block of a batch with its least possible angle to the queries."""
+            _, units, _, centres = shared.value
+            last = None
+            for i in range(batch.num_rows):
+                centre, low, high = (batch.column(c)[i].as_py() for c in ("centre", "low", "high"))
+                if centre != last:
+                    last, angle = centre, _angles(units, centres[centre : centre + 1])[:, 0]
+                yield i, np.minimum(_gaps(angle, low, high), np.pi)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, units, floor, _ = shared.value
+            if not len(ids):
+                return
+            best = RunningBest(len(ids), k)
+            best.floor[:] = floor
+            for batch in batches:
+                for i, least in angles_of(batch):
+                    own = np.flatnonzero(np.cos(least) >= best.floor - _SLACK)
+                    if not len(own):
+                        continue
+                    found = batch.column("ids")[i].values
+                    items = np.frombuffer(batch.column("units")[i].as_buffer()).reshape(len(found), -1)
+                    few = few_copies(items, found, k)
+                    search_block(units[own], own, items[few], found.take(pa.array(few)), best, k)
+            if best.parts:
+                rows, found, values = best.result()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), found, pa.array(values)], names=[query_id, "item_id", "similarity"])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            floor = shared.value[2]
+            for batch in batches:
+                met = [int((np.cos(least) >= floor - _SLACK).sum()) * batch.column("n")[i].as_py() for i, least in angles_of(batch)]
+                yield pa.RecordBatch.from_pydict({"compared": pa.array(met, pa.int64())})
+
+        blocks = spread(self.blocks.select("centre", "low", "high", "ids", "units"))
+        hits = blocks.mapInArrow(lean(scan), f"`{query_id}` {kind}, item_id {item_kind}, similarity double")
+        return shared, hits, self.blocks.select("centre", "low", "high", "n").mapInArrow(count, "compared long")
+
     def search_with_reads(
         self, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "vector"
     ) -> tuple[DataFrame, DataFrame]:
-        """The hits, and how many ``(query, item)`` pairs were compared of how many there are."""
+        """The hits, and how many ``(query, item)`` pairs the floors let meet of how many there are."""
+        bound_batches(self.spark)
         own = reliable_checkpoint(queries.select(query_id, vector).filter(F.col(vector).isNotNull()))
         kind = own.schema[query_id].dataType.simpleString()
-        seeds = reliable_checkpoint(self._deal(own, query_id, vector, k, True))
+        seeds = reliable_checkpoint(self._deal(own, query_id, vector, k))
         first = rank_results(self._meet(seeds, k, query_id, kind), k, query_id, "item_id", "similarity")
         floors = first.groupBy(query_id).agg(F.count("*").alias("__n"), F.min("similarity").alias("floor"))
         floors = floors.filter(F.col("__n") == k).select(F.col(query_id).alias("__query"), "floor")
         floored = own.join(floors, F.col(query_id) == F.col("__query"), "left").select(query_id, vector, "floor")
-        dealt = reliable_checkpoint(self._deal(floored, query_id, vector, k, False))
-        hits = rank_results(self._meet(dealt, k, query_id, kind), k, query_id, "item_id", "similarity")
-        sizes = self.blocks.select("block", "n")
-        compared = dealt.join(sizes, "block").agg(F.coalesce(F.sum(F.size("asked") * F.col("n").cast("long")), F.lit(0)).alias("compared"))
-        return hits, compared.select("compared", (F.lit(own.count()) * F.lit(self.n_items)).alias("pairs"))
+        parts = query_slices(reliable_checkpoint(floored), query_id, vector, [])
+        hits = compared = None
+        for part in parts:
+            shared, found, met = self._scan(part, k, query_id, vector, kind)
+            if len(parts) > 1:
+                found = reliable_checkpoint(rank_results(found, k, query_id, "item_id", "similarity").drop("rank"))
+                shared.unpersist()
+            hits = found if hits is None else hits.unionByName(found)
+            compared = met if compared is None else compared.unionByName(met)
+        total = compared.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
+        reads = total.select("compared", (F.lit(own.count()) * F.lit(self.n_items)).alias("pairs"))
+        return rank_results(hits, k, query_id, "item_id", "similarity"), reads
