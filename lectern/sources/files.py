@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from lectern.functions import fixed
 from lectern.operators.layout import index_lines, page_item_markdown, usable_items
 from lectern.operators.scans import global_offsets
-from lectern.session import reliable_checkpoint
+from lectern.session import reliable_checkpoint, stored
 
 CHUNK_SCHEMA = T.StructType(
     [
@@ -46,23 +48,59 @@ def document_id_of(path: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), _stem(path))
 
 
-def read_full_documents(
-    spark: SparkSession, root: str, pattern: str = f"*{fixed.FULL_DOCUMENT}*.md"
-) -> DataFrame:
-    """All full-document files (markdown by default) below a folder: ``doc_id, source_file, text``.
+def _glob(pattern: str) -> str:
+    """A file name pattern as Spark takes it, as a regular expression."""
+    out, depth = "", 0
+    for part in re.findall(r"\[[^\]]+\]|.", pattern, re.DOTALL):
+        if len(part) > 1:
+            out += "[^" + part[2:] if part[1] in "!^" else part
+        elif part in "*?":
+            out += ".*" if part == "*" else "."
+        elif part in "{},":
+            depth += (part == "{") - (part == "}")
+            out += {"{": "(?:", "}": ")", ",": "|" if depth else ","}[part]
+        else:
+            out += re.escape(part)
+    return rf"(?s)\A{out}\z"
 
-    Spark skips files and folders whose name begins with an underscore or a dot.
+
+def write_packs(found: DataFrame, path: str) -> None:
+    """Files, ``path`` (relative) and ``content``, many to a Parquet file, earlier output replaced.
+
+    A file and a folder for each of very many documents cost their names more than their
+    bytes: every one is made, listed and opened by itself.
     """
+    found.select("path", "content").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def _found(spark: SparkSession, root: str, pattern: str, packs: str | None) -> DataFrame:
+    """``path, content`` of all files below a folder, and of those in packs, that have such a name."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(root)
+        .select("path", "content")
     )
+    if packs is not None:
+        packed = spark.read.schema("path string, content binary").parquet(packs)
+        hidden = F.col("path").rlike(r"(?:^|/)[_.]")
+        files = files.unionByName(packed.filter(_file_name(F.col("path")).rlike(_glob(pattern)) & ~hidden))
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no file named {pattern} below {root}")
+    return files
+
+
+def read_full_documents(
+    spark: SparkSession, root: str, pattern: str = f"*{fixed.FULL_DOCUMENT}*.md", packs: str | None = None
+) -> DataFrame:
+    """All full-document files (markdown by default) below a folder: ``doc_id, source_file, text``.
+
+    Spark skips files and folders whose name begins with an underscore or a dot. ``packs``
+    names a folder of :func:`write_packs` whose files count as well.
+    """
     path = F.col("path")
-    return files.select(
+    return _found(spark, root, pattern, packs).select(
         document_id_of(path).alias("doc_id"),
         _file_name(path).alias("source_file"),
         decode_utf8(F.col("content"), drop_invalid=True).alias("text"),
@@ -70,18 +108,10 @@ def read_full_documents(
 
 
 def read_page_files(
-    spark: SparkSession, root: str, pattern: str = "[pP][aA][gG][eE]*.md"
+    spark: SparkSession, root: str, pattern: str = "[pP][aA][gG][eE]*.md", packs: str | None = None
 ) -> DataFrame:
-    """All page files (markdown by default) below a folder: ``file, path, text``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
-    if files.select("path").isEmpty():
-        raise FileNotFoundError(f"no file named {pattern} below {root}")
-    return files.select(
+    """All page files (markdown by default) below a folder, and in ``packs``: ``file, path, text``."""
+    return _found(spark, root, pattern, packs).select(
         _file_name(F.col("path")).alias("file"),
         "path",
         decode_utf8(F.col("content"), drop_invalid=False).alias("text"),
@@ -170,6 +200,11 @@ def read_by_document(spark: SparkSession, path: str, document: str, schema: T.St
     return rows.alias("o").join(wanted.alias("w"), same, "left_semi")
 
 
+def read_by_size(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All rows that :func:`write_by_size` has written."""
+    return spark.read.schema(schema).json(path).drop("file")
+
+
 def write_chunks(chunks: DataFrame, path: str, by_document: bool = False) -> None:
     """Chunk records as JSON lines, earlier output replaced.
 
@@ -263,13 +298,17 @@ def write_page_texts(items: DataFrame, path: str) -> None:
     ).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
-def write_document_lines(lines: DataFrame, path: str) -> None:
+def write_document_lines(lines: DataFrame, path: str, by_size: bool = False) -> None:
     """Full documents as text, one folder per document (``doc_id=...``).
 
     ``lines`` are the rows of ``layout.document_lines``. They are sorted over all tasks, so a
-    long document is several files whose names give their order.
+    long document is several files whose names give their order. ``by_size`` writes them in
+    files of bounded size with offsets (:func:`write_by_size`): for very many documents.
     """
     order = ["doc_id", "item_pos", "line_no"]
+    if by_size:
+        write_by_size(stored(lines), path, "doc_id", order[1:])
+        return
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select(
         "doc_id", F.col("line").alias("value")
     ).write.mode("overwrite").partitionBy("doc_id").text(path)
@@ -289,13 +328,21 @@ def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_index(stats: DataFrame, path: str) -> None:
-    """Index lines as text below a header, one folder per document, in page order."""
+def write_index(stats: DataFrame, path: str, by_size: bool = False) -> None:
+    """Index lines as text below a header, one folder per document, in page order.
+
+    ``by_size`` writes ``doc_id, page_no, line`` (the header is page 0) in files of bounded size
+    with offsets (:func:`write_by_size`): for very many documents.
+    """
     order = ["doc_id", "page_no"]
+    stats = stored(stats) if by_size else stats
     head = stats.groupBy("doc_id").agg(F.count("*").alias("n")).select(
         "doc_id", F.lit(0).alias("page_no"), F.format_string("# Page index (%d pages)", "n").alias("line")
     )
-    lines = head.unionByName(index_lines(stats)).repartitionByRange(*order).sortWithinPartitions(*order)
-    lines.select("doc_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy(
+    lines = head.unionByName(index_lines(stats))
+    if by_size:
+        write_by_size(lines.select(*order, "line"), path, "doc_id", ["page_no"])
+        return
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy(
         "doc_id"
     ).text(path)
