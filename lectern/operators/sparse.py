@@ -16,11 +16,11 @@ from lectern.functions import fixed
 from lectern.functions.arrays import rows_of
 from lectern.functions.vectors import SCORE_DIGITS
 from lectern.operators.topk import RunningBest, rank_results
-from lectern.session import reliable_checkpoint
+from lectern.session import bound_batches, lean, reliable_checkpoint
 
 # Query terms go to the tasks in slices of about this many, one pass over the texts each.
 BROADCAST_TERMS = 200_000
-_CELLS = 1 << 22
+_CELLS = 1 << 19
 
 
 def words(text: Column) -> Column:
@@ -51,6 +51,7 @@ def bm25_topk(
     common word costs no shuffle. Query terms beyond ``broadcast_terms`` are cut into slices
     of whole queries; each slice is searched, and its result stored, before the next is sent.
     """
+    bound_batches(items.sparkSession)
     terms = query_terms(queries.filter(F.col(query_text).isNotNull()), query_id, query_text)
     texts = items.filter(F.col(item_text).isNotNull()).select(
         item_id, words(F.col(item_text)).alias("words")
@@ -157,4 +158,4 @@ def _score_in_place(terms, texts, k, query_id, item_id, schema):
                 [query_ids.take(pa.array(rows)), found, pa.array(scores)], names=names
             )
 
-    return shared, texts.mapInArrow(scan, schema)
+    return shared, texts.mapInArrow(lean(scan), schema)

@@ -13,13 +13,14 @@ from lectern.operators.fusion import reciprocal_rank_fusion
 from lectern.operators.metrics import gold_matches, retrieval_metrics
 from lectern.operators.rerank import rerank
 from lectern.operators.sparse import bm25_topk
-from lectern.session import reliable_checkpoint
+from lectern.session import bound_batches, reliable_checkpoint
 
 Embed = Callable[[Column], Column]
 Score = Callable[[Column, Column], Column]
 
 
 def with_vectors(texts: DataFrame, key: str, embed: Embed, text: str = "text") -> DataFrame:
+    bound_batches(texts.sparkSession)
     return texts.select(key, embed(F.col(text)).alias("vector"))
 
 
