@@ -22,7 +22,7 @@ documents without hits); other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.batches import bound_batches
+from lectern.llm.batches import bound_batches, lean
 from lectern.llm.textkit import WORD_BYTES, find_words, hash_words, slices
 
 WINDOW = 10
@@ -224,51 +224,64 @@ def _part_of(ids: list[str], automaton: Automaton, column: pa.Array) -> Iterator
             yield b - a, spans, {ids[item] for *_, item in found}
 
 
+_SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("longest", pa.int32())])
+
+
+def _tagged(batch: pa.RecordBatch, ids: list[str], automaton: Automaton, again: bool) -> pa.RecordBatch:
+    """A batch with the words, spans and items found by one part, added to those found before."""
+    rows = list(_part_of(ids, automaton, batch.column("text")))
+    if again:
+        before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
+        rows = [
+            (n, merge_spans(spans + [tuple(s.values()) for s in old]), found | set(known))
+            for (n, spans, found), (old, known) in zip(rows, before, strict=True)
+        ]
+    names = [n for n in batch.schema.names if n not in ("n_words", "spans", "items")]
+    columns = [batch.column(n) for n in names]
+    columns += [
+        pa.array([n for n, _, _ in rows], pa.int64()),
+        pa.array(
+            [[dict(zip(("first", "last", "longest"), s, strict=True)) for s in spans] for _, spans, _ in rows],
+            pa.list_(_SPAN),
+        ),
+        pa.array([sorted(found) for *_, found in rows], pa.list_(pa.string())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [*names, "n_words", "spans", "items"])
+
+
+def _fields(docs: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+
 def tag_items(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    max_words: int = MAX_WORDS,
+    then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    schema: str | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` and ``n_words``, ``spans`` and ``items`` of each.
 
     Spans are ranges of word numbers, disjoint and ascending, each with its longest match.
-    Columns of ``docs`` with the new names are replaced.
+    Columns of ``docs`` with the new names are replaced. ``then`` turns the tagged batches into
+    others, of ``schema``, in the task that tagged them.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.drop("n_words", "spans", "items")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema = f"{fields}, {_FOUND}"
     parts = list(item_parts(items, window, max_words)) or [([], Automaton(window))]
-    tagged = docs
+    tagged, own = docs, f"{_fields(docs)}, {_FOUND}"
     for number, part in enumerate(parts):
         shared = spark.sparkContext.broadcast(part)
+        last = then if number == len(parts) - 1 else None
 
-        def run(batches, shared=shared, again=number > 0):
-            ids, automaton = shared.value
+        def run(batches, shared=shared, again=number > 0, last=last):
             for batch in batches:
-                rows = list(_part_of(ids, automaton, batch.column("text")))
-                if again:
-                    before = zip(
-                        batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True
-                    )
-                    rows = [
-                        (n, merge_spans(spans + [tuple(s.values()) for s in old]), found | set(known))
-                        for (n, spans, found), (old, known) in zip(rows, before, strict=True)
-                    ]
-                names = [n for n in batch.schema.names if n not in ("n_words", "spans", "items")]
-                columns = [batch.column(n) for n in names]
-                span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("longest", pa.int32())])
-                columns += [
-                    pa.array([n for n, _, _ in rows], pa.int64()),
-                    pa.array(
-                        [[dict(zip(("first", "last", "longest"), s, strict=True)) for s in spans]
-                         for _, spans, _ in rows],
-                        pa.list_(span),
-                    ),
-                    pa.array([sorted(found) for *_, found in rows], pa.list_(pa.string())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "spans", "items"])
-
-        tagged = tagged.mapInArrow(run, schema)
+                found = _tagged(batch, *shared.value, again)
+                yield last(found) if last else found
+
+        tagged = tagged.mapInArrow(lean(run), schema if last else own)
     return tagged
 
 
@@ -315,26 +328,22 @@ def remove_items(
         *[F.col(f"`{c}`").alias("text" if c == "text" else f"__{i}") for i, c in enumerate(docs.columns)]
     )
     names = inside.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inside.schema)
-    tagged = tag_items(inside, items, window)
-    covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["last"] - s["first"])
-    kept = tagged.filter(covered <= F.lit(max_coverage) * F.col("n_words")).drop("n_words", "items")
-
-    def cut(batches):
-        for batch in batches:
-            texts = batch.column("text")
-            spans = batch.column("spans").to_pylist()
-            if any(spans):
-                values = texts.to_pylist()
-                for i, found in enumerate(spans):
-                    if found:
-                        ranges = [(s["first"], s["last"]) for s in found]
-                        values[i] = cut_spans(values[i].encode(), ranges).decode()
-                texts = pa.array(values, texts.type)
-            columns = [texts if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return kept.mapInArrow(cut, fields).toDF(*docs.columns)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = batch.column("spans").to_pylist()
+        covered = np.array([sum(s["last"] - s["first"] for s in spans) for spans in found], dtype=np.int64)
+        keep = covered <= max_coverage * batch.column("n_words").to_numpy()
+        texts = batch.column("text")
+        if covered.any():
+            values = texts.to_pylist()
+            for i in np.flatnonzero(keep & (covered > 0)).tolist():
+                ranges = [(s["first"], s["last"]) for s in found[i]]
+                values[i] = cut_spans(values[i].encode(), ranges).decode()
+            texts = pa.array(values, texts.type)
+        columns = [texts if n == "text" else batch.column(n) for n in names]
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
+    return tag_items(inside, items, window, then=cut, schema=_fields(inside)).toDF(*docs.columns)
 
 
 # The same rule for DuckDB: every window of every text against the windows of the items.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.batches import bound_batches
+from lectern.llm.batches import bound_batches, lean
 from lectern.llm.sampling import labelled_sample, remainder
 from lectern.llm.textkit import LOWER, Texts, slices
 
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 [*names, "lang_pred", "lang_score"],
             )
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
+    return docs.mapInArrow(lean(run), f"{fields}, lang_pred string, lang_score double")
 
 
 def language_table(docs: DataFrame) -> DataFrame:

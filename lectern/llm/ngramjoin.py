@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from lectern.llm.batches import bound_batches
 from lectern.llm.components import components
 from lectern.llm.textkit import find_words, hash_words, mix, shingle_hashes, slices
-from lectern.session import reliable_checkpoint, scratch_path
+from lectern.session import lean, reliable_checkpoint, scratch_path
 
 WIDTH = 4
 PERCENT = 85
@@ -139,7 +139,7 @@ def _scan(docs: DataFrame, width: int, ranges: int) -> DataFrame:
                 )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(run, _SCAN)
+    return own.mapInArrow(lean(run), _SCAN)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -226,7 +226,7 @@ def _postings(docs: DataFrame, levels: np.ndarray, width: int, percent: int) ->
                 list(_LIST),
             )
 
-    return docs.select("text").mapInArrow(run, _LIST_TYPE)
+    return docs.select("text").mapInArrow(lean(run), _LIST_TYPE)
 
 
 _LIST = ("token", "n", "pos", "cls")
@@ -267,7 +267,7 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
                 [pa.array(x[keep]) for x in (token, n, pos, cls)], list(_LIST)
             )
 
-    return _by_token(postings).mapInArrow(run, _LIST_TYPE)
+    return _by_token(postings).mapInArrow(lean(run), _LIST_TYPE)
 
 
 def _room(n, pos, i, j, percent: int) -> np.ndarray:
@@ -372,7 +372,7 @@ def _first_round(lists: DataFrame, percent: int) -> DataFrame:
         for token, n, pos, cls in _lists(batches, _LIST):
             yield _emit(n, pos, cls, *centre_pairs(token, n, pos, cls, percent))
 
-    return _candidates(lists.mapInArrow(run, _PAIR), percent)
+    return _candidates(lists.mapInArrow(lean(run), _PAIR), percent)
 
 
 def _by_token(lists: DataFrame) -> DataFrame:
@@ -392,7 +392,7 @@ def _mixed_lists(lists: DataFrame) -> DataFrame:
                 [pa.array(x[keep]) for x in (token, n, pos, cls, group)], names
             )
 
-    return lists.mapInArrow(run, f"{_LIST_TYPE}, group bigint")
+    return lists.mapInArrow(lean(run), f"{_LIST_TYPE}, group bigint")
 
 
 def _second_round(lists: DataFrame, percent: int) -> DataFrame:
@@ -418,7 +418,7 @@ def _second_round(lists: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield _emit(n, pos, cls, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    return _candidates(lists.mapInArrow(run, _PAIR), percent)
+    return _candidates(lists.mapInArrow(lean(run), _PAIR), percent)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -460,7 +460,7 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
                 [pa.array(classes, pa.int64()), pa.array(items, pa.binary())], ["cls", "items"]
             )
 
-    made = docs.select("text").mapInArrow(run, "cls bigint, items binary")
+    made = docs.select("text").mapInArrow(lean(run), "cls bigint, items binary")
     return made.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -480,7 +480,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "x", "y").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _round(
@@ -602,7 +602,7 @@ def _described(links: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
 
     joined = own.join(sets, "cls").join(base_sets, "base").select("cls", "base", "items", "whole")
     return joined.mapInArrow(
-        run, "cls bigint, base bigint, size bigint, base_size bigint, gone binary, new binary"
+        lean(run), "cls bigint, base bigint, size bigint, base_size bigint, gone binary, new binary"
     )
 
 
@@ -631,7 +631,7 @@ def _derived(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
 
     right = side("b").drop("base_size").withColumnRenamed("base", "__base")
     joined = pairs.join(side("a"), "a").join(right, "b").filter(F.col("base") == F.col("__base"))
-    return joined.drop("base", "__base").mapInArrow(run, "a bigint, b bigint")
+    return joined.drop("base", "__base").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def similarity_links(
