@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.functions.vectors import norm
-from lectern.session import reliable_checkpoint
+from lectern.session import reliable_checkpoint, stored
 
 SLOTS = 64
 
@@ -181,51 +181,59 @@ def merge_points(batch: DataFrame, name: str, whole_documents: bool = False) ->
     that is applied again changes nothing and a late one does not undo a newer. With
     ``whole_documents`` a document's points are those of its newest version: what an earlier
     version had besides goes. Rows without id or vector are set aside. The counts
-    (``added, replaced, late, removed, set_aside``) are taken while rows are written.
+    (``added, replaced, late, removed, set_aside``) are returned. Where no stored point makes
+    way, the new ones are appended; else the slots that change are written anew.
     """
     spark = batch.sparkSession
+    table = spark.table(name)
+    columns = [c for c in table.columns if c != "slot"]
     usable = F.col("id").isNotNull() & F.col("vector").isNotNull()
-    seen, merged_rows = Observation(), Observation()
-    counted = batch.observe(seen, F.count_if(~usable).alias("set_aside")).filter(usable)
-    by = F.struct(F.col("version"), F.to_json("payload"), F.to_json("vector"))
-    new = reliable_checkpoint(
-        counted.groupBy("id").agg(F.max_by(F.struct("vector", "payload", "version"), by).alias("__p")).select("id", "__p.*")
-    )
-    stored = spark.table(name)
-    document = F.col("payload.document_id")
-    touched = _with_slot(new).select("slot")
-    documents = new.select(document.alias("__document")).distinct()
-    if whole_documents:
-        of_documents = stored.join(documents, document.eqNullSafe(F.col("__document")), "left_semi")
-        touched = touched.unionByName(of_documents.select("slot"))
-    slots = [r["slot"] for r in touched.distinct().collect()]  # at most SLOTS
-    counts = {"added": 0, "replaced": 0, "late": 0, "removed": 0, "set_aside": seen.get["set_aside"]}
-    if not slots:
-        return counts
-    old = stored.filter(F.col("slot").isin(slots)).drop("slot")
-    both = old.withColumn("__new", F.lit(False)).unionByName(new.select(*old.columns).withColumn("__new", F.lit(True)))
-    content = F.struct("vector", "payload", "version", "__new")
-    best = both.groupBy("id").agg(
-        F.max_by(content, F.struct("version", "__new")).alias("__p"),
-        F.bool_or("__new").alias("__asked"), F.bool_or(~F.col("__new")).alias("__stored"),
-    ).select("id", "__p.*", "__asked", "__stored")
+    seen = Observation()
+    new = stored(batch.select(*columns).observe(seen, F.count_if(~usable).alias("set_aside")).filter(usable))
+    repeated = reliable_checkpoint(new.groupBy("id").count().filter("count > 1").select("id"))
+    if not repeated.isEmpty():
+        by = F.struct(F.col("version"), F.to_json("payload"), F.to_json("vector"))
+        last = new.join(repeated, "id", "left_semi").groupBy("id").agg(
+            F.max_by(F.struct(*[c for c in columns if c != "id"]), by).alias("__p")
+        )
+        new = stored(new.join(repeated, "id", "left_anti").unionByName(last.select("id", "__p.*")))
+
+    # Ids, versions and documents decide; of whole points only those move that change place.
+    def facts(rows: DataFrame, own: bool) -> DataFrame:
+        return rows.select("id", "version", F.col("payload.document_id").alias("document"), F.lit(own).alias("own"))
+
+    best = facts(new, True).unionByName(facts(table, False)).groupBy("id").agg(
+        F.max_by(F.struct("version", "document", "own"), F.struct("version", "own")).alias("__p"),
+        F.bool_or("own").alias("asked"), F.bool_or(~F.col("own")).alias("stored"),
+    ).select("id", "__p.*", "asked", "stored")
     outdated = F.lit(False)
     if whole_documents:
-        newest = best.groupBy(document.alias("__document")).agg(F.max("version").alias("__newest"))
-        newest = newest.join(documents.withColumnRenamed("__document", "__d"), F.col("__document").eqNullSafe(F.col("__d")), "left_semi")
-        best = best.join(newest, document.eqNullSafe(F.col("__document")), "left")
+        documents = facts(new, True).select(F.col("document").alias("__d")).distinct()
+        newest = best.groupBy(F.col("document").alias("__document")).agg(F.max("version").alias("__newest"))
+        newest = newest.join(documents, F.col("__document").eqNullSafe(F.col("__d")), "left_semi")
+        best = best.join(newest, F.col("document").eqNullSafe(F.col("__document")), "left")
         outdated = F.coalesce(F.col("version") < F.col("__newest"), F.lit(False))
-    won = F.col("__new") & ~F.col("__outdated")
-    judged = best.withColumn("__outdated", outdated).observe(
-        merged_rows,
-        F.count_if(won & ~F.col("__stored")).alias("added"),
-        F.count_if(won & F.col("__stored")).alias("replaced"),
-        F.count_if(F.col("__asked") & ~won).alias("late"),
-        F.count_if(F.col("__outdated") & F.col("__stored")).alias("removed"),
+    judged = stored(
+        best.select("id", "own", "asked", "stored", outdated.alias("outdated")).filter("asked OR outdated")
     )
-    rows = reliable_checkpoint(_with_slot(judged.filter(~F.col("__outdated")).select(*old.columns)))
-    _overwrite(rows, name, slots)
-    return counts | merged_rows.get
+    won = F.col("own") & ~F.col("outdated")
+    counts = judged.agg(
+        F.count_if(won & ~F.col("stored")).alias("added"),
+        F.count_if(won & F.col("stored")).alias("replaced"),
+        F.count_if(F.col("asked") & ~won).alias("late"),
+        F.count_if(F.col("outdated") & F.col("stored")).alias("removed"),
+    ).first().asDict() | {"set_aside": seen.get["set_aside"]}
+    if counts["late"]:
+        new = new.join(judged.filter(F.col("asked") & ~won).select("id"), "id", "left_anti")
+    gone = judged.filter(F.col("stored") & (F.col("own") | F.col("outdated"))).select("id")
+    if gone.isEmpty():
+        if counts["added"]:
+            _with_slot(new).write.mode("append").insertInto(name)
+        return counts
+    slots = [r["slot"] for r in _with_slot(gone.unionByName(new.select("id"))).select("slot").distinct().collect()]  # at most SLOTS
+    kept = table.filter(F.col("slot").isin(slots)).select(*columns).join(gone, "id", "left_anti")
+    _overwrite(stored(_with_slot(kept.unionByName(new))), name, slots)
+    return counts
 
 
 def vector_stats(vectors: DataFrame, vector: str = "vector") -> DataFrame:

@@ -15,19 +15,20 @@ what the other terms add from their own rows. The result is that of ``operators.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.arrays import rows_of
 from lectern.functions.vectors import SCORE_DIGITS
 from lectern.operators.sparse import query_terms, words
 from lectern.operators.topk import rank_results
-from lectern.session import reliable_checkpoint
+from lectern.session import bound_batches, lean, reliable_checkpoint, stored
 
 BLOCK = 128
 _SLACK = 1e-6
@@ -58,6 +59,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items' words to a map of their frequencies, and their number."""
+    for batch in batches:
+        lists = batch.column("words")
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        size = max(1, len(words.dictionary))
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        found, tf = np.unique(row * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        offsets = np.searchsorted(found, np.arange(len(lengths) + 1) * size).astype(np.int32)
+        terms = pa.MapArray.from_arrays(offsets, words.dictionary.take(pa.array(found % size)), pa.array(tf.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("item_id"), terms, pa.array(lengths.astype(np.int32))], ["item_id", "terms", "length"]
+        )
+
+
 def add_to_index(items: DataFrame, path: str, item_id: str = "item_id", text: str = "text") -> None:
     """Write the index of ``items``, or add them to the one that is there.
 
@@ -65,22 +82,21 @@ def add_to_index(items: DataFrame, path: str, item_id: str = "item_id", text: st
     """
     own = items.filter(F.col(text).isNotNull()).select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("words"))
     kind = own.schema["item_id"].dataType.simpleString()
-    found = rows_of(own.select("item_id", "words"), ["item_id"], F.col("words"), "__i", "term")
-    counted = found.groupBy("item_id", "term").agg(F.count("*").cast("int").alias("tf"))
-    per_item = counted.groupBy("item_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("terms"), F.sum("tf").cast("int").alias("length")
-    )
-    empty = own.filter(F.size("words") == 0).select(
-        "item_id", F.create_map().cast("map<string,int>").alias("terms"), F.lit(0).alias("length")
-    )
-    rows = reliable_checkpoint(per_item.unionByName(empty))
-    rows.write.mode("append").parquet(f"{path}/items")
+    repeated = reliable_checkpoint(own.groupBy("item_id").count().filter("count > 1").select(F.col("item_id").alias("__same")))
+    if not repeated.isEmpty():
+        # Rows with words that have one id are one item.
+        same = F.col("item_id").eqNullSafe(F.col("__same"))
+        several, empty = own.join(repeated, same, "left_semi"), F.size("words") == 0
+        joined = several.filter(~empty).groupBy("item_id").agg(F.flatten(F.collect_list("words")).alias("words"))
+        own = own.join(repeated, same, "left_anti").unionByName(several.filter(empty)).unionByName(joined)
+    bound_batches(items.sparkSession)
+    part = f"{path}/items/batch={uuid.uuid4().hex}"
+    own.mapInArrow(lean(_counted), f"item_id {kind}, terms map<string,int>, length int").write.parquet(part)
+    rows = items.sparkSession.read.parquet(part)
     single = rows.select("item_id", "length", F.explode("terms").alias("term", "tf"))
-    weight = F.col("tf") / (F.col("tf") + F.col("length") / 100)
-    order = ["term", F.desc("__weight"), "item_id"]
-    placed = single.select("*", weight.alias("__weight"))
-    packed = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__weight").mapInArrow(
-        _blocks,
+    order = [F.col("term"), (F.col("tf") / (F.col("tf") + F.col("length") / 100)).desc(), F.col("item_id")]
+    packed = single.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        lean(_blocks),
         f"term string, n int, max_tf int, min_length int, ids array<{kind}>, tfs array<int>, lengths array<int>",
     )
     packed.withColumn("block", F.expr("uuid()")).write.mode("append").parquet(f"{path}/postings")
@@ -97,7 +113,7 @@ class KeywordIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.postings = spark.read.parquet(f"{path}/postings")
-        self.items = spark.read.parquet(f"{path}/items")
+        self.items = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/items")
         sums = self.items.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         self.n_items = sums[0]
         self.average = sums[1] / sums[0] if sums[1] else 1.0
@@ -106,7 +122,7 @@ class KeywordIndex:
         """Query terms with rarity and greatest weight, and the bounds of their blocks."""
         bound = _weight(F.col("max_tf"), F.col("min_length"), self.average)
         heads = self.postings.select("term", "block", "n", bound.alias("bound"))
-        heads = reliable_checkpoint(heads.join(terms.select("term").distinct(), "term", "left_semi"))
+        heads = stored(heads.join(terms.select("term").distinct(), "term", "left_semi"))
         df = F.col("df")
         stats = heads.groupBy("term").agg(F.sum("n").alias("df"), F.max("bound").alias("most")).select(
             "term", "df", F.log(F.lit(1.0) + (F.lit(self.n_items) - df + 0.5) / (df + 0.5)).alias("idf"), "most"
@@ -167,8 +183,8 @@ class KeywordIndex:
         asked, heads = self._asked(terms)
         floors = reliable_checkpoint(self._floors(asked, heads, k))
         wanted, spare = self._wanted(asked, heads, floors)
-        wanted = reliable_checkpoint(wanted)
-        partial = reliable_checkpoint(self._partial(wanted.drop("n")))
+        wanted = stored(wanted)
+        partial = stored(self._partial(wanted.drop("n")))
         # No item's score is below its partial score, so the k-th of these is a better floor.
         least = rank_results(partial, k, "query_id", "item_id", "score").groupBy("query_id").agg(
             F.count("*").alias("__n"), F.min("score").alias("__least")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.session import bound_batches, stored
 from lectern.sources.collection import merge_points, points
 from lectern.sources.files import CHUNK_SCHEMA
 
@@ -78,8 +79,18 @@ def merge_stream(
     def merge(batch: DataFrame, batch_id: int) -> None:
         if not applied_batches(spark, ledger).filter(F.col("batch") == batch_id).isEmpty():
             return
-        newest = batch.groupBy(F.col("document_id").alias("__d")).agg(F.max("__time").alias("version"))
-        dated = batch.join(newest, F.col("document_id").eqNullSafe(F.col("__d")), "left")
+        bound_batches(spark)
+        times = batch.groupBy(F.col("document_id").alias("__d")).agg(
+            F.min("__time").alias("__oldest"), F.max("__time").alias("version")
+        )
+        # Most documents stand in one file, whose time is known on the spot.
+        several = stored(times.filter("__oldest < version").select("__d", "version"))
+        if several.isEmpty():
+            dated = batch.withColumn("version", F.col("__time"))
+        else:
+            dated = batch.join(several, F.col("document_id").eqNullSafe(F.col("__d")), "left").withColumn(
+                "version", F.coalesce("version", "__time")
+            )
         counts = merge_points(points(dated, embed, "version"), name, whole_documents)
         row = (batch_id, *[counts[c] for c in ("added", "replaced", "late", "removed", "set_aside")])
         spark.createDataFrame([row], _LEDGER).coalesce(1).write.mode("append").json(ledger)
