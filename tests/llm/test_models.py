@@ -183,6 +183,35 @@ def test_gate_follows_the_text():
     assert lm.mixed_lines(words, known, 0.0) == -300
 
 
+def test_words_are_predicted_from_the_words_before(documents):
+    pairs = [("apple", "river"), ("stone", "candle"), ("window", "garden"), ("copper", "violin")]
+    picks = np.random.default_rng(5).integers(0, 4, (300, 12))
+    train = [i for i in range(1000) if crc(i, 10)][:300]
+    held = [i for i in range(1000) if not crc(i, 10)][:2]
+    rows = [(i, " ".join(w for p in pick for w in pairs[p])) for i, pick in zip(train, picks, strict=True)]
+    order = [0, 2, 1, 3, 3, 0]
+    rows.append((held[0], " ".join(w for p in order for w in pairs[p])))
+    rows.append((held[1], " ".join(w for p in order for w in pairs[p][::-1])))
+    got = {r.doc_id: r for r in check_scores(documents, rows)}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 6
+
+
+def test_pieces_of_a_text_score_as_the_whole(sample, monkeypatch):
+    texts = pa.array([(t or "").lower() for _, t, *_ in sample[:30]] + ["", "a \n b" * 100])
+    (_, _, sliced) = next(lm.slices(texts))
+    counts = np.zeros(2 * lm.SLOTS, np.uint32)
+    lm.count_texts(sliced, counts)
+    zeros, ones = np.split(counts, 2)
+    tables, train = lm.Tables(lm.rounded_odds(ones, zeros), lm.TABLE_BITS), np.arange(len(texts)) % 2
+    whole = lm.score_texts(sliced, train, tables, lm.Mixer())
+    in_parts = np.zeros_like(counts)
+    monkeypatch.setattr(lm, "PIECE", 257)
+    assert lm.score_texts(sliced, train, tables, lm.Mixer()) == pytest.approx(whole, rel=1e-9)
+    lm.count_texts(sliced, in_parts)
+    assert (in_parts == counts).all()
+
+
 # Token counts ---------------------------------------------------------------------------
 
 STRANGE = [
