@@ -1,5 +1,6 @@
 import collections
 import math
+import pickle
 import random
 import zlib
 
@@ -212,6 +213,75 @@ def test_pieces_of_a_text_score_as_the_whole(sample, monkeypatch):
     assert (in_parts == counts).all()
 
 
+def coded_tables(rows):
+    """Texts of rows, and tables of them by the bytes' own code."""
+    (_, _, texts) = next(lm.slices(pa.array([(t or "").lower() for _, t, *_ in rows]), 1 << 40))
+    code = lm.shortest_code(np.bincount(texts.data, minlength=256))
+    counts = np.zeros(2 * lm.SLOTS, np.uint32)
+    lm.count_texts(texts, counts, lm.TABLE_BITS, code)
+    zeros, ones = np.split(counts, 2)
+    return texts, lm.Tables(lm.rounded_odds(ones, zeros), lm.TABLE_BITS, code)
+
+
+def test_bits_of_a_short_code_are_predicted(sample, monkeypatch):
+    texts, tables = coded_tables(sample[:60])
+    assert sum(2.0 ** -int(n) for n in tables.code.lengths) == 1
+    predicted, probability = [], lm.Mixer.probability
+
+    def counted(self, odds, bit, value):
+        predicted.append(len(value))
+        return probability(self, odds, bit, value)
+
+    monkeypatch.setattr(lm.Mixer, "probability", counted)
+    scores = lm.score_texts(texts, np.ones(len(texts), np.int64), tables, lm.Mixer())
+    assert np.isfinite(scores).all() and (scores < 0).all()
+    assert sum(predicted) < 6 * len(texts.data)
+
+
+def test_coded_bytes_are_a_distribution(sample):
+    _, tables = coded_tables(sample[:20])
+    mixer, every = lm.Mixer(), np.arange(256, dtype=np.uint8)
+    for text in (b"a", b"the ", b"zq"):
+        (_, symbols, _, contexts), = lm._runs(lm._whole(pa.array([text], pa.binary())))
+        near = np.repeat(contexts[:, -1:], 256, axis=1)
+        total = 0.0
+        for _, part, own in lm._steps(every, near, 256, tables.code):
+            product = np.ones(256)
+            for bit, value, odds in lm._odds(part, own, tables):
+                product[: len(value)] *= mixer.probability(odds, bit, value)
+            total += product.sum()
+        assert symbols[-1] == lm.END and total == pytest.approx(1, rel=1e-4)
+
+
+def test_tables_of_little_text_take_little_room(sample):
+    _, tables = coded_tables(sample[:20])
+    packed = pickle.dumps(tables)
+    assert len(packed) < len(tables.odds) / 10
+    again = pickle.loads(packed)
+    assert (again.odds == tables.odds).all() and again.bits == tables.bits
+
+
+def test_small_counts_are_kept_whole():
+    ones, zeros = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(3)))
+    odds = lambda a, b: np.log((np.maximum(a, 0) + lm.PRIOR) / (np.maximum(b, 0) + lm.PRIOR))
+    for a, b, sign in ((ones, zeros, 1), (zeros, ones, -1)):
+        whole, no_zero, no_one = lm._STATE_ODDS.reshape(3, 256)[:, lm.rounded_odds(a, b)]
+        assert whole == pytest.approx(sign * odds(ones, zeros), abs=1e-5)
+        seen, not_seen = (no_one, no_zero) if sign == 1 else (no_zero, no_one)
+        assert seen[ones > 0] == pytest.approx(sign * odds(ones - 1, zeros)[ones > 0], abs=1e-5)
+        assert not_seen[zeros > 0] == pytest.approx(sign * odds(ones, zeros - 1)[zeros > 0], abs=1e-5)
+
+
+def test_many_symbols_are_counted_in_parts(sample, monkeypatch):
+    (_, _, texts) = next(lm.slices(pa.array([t for _, t, *_ in sample[:30]]), 1 << 40))
+    whole, in_parts = np.zeros(2 * lm.SLOTS, np.uint32), np.zeros(2 * lm.SLOTS, np.uint32)
+    lm.count_texts(texts.lower(), whole)
+    monkeypatch.setattr(lm, "PIECE", 5000)
+    monkeypatch.setattr(lm, "COUNT_SYMBOLS", 9000)
+    lm.count_texts(texts.lower(), in_parts)
+    assert (whole == in_parts).all()
+
+
 # Token counts ---------------------------------------------------------------------------
 
 STRANGE = [
