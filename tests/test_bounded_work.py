@@ -25,7 +25,36 @@ def embeddings(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["knn_topk", "vector_index_search", "knn_filtered"])
+def nearest(spark, folder, k, alike=False, other=False):
+    """Similarity of every vector's k best items (of its label, without itself), by brute force."""
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    units = np.array([r.embedding for r in rows], dtype=float)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    scores = np.round(units @ units.T, 9)
+    found = {}
+    for i, row in enumerate(rows):
+        allowed = [j for j in range(len(rows)) if not alike or rows[j].label == row.label]
+        allowed = [j for j in allowed if not other or i != j]
+        order = sorted(allowed, key=lambda j: (-scores[i, j], rows[j].vec_id is not None, rows[j].vec_id))[:k]
+        found[row.vec_id] = [(rows[j].vec_id, round(float(scores[i, j]), 6), rows[j].label) for j in order]
+    return found, {r.vec_id: r.label for r in rows}
+
+
+WHOLE = [("vector_index_search", 10, False)]
+
+
+@pytest.mark.parametrize("name, k, alike", WHOLE)
+def test_searches_ask_every_vector(spark, embeddings, name, k, alike):
+    rows = sorted(QUERIES[name](spark, embeddings).collect(), key=lambda r: r["rank"])
+    wanted, _ = nearest(spark, embeddings, k, alike)
+    found = {}
+    for r in rows:
+        found.setdefault(r.query_id, []).append((r.item_id, r.similarity))
+    assert len(found) == 90
+    assert found == {q: [x[:2] for x in best] for q, best in wanted.items()}
+
+
+@pytest.mark.parametrize("name", ["knn_topk", "knn_filtered"])
 def test_searches_ask_every_twentieth_vector(spark, embeddings, name):
     found = QUERIES[name](spark, embeddings)
     assert {r.query_id for r in found.collect()} == {20, 40, 60, 80}
