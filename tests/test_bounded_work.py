@@ -61,11 +61,36 @@ def test_searches_ask_every_twentieth_vector(spark, embeddings, name):
 
 
 def test_metrics_are_those_of_the_queries(spark, embeddings):
-    for name in ("retrieval_metrics_dense", "retrieval_metrics_reranked"):
+    for name in ("retrieval_metrics_dense",):
         rates = [r.hit_rate * 4 for r in QUERIES[name](spark, embeddings).collect()]
         assert len(rates) == 4 and all(abs(r - round(r)) < 1e-4 for r in rates)
 
 
+def rates(lists, labels):
+    """Hit rate and mean reciprocal rank of lists of items by query."""
+    firsts = [next((n for n, x in enumerate(best, 1) if x[2] == labels[q]), 99) for q, best in lists.items()]
+    return {
+        k: (round(sum(n <= k for n in firsts) / len(firsts), 6), round(sum(1 / n for n in firsts if n <= k) / len(firsts), 6))
+        for k in (1, 3, 5, 10)
+    }
+
+
+@pytest.fixture(scope="module")
+def named(spark, embeddings, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("named"))
+    spark.read.parquet(f"{embeddings}/embeddings.parquet").filter("vec_id IS NOT NULL").write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+def test_reranked_metrics_ask_every_vector(spark, named):
+    lists, labels = nearest(spark, named, 30, other=True)
+    assert len(lists) == 89
+    for q, best in lists.items():
+        best.sort(key=lambda x: -1 / (1 + abs(labels[q] + 1 - x[2])))
+    found = QUERIES["retrieval_metrics_reranked"](spark, named).collect()
+    assert {r.k: (r.hit_rate, r.mrr) for r in found} == rates(lists, labels)
+
+
 def test_index_search_in_slices_keeps_copies_in_order(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
