@@ -473,7 +473,6 @@ _PAIR_SCORES = """
 SELECT q.vec_id AS query_id, i.vec_id AS item_id, q.label AS query_label, i.label AS item_label,
   round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS similarity
 FROM embeddings q, embeddings i"""
-_ASKED_SCORES = f"{_PAIR_SCORES} WHERE q.vec_id % 20 = 0"
 
 
 def shown(scores: str, score: str, key: str = "query_id") -> str:
@@ -523,13 +522,11 @@ FROM (SELECT q.query_id, f.rank FROM ({questions}) q LEFT JOIN ({first}) f USING
 
 _NEIGHBOURS = f"SELECT * FROM ({_PAIR_SCORES}) WHERE query_id <> item_id"
 _VECTOR_QUESTIONS = "SELECT vec_id AS query_id FROM embeddings"
-_ASKED_NEIGHBOURS = f"SELECT * FROM ({_ASKED_SCORES}) WHERE query_id <> item_id"
-_ASKED_QUESTIONS = f"{_VECTOR_QUESTIONS} WHERE vec_id % 20 = 0"
 
 ORACLES["retrieval_metrics_dense"] = metrics(
     f"""SELECT query_id, min(rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-  ORDER BY similarity DESC, item_id) AS rank FROM ({_ASKED_NEIGHBOURS})) WHERE rank <= 10 AND query_label = item_label GROUP BY 1""",
-    _ASKED_QUESTIONS,
+  ORDER BY similarity DESC, item_id) AS rank FROM ({_NEIGHBOURS})) WHERE rank <= 10 AND query_label = item_label GROUP BY 1""",
+    _VECTOR_QUESTIONS,
 )
 
 ORACLES["retrieval_metrics_reranked"] = metrics(
