@@ -47,13 +47,14 @@ from pyspark.sql import functions as F
 from lectern.llm.batches import bound_batches
 from lectern.llm.components import components
 from lectern.llm.textkit import find_words, hash_words, mix, shingle_hashes, slices
-from lectern.session import lean, reliable_checkpoint, scratch_path
+from lectern.session import lean, release_memory, reliable_checkpoint, scratch_path
 
 WIDTH = 4
 PERCENT = 85
 LEVEL_CELLS = 1 << 22
 HOT_SHINGLES = 1 << 17
 HOT_COUNT = 8
+GROUP_BYTES = 1 << 25  # of text, whose shingles are counted together
 BLOOM_WORDS = 1 << 17
 BLOCK = 64
 MAP_WORDS = 8
@@ -100,12 +101,21 @@ _SCAN = (
 )
 
 
-def _scan(docs: DataFrame, width: int, ranges: int) -> DataFrame:
+def _value_bits(docs: DataFrame, ranges: int) -> int:
+    """By how many bits of its values a range is divided, so that its parts stay near ``GROUP_BYTES``."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = -(-size // (ranges * GROUP_BYTES))
+    return min(32, max(0, parts - 1).bit_length())
+
+
+def _scan(docs: DataFrame, width: int, ranges: int, value_bits: int = 0) -> DataFrame:
     """Two kinds of rows: ``doc_id, n, cls`` and parity map of every text, ``range, hashes``.
 
     The latter are the shingles of the task's texts (each class once), dealt into ranges by
-    their lowest bits, with 32 other bits kept of each, sorted, as differences.
+    their lowest bits, with 32 other bits kept of each, sorted, as differences. The first
+    ``value_bits`` of those divide a range into parts with numbers of their own.
     """
+    starts = np.arange(ranges << value_bits, dtype=np.uint64) << np.uint64(32 - value_bits)
 
     def run(batches):
         seen: set[int] = set()
@@ -128,14 +138,12 @@ def _scan(docs: DataFrame, width: int, ranges: int) -> DataFrame:
                 hashes = np.concatenate(new)
                 of_range = (hashes & np.uint64(0xFFFFFF)).astype(np.int64) % ranges
                 both = np.sort((of_range.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
-                bounds = np.searchsorted(both >> np.uint64(32), np.arange(ranges + 1))
+                bounds = np.append(np.searchsorted(both, starts), len(both))
+                full = np.flatnonzero(np.diff(bounds))
                 kept = both.astype(np.uint32)
                 yield _scan_batch(
-                    ranges, range=pa.array(np.arange(ranges, dtype=np.int32)),
-                    hashes=pa.array(
-                        [packed(kept[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
-                        pa.binary(),
-                    ),
+                    len(full), range=pa.array(full.astype(np.int32)),
+                    hashes=pa.array([packed(kept[a:b]) for a, b in zip(bounds[full], bounds[full + 1], strict=True)], pa.binary()),
                 )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -171,11 +179,17 @@ def _levels(pieces: DataFrame) -> np.ndarray:
     """Table of frequency levels by shingle, of fixed size, from all documents' shingles."""
 
     def count(table: pa.Table) -> pa.Table:
-        parts = [unpacked(v.as_py()) for v in table.column("hashes")]
-        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-        hot = counts >= HOT_COUNT
-        levels = np.log2(counts[hot]).astype(np.int32)
-        cells = (tokens[hot] & np.uint32(LEVEL_CELLS - 1)).astype(np.int32)
+        tokens = np.concatenate([unpacked(v.as_py()) for v in table.column("hashes")])
+        del table
+        tokens.sort()
+        # Equal ones stand together; those that are as frequent have one HOT_COUNT places on.
+        first = np.flatnonzero(tokens[HOT_COUNT - 1 :] == tokens[: max(0, len(tokens) - HOT_COUNT + 1)])
+        hot = np.unique(tokens[first])
+        counts = np.searchsorted(tokens, hot, "right") - np.searchsorted(tokens, hot, "left")
+        del tokens
+        levels = np.log2(counts).astype(np.int32)
+        cells = (hot & np.uint32(LEVEL_CELLS - 1)).astype(np.int32)
+        release_memory()
         return pa.table({"cell": pa.array(cells), "level": pa.array(levels)})
 
     found = pieces.groupBy("range").applyInArrow(count, "cell int, level int")
@@ -500,7 +514,7 @@ def _prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, ...
     bound_batches(spark)
     path = scratch_path(spark, "shingles")
     ranges = max(16, docs.rdd.getNumPartitions() // 4)
-    _scan(docs, width, ranges).write.parquet(path)
+    _scan(docs, width, ranges, _value_bits(docs, ranges)).write.parquet(path)
     scanned = reliable_checkpoint(
         spark.read.parquet(path).filter(F.col("range").isNull()).drop("range", "hashes")
     )

@@ -155,3 +155,36 @@ def test_links_equal_brute_force(documents, sample):
     named = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in counted), key=str)
     plain = N.similarity_components(documents(rows)).collect()
     assert named == sorted(((r.doc_id, r.n_shingles, r.component_id) for r in plain), key=str)
+
+
+def test_shingles_are_counted_in_groups_of_bounded_text(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    shared = " ".join(rng.choices(words, k=40))
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 300))) + " " + shared * (i % 2)) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(60, None), (61, "")], "doc_id long, text string")
+    seen = []
+    levels = N._levels
+
+    def counted(pieces):
+        sizes = {}
+        for r in pieces.collect():
+            sizes[r.range] = sizes.get(r.range, 0) + len(N.unpacked(bytes(r.hashes)))
+        seen.append((sizes, levels(pieces)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(N, "_levels", counted)
+    whole = sorted(N.similarity_components(docs).collect())
+    monkeypatch.setattr(N, "GROUP_BYTES", 100)
+    assert sorted(N.similarity_components(docs).collect()) == whole
+    (few, one), (many, two) = seen
+    assert sum(few.values()) == sum(many.values()) and len(few) <= 16
+    assert max(many.values()) < max(few.values()) / 8  # a common shingle stays together
+    assert one.any() and (one == two).all()
+
+
+def test_levels_of_few_shingles(spark):
+    for n in (0, 1, 6, 7, 8, 9):
+        rows = [(0, N.packed(np.full(n, 5, np.uint32))), (1, N.packed(np.arange(3, dtype=np.uint32)))]
+        table = N._levels(spark.createDataFrame(rows, "range int, hashes binary"))
+        assert table.sum() == table[5] == (3 if n >= 8 else 0)
