@@ -153,6 +153,42 @@ def test_scores_without_training_and_of_nothing(documents):
     assert lm.score_documents(documents([])).collect() == []
 
 
+def test_weights_and_code_come_from_all_training_texts(documents, sample, monkeypatch):
+    rows = [(i, t) for i, t, *_ in sample] + [(None, "no id"), (7001, None), (7001, "x")]
+    monkeypatch.setattr(lm, "LEARN_BYTES", 1000, raising=False)  # a sample of that size, before
+    learned, seen, train_mixer, shortest_code = [], [], lm._train_mixer, lm.shortest_code
+    monkeypatch.setattr(lm, "_train_mixer", lambda texts, t: learned.append(texts.select("text").collect()) or train_mixer(texts, t))
+    monkeypatch.setattr(lm, "shortest_code", lambda n: seen.append(n) or shortest_code(n))
+    lm.score_documents(documents(rows)).collect()
+    texts = [t or "" for i, t in rows if crc(i, 10)]
+    assert sorted(r.text or "" for r in learned[0]) == sorted(texts)
+    counts = collections.Counter(b for t in texts for b in t.encode().lower())
+    counts[lm.END] = len(texts)
+    assert {b: n for b, n in enumerate(seen[0].tolist()) if n} == dict(counts)
+
+
+def test_steps_go_the_way_of_the_gradient():
+    rng = np.random.default_rng(3)
+    odds = rng.normal(size=(lm.ORDERS, 500)).astype(np.float32)
+    odds[rng.random(odds.shape) < 0.4] = 0
+    value = rng.integers(0, 2, 500)
+    for bit in (2, lm.PLACES + 1):
+        mixer, first = lm.Mixer(), lm.Mixer()
+        mixer.learn(odds, bit, value, True)
+        place = min(bit, lm.PLACES - 1)
+        for known in range(lm.ORDERS + 1):
+            gate = known * lm.PLACES + place
+            own = (odds != 0).sum(axis=0) == known
+            sums = first.weights[gate] @ odds[:, own]
+            step = (odds[:, own] * (value[own] - 1 / (1 + np.exp(-sums)))).sum(axis=1) / max(1, own.sum())
+            assert np.allclose(mixer.weights[gate], first.weights[gate] + (lm.RATE + 0.5) * step, atol=1e-5)
+            cell = first.bucket(sums)
+            assert (mixer.map_all[gate] - first.map_all[gate] == np.bincount(cell, minlength=lm.BUCKETS)).all()
+            assert np.allclose(mixer.map_ones[gate] - first.map_ones[gate], np.bincount(cell, value[own], lm.BUCKETS))
+            assert mixer.steps[gate] == own.any()
+        assert mixer.steps.sum() == (mixer.map_all.sum(axis=1) > lm.BUCKETS).sum()
+
+
 def test_small_blocks_give_the_same_counts(documents, sample, monkeypatch):
     rows = [(i, t) for i, t, *_ in sample][:40]
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 1)
