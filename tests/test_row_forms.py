@@ -13,6 +13,7 @@ from lectern.operators.anchor import content_anchor, line_anchors
 from lectern.operators.packing import pack_text, pack_texts
 from lectern.operators.scans import key_totals, next_within, with_key_values
 from lectern.operators.sections import document_chunks, line_chunks
+from lectern.session import shared_folder
 
 CHUNK = ["doc_id", "chunk_index", "text", "token_count", "token_sum", "section_path", "chapter_number", "page_start", "page_end"]
 
@@ -105,6 +106,26 @@ def test_long_sections_equal_the_cell_form(spark):
     same(found, wanted)
 
 
+def test_tables_on_the_way_to_chunks_are_given_back(spark):
+    frame = spark.createDataFrame(made(11, 30, 80) + [(99, "CHAPITRE 1\n" + "a b c d\n" * 900)], "doc_id int, text string")
+    folder, setting = shared_folder(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = set(tables(spark, folder)), spark.conf.get(setting, "false")
+    found = line_chunks(*as_rows(frame, 5), limit=9, use_anchor=False, cell_lines=4, cell_chars=60)
+    held = [spark.read.parquet(f"{folder}/{name}") for name in tables(spark, folder) if name not in before]
+    assert len(held) > 8 and spark.conf.get(setting, "false") == was
+    # Lines, counted lines, paragraphs and units are gone; what is left has chunks or no text.
+    left = [t for t in held if {"line", "__said", "__text"} & set(t.columns)]
+    assert len(left) >= 4 and all(t.isEmpty() for t in left)
+    same(found, document_chunks(frame, limit=9, use_anchor=False))
+
+
+def tables(spark, folder):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [status.getPath().getName() for status in found]
+    return [name for name in names if not name.startswith("rdd-")]
+
+
 def test_python_counter_in_both_forms(spark):
     frame = spark.createDataFrame(made(13, 30, 60), "doc_id int, text string")
     counter = model_counter()
